@@ -244,11 +244,19 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """Learn from at most ``rows`` labelled texts (those whose id hashes lowest), whole; an id labelled twice counts as toxic if any label says so."""
+    """Learn from at most ``rows`` labelled texts (those whose id hashes lowest), whole; an id labelled twice counts as toxic if any label says so.
+
+    Ids are chosen first and only their texts are fetched, by a broadcast of at most ``rows`` ids.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    joined = docs.select("doc_id", "text").where("text is not null").join(marked, "doc_id")
-    got = joined.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(rows).select("text", "_y").collect()
-    return learn([r["text"] for r in got], [int(r["_y"] > 0) for r in got])
+    ids = docs.where("text is not null").select("doc_id").distinct().join(marked, "doc_id")
+    chosen = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows).collect()
+    if not chosen:
+        return learn([], [])
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["_y"] > 0)) for r in chosen], "doc_id bigint, _y int")
+    got = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").collect()
+    got = sorted({(r["doc_id"], r["text"]): r["_y"] for r in got}.items())
+    return learn([t for (_, t), _ in got], [y for _, y in got])
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
