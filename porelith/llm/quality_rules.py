@@ -9,7 +9,7 @@ strictest admissible cutoff is taken; without one the rule is silent in that str
 does no more than that to bad ones.  Strata (languages) with fewer than MIN_STRATUM good texts form one
 stratum together.
 
-Rows in any number go through one Arrow pass; the calibration aggregates counts on a fixed grid.
+Texts go through one Arrow pass; only the counts are joined with the labels and aggregated on a fixed grid.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from .textblocks import Block, each_block, mix
 
 MIN_WORDS = 50
@@ -146,11 +147,10 @@ def stratum_of(lang: str = "lang") -> F.Column:
     return F.coalesce(F.concat(F.lit("lang:"), F.col(lang)), F.lit("none"))
 
 
-def holdout(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts, stratum and label of the labelled texts that pass the base.  An id labelled twice counts by its lower label."""
+def holdout(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of ``counts`` (doc_id, stratum, COUNTS) the labelled rows that pass the base, with good.  An id labelled twice counts by its lower label."""
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    rows = docs.select("doc_id", "text", stratum_of().alias("stratum")).join(rated, "doc_id")
-    return counted(rows, keep=("doc_id", "stratum", "good")).where(~base_failed_column())
+    return counts.where(~base_failed_column()).join(rated, "doc_id")
 
 
 def base_failed_column() -> F.Column:
@@ -163,17 +163,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, level:
     Null or empty texts have no words and fail the base.  Repeated rows are judged alike, each on its own.
     Without labels no cutoff is admissible, so the base alone decides.
     """
-    cutoffs = calibrate(holdout(docs, labels), risk=risk, level=level)
-    rows = counted(docs.select("doc_id", "text", stratum_of().alias("stratum")), keep=("doc_id", "stratum"))
+    rows = staged(counted_with_stratum(docs), "counts")
+    cutoffs = calibrate(holdout(rows, labels), risk=risk, level=level)
     failed = base_failed_column()
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(cutoffs, F.col("stratum")))
 
 
+def counted_with_stratum(docs: DataFrame) -> DataFrame:
+    return counted(docs.select("doc_id", "text", stratum_of().alias("stratum")), keep=("doc_id", "stratum"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that quality_rules keeps, with all their columns."""
     from .common import table
 
-    cutoffs = calibrate(holdout(docs, table(spark, sf_dir, "labels")))
+    cutoffs = calibrate(holdout(counted_with_stratum(docs), table(spark, sf_dir, "labels")))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
