@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from porelith.llm import bagminhash, quality_rules, toxicity
+from porelith.llm import bagminhash, mixing, pieces, quality_rules, toxicity
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("quality_rules", quality_rules.stage),
     ("near_duplicates", bagminhash.stage),
+    ("mixing", mixing.stage),
+    ("pieces", pieces.stage),
 ]
 
 #: SQL expresses neither the learned lexicon nor the signatures; tests hold the stages against brute force.
