@@ -1,0 +1,241 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from porelith.functions.grid import Boundary, GridSpec, voxel_id
+from porelith.operators import components, distance, minkowski, morphology, particles, porosimetry, voxels
+from porelith.sources import generators as g
+
+PERIODIC = ((Boundary.PERIODIC,) * 2,) * 3
+
+
+def brute_edt2(solid, h, periodic):
+    at = np.argwhere(solid)
+    out = np.full(solid.shape, np.inf)
+    for i in np.ndindex(solid.shape):
+        d = np.abs(at - np.array(i))
+        for a in range(3):
+            if periodic[a]:
+                d[:, a] = np.minimum(d[:, a], solid.shape[a] - d[:, a])
+        if len(d):
+            out[i] = ((d * np.array(h)) ** 2).sum(1).min()
+    return out
+
+
+def flood(values, periodic):
+    """Component of every voxel by brute force, as the least C-order id plus 1."""
+    n = values.shape
+    label = np.where(values != 0, np.arange(values.size).reshape(n), -1)
+    changed = True
+    while changed:
+        changed = False
+        for i in np.ndindex(n):
+            if values[i] == 0:
+                continue
+            for d in np.ndindex(3, 3, 3):
+                j = [a + b - 1 for a, b in zip(i, d)]
+                for a in range(3):
+                    if periodic[a]:
+                        j[a] %= n[a]
+                if all(0 <= a < b for a, b in zip(j, n)):
+                    j = tuple(j)
+                    if values[j] == values[i] and label[j] < label[i]:
+                        label[i] = label[j]
+                        changed = True
+    return np.where(values != 0, label + 1, 0)
+
+
+def test_single_sphere(spark):
+    grid = GridSpec((10, 10, 10))
+    img = g.spheres_image(particles.spheres(spark, [(0.5, 0.5, 0.5, 0.25)]), grid)
+    assert img.where("v = 1").count() == 944
+    inverted = g.spheres_image(particles.spheres(spark, [(0.5, 0.5, 0.5, 0.25)]), grid, invert=True)
+    assert inverted.where("v = 1").count() == 56
+    assert voxels.porosity(img, grid).first()["porosity"] == pytest.approx(0.944)
+
+
+def test_cylinders(spark):
+    grid = GridSpec((100, 100, 100))
+    rows = particles.cylinders(spark, [(0.5, 0.5, 0, 0.5, 0.5, 1, 0.1), (0.2, 0.2, 0.2, 0.8, 0.8, 0.8, 0.05)])
+    img = g.cylinders_image(rows, grid)
+    x = (np.arange(100) + 0.5) / 100
+    p = np.stack(np.meshgrid(x, x, x, indexing="ij"), -1)
+    solid = np.zeros((100,) * 3, bool)
+    for r in rows.collect():
+        a, b = np.array([r.x1, r.y1, r.z1]), np.array([r.x2, r.y2, r.z2])
+        h = np.linalg.norm(b - a)
+        w = p - a
+        t = w @ (b - a) / h
+        solid |= (t >= 0) & (t <= h) & ((w * w).sum(-1) - t * t <= r.r**2)
+    assert img.where("v = 0").count() == solid.sum()
+
+
+@pytest.mark.parametrize("periodic", [(False,) * 3, (True, False, True), (True,) * 3])
+def test_edt_matches_brute_force(spark, periodic):
+    values = (np.random.default_rng(3).random((6, 7, 8)) > 0.1).astype(int)
+    kinds = tuple((Boundary.PERIODIC,) * 2 if p else (Boundary.END,) * 2 for p in periodic)
+    grid = GridSpec((6, 7, 8), box=((0, 6), (0, 3.5), (0, 16)), boundary=kinds)
+    img = g.from_array(spark, values)
+    want = brute_edt2(values == 0, grid.resolution, periodic)
+    for f in (distance.squared_edt, distance.squared_edt_relational):
+        got = g.to_array(f(img, grid), values.shape, "d2")
+        np.testing.assert_allclose(got, want)
+
+
+def test_edt_without_solid_is_null(spark):
+    grid = GridSpec((3, 3, 3))
+    img = g.from_array(spark, np.ones((3, 3, 3), int))
+    assert distance.edt(img, grid).where("distance is not null").count() == 0
+
+
+def test_edt_lines():
+    np.testing.assert_allclose(distance.nearest_1d([1, 1, 0, 1, 1, 1]), [4, 1, 0, 1, 4, 9])
+    np.testing.assert_allclose(distance.nearest_1d([0, 1, 1, 1, 1], periodic=True), [0, 1, 4, 4, 1])
+    np.testing.assert_allclose(distance.envelope_1d([0, np.inf, np.inf, 1]), [0, 1, 2, 1])
+
+
+def test_edt_2d(spark):
+    values = (np.random.default_rng(5).random((9, 7)) > 0.15).astype(int)
+    got = g.to_array(distance.squared_edt_2d(g.from_array(spark, values).select("x", "y", "v"), (9, 7), (True, False), (1.0, 2.0)).withColumn("z", F.lit(0)), (9, 7), "d2", (0, 0))
+    at = np.argwhere(values == 0)
+    for i in np.ndindex(9, 7):
+        d = np.abs(at - np.array(i))
+        d[:, 0] = np.minimum(d[:, 0], 9 - d[:, 0])
+        assert got[i] == ((d * [1, 2]) ** 2).sum(1).min()
+
+
+@pytest.mark.parametrize("periodic", [(False,) * 3, (True,) * 3, (False, True, False)])
+def test_components_match_flood_fill(spark, periodic):
+    values = np.random.default_rng(7).choice([0, 1, 2], size=(5, 6, 7), p=[0.7, 0.2, 0.1])
+    kinds = tuple((Boundary.PERIODIC,) * 2 if p else (Boundary.END,) * 2 for p in periodic)
+    grid = GridSpec((5, 6, 7), boundary=kinds)
+    img = g.from_array(spark, values)
+    got = g.to_array(components.components(img, grid), values.shape, "label")
+    np.testing.assert_array_equal(got, flood(values, periodic))
+    found = components.runs(img, grid)
+    from porelith.plans.graph import connected_components
+
+    edges = components.run_edges(found, grid)
+    a = {r.node: r.component for r in connected_components(edges).collect()}
+    b = {r.node: r.component for r in components.solve(edges).collect()}
+    assert a == b
+
+
+def test_face_filters(spark):
+    values = np.zeros((6, 4, 4), int)
+    values[:, 0, 0] = 1  # through
+    values[:3, 2, 2] = 1  # inlet only
+    values[2:4, 2, 0] = 1  # neither (26 neighbours keep it apart from y = 0)
+    values[2:4, 0, 3] = 1
+    grid = GridSpec((6, 4, 4), inlet=((True, False), (False,) * 2, (False,) * 2), outlet=((False, True), (False,) * 2, (False,) * 2))
+    img = g.from_array(spark, values)
+    count = lambda f: f(img, grid).where("v = 1").count()
+    assert count(components.inlet_connected) == 9
+    assert count(components.outlet_connected) == 6
+    assert count(components.inlet_outlet_connected) == 6
+    assert count(components.isolated) == 4
+
+
+def test_morphology_matches_brute_force(spark):
+    values = (np.random.default_rng(9).random((8, 8, 8)) > 0.97).astype(int)
+    grid = GridSpec((8, 8, 8), box=((0, 8),) * 3)
+    img = g.from_array(spark, values)
+    for r in (1.0, 1.5, 2.3):
+        want = brute_edt2(values == 1, grid.resolution, (False,) * 3) <= r * r
+        np.testing.assert_array_equal(g.to_array(morphology.dilate(img, grid, r), (8, 8, 8)), want)
+        np.testing.assert_array_equal(g.to_array(morphology.dilate_by_offsets(img, grid, r), (8, 8, 8)), want)
+        inv = g.from_array(spark, 1 - values)
+        np.testing.assert_array_equal(g.to_array(morphology.erode(inv, grid, r), (8, 8, 8)), ~want)
+    assert morphology.struct_element(spark, (1.0, 1.0, 1.0), 3).count() == 123
+    with pytest.raises(ValueError):
+        morphology.struct_element(spark, (1.0, 1.0, 2.0), 3)
+    with pytest.raises(ValueError):
+        morphology.struct_ratio((1.0,), 3)
+
+
+def test_pore_sizes(spark):
+    assert porosimetry.pore_radii(0, 10, 4) == pytest.approx([10, 20 / 3, 10 / 3, 0])
+    assert porosimetry.pore_radii(1, 10, 4, "log") == pytest.approx([10, 4.6416, 2.1544, 1], abs=1e-4)
+    for bad in ((5, 1, 3, "linear"), (1, 5, 0, "linear"), (0.5, 5, 3, "log"), (1, 5, 3, "cubic")):
+        with pytest.raises(ValueError):
+            porosimetry.pore_radii(*bad)
+    values = np.ones((10, 10, 10), int)
+    values[0], values[9], values[:, 0], values[:, 9], values[:, :, 0], values[:, :, 9] = 0, 0, 0, 0, 0, 0
+    values[4, 4, 4] = 0
+    grid = GridSpec((10, 10, 10), box=((0, 10),) * 3)
+    img = g.from_array(spark, values)
+    radii = [1.0, 1.5, 2.0]
+    d2 = brute_edt2(values == 0, grid.resolution, (False,) * 3)
+    want = np.zeros(values.shape)
+    for r in radii:
+        opened = brute_edt2(d2 > r * r, grid.resolution, (False,) * 3) <= r * r
+        want = np.where((values == 1) & opened, r, want)
+        one = g.to_array(porosimetry.porosimetry(img, grid, r), values.shape)
+        np.testing.assert_array_equal(one, opened)
+    got = porosimetry.pore_size_distribution(img, grid, radii)
+    np.testing.assert_array_equal(g.to_array(got, values.shape, "radius"), want)
+    curve = porosimetry.pore_size_curve(got).orderBy("radius").collect()
+    assert curve[0]["cdf"] == pytest.approx(1) and sum(r["pdf"] for r in curve) == pytest.approx(1)
+
+
+PRESSURES = [1.58965, 1.9, 2.59, 4.12854, 7.36005]
+
+
+def test_drainage_runs_down(spark):
+    grid = GridSpec((35, 8, 8), box=((0.0, 14.0), (-1.5, 1.5), (-1.5, 1.5)), inlet=((False, True), (False,) * 2, (False,) * 2), outlet=((True, False), (False,) * 2, (False,) * 2), reservoir=3)
+    table, last = porosimetry.drainage(g.inkbottle(spark, grid), grid, [2.0, 1.6, 3.0])
+    s = [r["saturation"] for r in table.orderBy("step").collect()]
+    assert s == sorted(s, reverse=True) and [r["pressure"] for r in table.orderBy("step").collect()] == [1.6, 2.0, 3.0]
+    with pytest.raises(ValueError):
+        porosimetry.drainage(g.inkbottle(spark, grid), grid, 1.0, contact_angle=20)
+    with pytest.raises(ValueError):
+        porosimetry.drainage(g.inkbottle(spark, grid), grid, 1.0, method="other")
+    assert porosimetry.probe_radius(1) == 2 and porosimetry.probe_radius(0) == 0
+    assert porosimetry.probe_radius(1, 1, 20) == pytest.approx(1.87938524)
+
+
+def test_minkowski(spark):
+    w = minkowski.direction_weights((1.0, 1.0, 1.0))
+    assert sum(w.values()) == pytest.approx(1)
+    assert w[(1, 0, 0)] == pytest.approx(0.045778, abs=1e-5) and w[(1, 1, 1)] == pytest.approx(0.035196, abs=1e-5)
+    grid = GridSpec((40, 40, 40))
+    img = g.spheres_image(particles.spheres(spark, [(0.5, 0.5, 0.5, 0.3)]), grid)
+    v, s, m, e = minkowski.functionals(img, grid, F.col("v") == 0)
+    whole = (40 / 39) ** 3  # the last layer starts no cell, yet the whole grid is the volume
+    assert v == pytest.approx(4 / 3 * math.pi * 0.027 * whole, rel=0.02)
+    assert s == pytest.approx(4 * math.pi * 0.09 * whole, rel=0.05)
+    assert e != 0 and m != 0
+    values = np.random.default_rng(1).integers(0, 2, (4, 5, 6))
+    h = minkowski.histogram(minkowski.configurations(g.from_array(spark, values), values.shape), 256)
+    want = np.zeros(256, int)
+    for x, y, z in np.ndindex(3, 4, 5):
+        want[sum(int(values[x + i, y + j, z + k]) << (i + 2 * j + 4 * k) for i in (0, 1) for j in (0, 1) for k in (0, 1))] += 1
+    np.testing.assert_array_equal(h, want)
+
+
+def test_voxel_ids_and_lines(spark):
+    assert voxel_id((1, 2, 7), (5, 6, 5)) == 42
+    assert voxel_id((-1, -1, -1), (10, 10, 10)) == 999
+    grid = GridSpec((10, 10, 10))
+    assert {r["n"] for r in voxels.histogram(g.linear(spark, grid, 1)).collect()} == {100}
+    img = g.from_array(spark, np.array([[[0, 0, 1, 1, 0]]]))
+    small = GridSpec((2, 2, 5))
+    r = voxels.nearest_index(img, small, 2, 1).first()
+    assert (r["lower"], r["upper"]) == (2, 3)
+    assert voxels.nearest_index(img, small, 2, 5).first()["lower"] == -1
+    with pytest.raises(ValueError):
+        voxels.nearest_index(img, small, 3, 1)
+    with pytest.raises(TypeError):
+        voxels.nearest_index(img, small, 2, 1, "own")
+
+
+def test_deconstruct_wraps(spark):
+    values = np.arange(64).reshape(4, 4, 4)
+    grid = GridSpec((4, 4, 4), boundary=PERIODIC, blocks=(2, 1, 1))
+    cut = voxels.deconstruct(g.from_array(spark, values), grid)
+    one = g.to_array(cut.where("block = 0").select(F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("lz").alias("z"), "v"), (4, 6, 6))
+    np.testing.assert_array_equal(one, np.pad(values, 1, mode="wrap")[:4])
+    sent = voxels.halo(g.from_array(spark, values), grid, (1, 1, 1))
+    assert sent.where("block = 0").count() == 4 * 6 * 6 - 2 * 4 * 4
