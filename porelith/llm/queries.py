@@ -66,5 +66,85 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('lang:' || lang, 'none') AS s FROM documents),
+w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '{_WORD}') AS words FROM d)),
+win AS (SELECT rid, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM win WHERE c IS NOT NULL) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, range(3) t(j) GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+counts AS (SELECT doc_id, s, len(regexp_extract_all(text, '{_WORD}')) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM d JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS lines FROM counts),
+rated AS (SELECT j.*, good FROM judged j JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT s, CASE WHEN count(*) FILTER (good) >= {quality_rules.MIN_STRATUM} THEN s ELSE 'rest' END AS t FROM rated GROUP BY s),
+shares AS (SELECT t, good, rule, x FROM rated JOIN strata USING (s), (VALUES ('symbols'), ('repeats'), ('lines')) r(rule), LATERAL (SELECT CASE rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats ELSE lines END AS x)),
+tests AS (SELECT t, rule, g, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS b, count(*) FILTER (good AND x > g) AS kg, count(*) FILTER (NOT good AND x > g) AS kb FROM shares, (VALUES {', '.join(f'({g})' for g in quality_rules.GRID)}) c(g) GROUP BY t, rule, g),
+alpha AS (SELECT {quality_rules.LEVEL} / greatest(1, 2 * count(DISTINCT t) * {len(quality_rules.RULES) * len(quality_rules.GRID)}) AS a FROM tests),
+tails AS (SELECT *, CASE WHEN kg >= n THEN 1 ELSE list_sum(list_transform(range(0, kg + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK})))) END AS pg,
+  CASE WHEN kb = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, kb), lambda i: exp(lgamma(b + 1) - lgamma(i + 1) - lgamma(b - i + 1) + i * ln({quality_rules.RISK}) + (b - i) * ln(1 - {quality_rules.RISK})))) END AS pb FROM tests),
+cutoffs AS (SELECT t, rule, min(g) AS g FROM tails, alpha WHERE pg <= a AND kb > 0 AND pb <= a GROUP BY t, rule),
+own AS (SELECT j.*, CASE WHEN j.s IN (SELECT t FROM strata) THEN j.s ELSE 'rest' END AS t FROM judged j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cutoffs c WHERE c.t = own.t AND CASE c.rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats ELSE lines END > c.g) AS kept FROM own
+"""
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_REST = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
+_HOST = f"translate(regexp_extract({_REST}, '^[^/?#]*'), '{_UP}', '{_LOW}')"
+_PATH = f"regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1)"
+_TAIL = f"regexp_extract({_REST}, '^[^/?#]*([^#]*)', 1)"
+_NODE = f"CASE WHEN strpos({{u}}, '://') > 0 THEN lower(split_part({{u}}, '://', 1)) || '://' || {_HOST} || CASE WHEN starts_with({_TAIL}, '/') THEN {_TAIL} ELSE '/' || {_TAIL} END END"
+
+
+def _best(host: str, path: str, what: str) -> str:
+    return f"(SELECT {what} FROM rules WHERE ({host} = name OR ends_with({host}, '.' || name)) AND starts_with({path}, prefix) ORDER BY length(rule) DESC, action LIMIT 1)"
+
+
+_OP6 = rf"""
+WITH RECURSIVE rules AS (SELECT action, rule, split_part(rule, '/', 1) AS name, substr(rule, strpos(rule, '/')) AS prefix FROM (VALUES {', '.join(f"('{a}', '{r}')" for a, r in url_filter.RULES)}) v(action, rule)),
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(regexp_extract(html, '(?is)^(.*?)(?:<body\b|</head\b|\z)', 1), '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE strpos(url, '://') > 0),
+hints AS (SELECT url, trim(replace(CASE
+  WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)') THEN coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*"([^"]*)', 1), ''), nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*''([^'']*)', 1), ''), nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*([^\s"''>]+)', 1), ''))
+  WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN coalesce(nullif(regexp_extract(tag, '(?is)\bcontent\s*=\s*"[^"]*?\burl\s*=\s*[''"]?([^"'']*)', 1), ''), nullif(regexp_extract(tag, '(?is)\bcontent\s*=\s*''[^'']*?\burl\s*=\s*"?([^"'']*)', 1), '')) END, '&amp;', '&')) AS h FROM tags),
+targets AS (SELECT url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN h WHEN starts_with(h, '//') THEN split_part(url, '://', 1) || ':' || h
+  WHEN starts_with(h, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || h WHEN starts_with(h, '?') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || h
+  ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({_PATH.format(u='url')}, '(?s)^(.*/)', 1), ''), '/') || h END AS t
+  FROM hints WHERE h <> '' AND NOT starts_with(h, '#') AND (contains(h, '://') OR NOT regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*:'))),
+links AS (SELECT {_NODE.format(u='url')} AS a, {_NODE.format(u='t')} AS b FROM targets),
+arcs AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach AS (SELECT a AS node, a AS root FROM arcs UNION SELECT b, root FROM reach JOIN arcs ON node = a),
+members AS (SELECT node, min(root) AS component, {_HOST.format(u='node')} AS host, {_PATH.format(u='node')} AS path FROM reach GROUP BY node),
+acted AS (SELECT component, {_best('host', 'path', 'action')} AS action FROM members),
+shared AS (SELECT component, CASE WHEN bool_or(action = 'allow') THEN 'allow' WHEN bool_or(action = 'block') THEN 'block' END AS verdict FROM acted GROUP BY component),
+p AS (SELECT page_id, url, coalesce({_HOST.format(u='url')}, '') AS host, coalesce({_PATH.format(u='url')}, '') AS path FROM pages)
+SELECT page_id, p.host, p.path, {_best('p.host', 'p.path', 'rule')} AS rule, coalesce({_best('p.host', 'p.path', 'action')}, s.verdict, 'allow') AS verdict
+FROM p LEFT JOIN members m ON m.node = {_NODE.format(u='p.url')} LEFT JOIN shared s USING (component)
+"""
+
+
+def _unit(parts: str) -> str:
+    return f"CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+_OP10 = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size + 1)) * 8 + ((size + 1) >> greatest(length(bin(size + 1)) - 3, 0)), {_unit(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')")}, doc_id, size) - 1 AS pos FROM d),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM sizes),
+tried AS (SELECT *, row_number() OVER o AS place, CAST(sum(source_size) OVER () - {mixing.CAP} * coalesce(sum(source_size) OVER b, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS unit
+  FROM weighed WINDOW o AS (ORDER BY source_size / CAST(w AS DOUBLE), source IS NULL, source), b AS (ORDER BY source_size / CAST(w AS DOUBLE), source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goal AS (SELECT source, source_size, least(CAST({mixing.CAP} * source_size AS DOUBLE), coalesce((SELECT arg_min(unit, place) FROM tried WHERE unit * w <= {mixing.CAP} * source_size) * w, CAST({mixing.CAP} * source_size AS DOUBLE))) AS target FROM tried),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END AS rate, {_unit(f"'{mixing.SEED}|offset|' || coalesce(source, '')")} AS shift FROM goal)
+SELECT doc_id, size, source_size, target, CAST(floor((pos + 1) * rate + shift) - floor(pos * rate + shift) AS BIGINT) * size AS taken
+FROM ranked r JOIN rated t ON r.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operators 1, 2, 4, 5, 7, 8 and 9 learn, hash or decode in ways that SQL lacks; tests hold them against brute force."""
+    return {"op3_quality_rules": _OP3, "op6_url_filter": _OP6, "op10_mixing": _OP10}
