@@ -11,7 +11,6 @@ length in a language is the sum over all its bytes; the shortest wins.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,32 +33,15 @@ def _codes(code: np.ndarray, data: np.ndarray, bounds: np.ndarray, a: int) -> tu
     Before the first byte of a text stands the symbol a - 1, which is never coded itself.
     """
     c = code[data]
+    at = np.arange(len(c)) + MAX_ORDER * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))
+    wide = np.full(len(c) + MAX_ORDER * (len(bounds) - 1), a - 1, np.int64)
+    wide[at] = c
     contexts = [np.zeros(len(c), np.int64)]
-    starts = np.unique(bounds[:-1][np.diff(bounds) > 0])
     for o in range(1, MAX_ORDER + 1):
-        before = np.full(len(c), a - 1, np.int64)
-        before[o:] = c[:-o]
-        for j in range(o):  # bytes of the text before do not count
-            at = starts + j
-            before[at[at < len(c)]] = a - 1
-        contexts.append(contexts[-1] + before * a ** (o - 1))
-    short = np.diff(bounds)
-    for o in range(2, MAX_ORDER + 1):  # a text shorter than o: its neighbour's bytes were marked above, set them again
-        if ((short > 0) & (short < o)).any():
-            return c, _slow_contexts(c, bounds, a)
+        contexts.append(contexts[-1] + wide[at - o] * a ** (o - 1))
     return c, contexts
 
 
-def _slow_contexts(c: np.ndarray, bounds: np.ndarray, a: int) -> list[np.ndarray]:
-    begin = np.repeat(bounds[:-1], np.diff(bounds))
-    contexts = [np.zeros(len(c), np.int64)]
-    for o in range(1, MAX_ORDER + 1):
-        at = np.arange(len(c)) - o
-        before = np.where(at >= begin, c[np.maximum(at, 0)], a - 1)
-        contexts.append(contexts[-1] + before * a ** (o - 1))
-    return contexts
-
-
 class ByteTrees:
     """The trees of all languages, compiled.
 
@@ -98,7 +80,7 @@ class ByteTrees:
             row_of = row_of[np.arange(a**o) % a ** (o - 1)] if o else row_of.copy()
             row_of[contexts] = len(table) + np.arange(len(contexts))
             table = np.concatenate([table, cost])
-        self.row_of, self.table = row_of, table.reshape(-1, n)
+        self.row_of, self.table = row_of, table.reshape(len(table) * a, n)
 
     def bits(self, block: Block) -> np.ndarray:
         """The code length of each text of a block in each language."""

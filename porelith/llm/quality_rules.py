@@ -114,17 +114,17 @@ def cutoffs_of(rows: list[dict], risk: float, level: float) -> dict[str, dict[st
     return out
 
 
-def calibrate(rated: DataFrame, risk: float = RISK, level: float = LEVEL, least: int = MIN_STRATUM) -> dict[str, dict[str, int]]:
+def calibrate(rated: DataFrame, risk: float = RISK, level: float = LEVEL, least: int | None = None) -> dict[str, dict[str, int]]:
     """{stratum: {rule: cutoff in thousandths}} from the counts of holdout texts that pass the base, with stratum and good.
 
-    All labelled rows are counted; what reaches the driver is one row for each stratum of at least ``least``
+    All labelled rows are counted; what reaches the driver is one row for each stratum of at least ``least`` (MIN_STRATUM)
     good texts and one, REST, for the others.
     """
     of = share_columns()
     beyond = [F.count_if((of[r] > g) & (F.col("good") == y)).alias(f"{p}_{r}_{g}") for p, y in (("g", True), ("b", False)) for r in RULES for g in GRID]
     by = rated.groupBy(F.col("stratum").alias("s")).agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("b"), *beyond)
     sums = [F.sum(c).alias(c) for c in by.columns if c != "s"]
-    rows = by.groupBy(F.when(F.col("n") >= least, F.col("s")).otherwise(REST).alias("s")).agg(*sums).collect()
+    rows = by.groupBy(F.when(F.col("n") >= (MIN_STRATUM if least is None else least), F.col("s")).otherwise(REST).alias("s")).agg(*sums).collect()
     return cutoffs_of([r.asDict() for r in rows], risk, level)
 
 
