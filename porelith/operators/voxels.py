@@ -25,7 +25,7 @@ def pad_constant(img: DataFrame, pad: tuple[tuple[int, int], ...], value, grid:
     """The image with rows of ``value`` around it."""
     spans = [F.explode(F.sequence(F.lit(-a), F.lit(n + b - 1))) for (a, b), n in zip(pad, grid.voxels_shape, strict=True)]
     spark = img.sparkSession
-    frame = spark.range(1).select(spans[0].cast("int").alias("x")).select("x", spans[1].cast("int").alias("y")).select("x", "y", spans[2].cast("int").alias("z"))
+    frame = spark.range(1).select(spans[0].alias("x")).select("x", spans[1].alias("y")).select("x", "y", spans[2].alias("z"))
     rim = reduce(lambda a, b: a | b, [(F.col(c) < 0) | (F.col(c) >= n) for c, n in zip(AXES, grid.voxels_shape, strict=True)])
     return img.select(*AXES, v).unionByName(frame.where(rim).withColumn(v, F.lit(value).cast(img.schema[v].dataType)))
 
