@@ -50,16 +50,20 @@ def dropped(df: DataFrame | None) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the folder then goes with the application
-        pass
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _sweep() -> None:
+    """Delete what this process staged; without a session only what lies in a local folder."""
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
+            try:
+                _delete(spark, path)
+                continue
+            except Exception:  # the gateway may have gone first
+                pass
+        if "://" not in path or path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
