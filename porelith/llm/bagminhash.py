@@ -12,11 +12,13 @@ window's count.  A component keeps its earliest point.  Two texts agree in a com
 of their likeness.  Only points before a time that depends on the text's weight are made; the rare text with
 a component left empty is done again with twice that time, so the result is exact.
 
-Bands of ROWS components find candidates.  In a bucket nobody is compared with everybody: members are
-compared with pivots, those with most company elsewhere first.  Members linked to a pivot are in its class.
-Rounds go on, with twice as many pivots each, while a bucket has members of two classes that the triangle
-inequality of the distance 1 - likeness does not hold apart.  So no link between members of a bucket is lost,
-and no bucket, however large, meets in one task.
+Bands of ROWS components find candidates.  In a bucket nobody is compared with everybody: first all members
+are compared with one pivot, that with most company elsewhere, and those linked to it are in its class.  Most
+buckets are settled then: their members are of one class, or the triangle inequality of the distance
+1 - likeness holds those of different classes apart.  Members of the other buckets are joined on their rarest
+windows: two texts that are linked must share one among the first few in order of frequency, fewer for the
+shorter text, and early enough in both.  That filter is exact, so no link between members of a bucket is lost,
+and crowds that only share common passages never meet.  No bucket, however large, is gathered in one task.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
 from ..plans.joins import keyed_join
-from ..plans.staging import dropped, staged
+from ..plans.staging import staged
 from .textblocks import BLOCK_BYTES, Block, blocks, each_block, mix
 
 WORDS, LIKENESS = 5, 0.8
@@ -187,29 +189,24 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     members = staged(keys.join(counts, "key"), "members")
     company = members.groupBy("nid").agg(F.sum("n").alias("hub"))
     members_hub = staged(members.join(company, "nid").select("key", "nid", "hub"), "hubs")
-    dropped(members)
-
-    texts, edges, labels, active = None, [], None, members_hub
-    turn, comp = 0, None
-    while not active.isEmpty():
-        # pivots: in each of 2 ** turn parts of a bucket, the member with most company
-        part = F.pmod(F.xxhash64("nid", F.lit(turn)), F.lit(2**turn))
-        pivots = active.groupBy("key", part.alias("_p")).agg(F.max(F.struct("hub", "nid")).alias("_m")).select("key", F.col("_m.nid").alias("b"))
-        compared = active.select("key", F.col("nid").alias("a"), *([F.col("label").alias("_la")] if comp is not None else [])).join(pivots, "key").where("a != b")
-        if comp is not None:
-            compared = compared.join(comp.select(F.col("nid").alias("b"), F.col("label").alias("_lb")), "b").where("_la != _lb")
-        compared = staged(compared.select("key", "a", "b"), "compared")
-        if texts is None:
-            texts = staged(_texts(docs, text, key, reps, members_hub), "texts")
+
+    pivots = members_hub.groupBy("key").agg(F.max(F.struct("hub", "nid")).alias("_m")).select("key", F.col("_m.nid").alias("b"))
+    compared = staged(members_hub.select("key", F.col("nid").alias("a")).join(pivots, "key").where("a != b"), "compared")
+    labels = None
+    if not compared.isEmpty():
+        texts = staged(_texts(docs, text, key, reps, members_hub), "texts")
         found = staged(verified(compared.select("a", "b").distinct(), texts), "verified")
-        edges.append(found.where(F.col("like") >= threshold).select("a", "b"))
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.unionByName(e)
-        labels = connected_components(every, "a", "b")
-        comp = staged(active.select("nid").distinct().join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left").select("nid", F.coalesce("component", "nid").alias("label")), "labels")
-        active = staged(_unsettled(active, compared, pivots, found, comp, threshold), "active")
-        turn += 1
+        labels = connected_components(found.where(F.col("like") >= threshold), "a", "b")
+        left = staged(_unsettled(members_hub, compared, found, labels, threshold), "unsettled")
+        if not left.isEmpty():
+            pairs = staged(_by_rare_windows(left, texts, threshold), "pairs")
+            more = staged(verified(pairs, texts).where(F.col("like") >= threshold), "more")
+            of = left.select("nid", "label")
+            classes_linked = more.join(of.toDF("a", "src"), "a").join(of.toDF("b", "dst"), "b").select("src", "dst")
+            merged = connected_components(classes_linked)
+            whole = labels.join(merged.toDF("component", "_to"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+            lone = merged.join(labels.select("node"), "node", "left_anti")  # classes of one text so far
+            labels = staged(whole.unionByName(lone), "labels")
     out = rows.select("_id", "d1", "d2")
     total = int(reps.agg(F.sum("copies")).first()[0] or 0)
     named = reps.select("d1", "d2", "rep", "copies", "nid")
@@ -241,22 +238,58 @@ def _texts(docs: DataFrame, text: str, key: str, reps: DataFrame, members: DataF
     return both.select("nid", "_text").dropDuplicates(["nid"])
 
 
-def _unsettled(active: DataFrame, compared: DataFrame, pivots: DataFrame, found: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """Members (key, nid, hub, label) that may still have a link to another class of their bucket.
+def _unsettled(members: DataFrame, compared: DataFrame, found: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(nid, label) of members that may still have a link to another class of one of their buckets.
 
-    A pivot has met all members of its bucket.  With d = 1 - likeness to one pivot of the bucket, two members
-    at d and e are at least abs(d - e) apart, so a link needs steps of d (of width 1 - threshold) that touch.
+    The pivot has met all members of its bucket.  With d = 1 - likeness to it, two members at d and e are at
+    least abs(d - e) apart, so a link needs steps of d (of width 1 - threshold) that are the same or adjacent.
     """
     step = 1 - threshold
-    one = pivots.groupBy("key").agg(F.min("b").alias("b"))
-    dist = compared.join(one, ["key", "b"]).join(found, ["a", "b"]).select("key", F.col("a").alias("nid"), F.floor((1 - F.col("like")) / step + 1e-9).cast("int").alias("_d"))
-    left = active.drop("label").join(comp, "nid").join(pivots.withColumnRenamed("b", "nid"), ["key", "nid"], "left_anti")
-    placed = left.join(dist, ["key", "nid"], "left").withColumn("_d", F.coalesce("_d", F.lit(-1)))
-    # members without a distance (they were in that pivot's class) count as next to every step
+    dist = compared.join(found, ["a", "b"]).select("key", F.col("a").alias("nid"), F.floor((1 - F.col("like")) / step + 1e-9).cast("int").alias("_d"))
+    placed = dist.join(labels.select(F.col("node").alias("nid"), "component"), "nid", "left").select("key", "nid", "_d", F.coalesce("component", "nid").alias("label"))
     spread = placed.groupBy("key", "_d").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-    near = spread.select("key", F.explode(F.when(F.col("_d") < 0, F.sequence(F.lit(-1), F.lit(int(1 / step) + 2))).otherwise(F.array(F.lit(-1), F.col("_d") - 1, F.col("_d"), F.col("_d") + 1))).alias("_d"), "_lo", "_hi", F.col("_d").alias("_from"))
-    near = near.where("_d >= 0 or _d = -1").groupBy("key", "_d").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    return placed.join(near, ["key", "_d"]).where("_lo != label or _hi != label").select("key", "nid", "hub", "label")
+    near = spread.select("key", F.explode(F.array(F.col("_d") - 1, F.col("_d"), F.col("_d") + 1)).alias("_d"), "_lo", "_hi")
+    near = near.groupBy("key", "_d").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    return placed.join(near, ["key", "_d"]).where("_lo != label or _hi != label").select("nid", "label").distinct()
+
+
+def window_tokens(texts: DataFrame) -> DataFrame:
+    """(nid, w, token): one row for each occurrence of a window; the k-th occurrence of a window is a token of its own, w their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, block in each_block(batch, "_text"):
+                h, doc, count = multisets(block)
+                at = np.repeat(np.arange(len(h)), count)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                token = mix(h[at] + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+                size = np.bincount(doc, count, block.n).astype(np.int64) if len(doc) else np.zeros(block.n, np.int64)
+                nid = rows.column(0).to_numpy()[doc[at]] if len(at) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(size[doc[at]] if len(at) else nid), pa.array(token.view(np.int64))], ["nid", "w", "token"])
+
+    return texts.select("nid", "_text").mapInArrow(run, "nid bigint, w bigint, token bigint")
+
+
+def _by_rare_windows(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of members of different classes that can be linked, by the exact prefix filter.
+
+    Tokens are ordered by frequency, tokens of one text only first.  Texts x and y, y not longer, with likeness t
+    share t / (1 + t) (|x| + |y|) tokens, and all of them lie behind the first shared one.  So that one is
+    within the first |x| - t |x| + 1 of x and |y| - 2 t / (1 + t) |y| + 1 of y, and neither text has fewer
+    tokens from there on than must be shared.
+    """
+    tokens = window_tokens(texts.join(left.select("nid"), "nid", "left_semi"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("nid")  # a text's own tokens
+    place = F.col("w") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "token")) - 1
+    shared = tokens.join(counts, "token").withColumn("pos", place)
+    t = threshold - 1e-9
+    prefix = staged(shared.where(F.col("pos") <= F.col("w") - F.ceil(F.col("w") * t)).join(left, "nid").select("nid", "label", "w", "token", "pos"), "prefix")
+    x = prefix.select(F.col("nid").alias("a"), F.col("label").alias("_la"), F.col("w").alias("_wa"), F.col("pos").alias("_pa"), "token")
+    y = prefix.where(F.col("pos") <= F.col("w") - F.ceil(F.col("w") * (2 * t / (1 + t)))).select(F.col("nid").alias("b"), F.col("label").alias("_lb"), F.col("w").alias("_wb"), F.col("pos").alias("_pb"), F.col("token").alias("_token"))
+    need = F.ceil((F.col("_wa") + F.col("_wb")) * (t / (1 + t)))
+    fits = (x["token"] == y["_token"]) & (F.col("_la") != F.col("_lb")) & (F.col("_wb") <= F.col("_wa")) & (F.col("_wb") >= F.col("_wa") * t) & (F.least(F.col("_wa") - F.col("_pa"), F.col("_wb") - F.col("_pb")) >= need)
+    return x.join(y, fits).select("a", "b").distinct()
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
