@@ -7,6 +7,8 @@ vid of its component plus 1.  Value 0 is background and has label 0.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..plans.graph import connected_components as graph_components
 from ..plans.staging import staged
 
 #: A run graph of at most so many edges is solved on the driver; the edges are counted first.
-SMALL_EDGES = 300_000
+SMALL_EDGES = 3_000_000
 
 
 def runs(img: DataFrame, grid: GridSpec, v: str = "v") -> DataFrame:
@@ -52,30 +54,29 @@ def run_edges(run_table: DataFrame, grid: GridSpec) -> DataFrame:
     return left.join(run_table, touch).where("src != run").select("src", F.col("run").alias("dst")).distinct()
 
 
+def least_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node of each one's component: roots hook to lesser roots, then paths are halved, until edges join equals."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    parent = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = low != high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return nodes, nodes[parent]
+
+
 def solve(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table, on the driver if it is small, else by star contraction."""
     edges = staged(edges, "edges")
-    spark = edges.sparkSession
     if edges.count() > SMALL_EDGES:
         return graph_components(edges)
-    parent: dict[int, int] = {}
-
-    def find(a: int) -> int:
-        while parent.setdefault(a, a) != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
     pairs = edges.toArrow()
-    for a, b in zip(pairs["src"].to_pylist(), pairs["dst"].to_pylist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    import pyarrow as pa
-
-    nodes = list(parent)
-    table = pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([find(a) for a in nodes], pa.int64())})
-    return spark.createDataFrame(table)
+    nodes, labels = least_labels(pairs["src"].to_numpy(), pairs["dst"].to_numpy())
+    return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(labels, pa.int64())}))
 
 
 def components(img: DataFrame, grid: GridSpec, v: str = "v", label: str = "label") -> DataFrame:

@@ -218,8 +218,8 @@ def functionals_of(h: np.ndarray, shape: tuple[int, int, int], resolution: tuple
     whole = math.prod(shape) * math.prod(spacing)
     got = [whole * volume_density(h), whole * surface_density(h, spacing), whole * curvature_density(h, spacing), whole * euler26_density(h, spacing)]
     if norm:
-        return tuple(g / whole / factor**k for k, g in enumerate(got))
-    return tuple(g * factor ** (3 - k) for k, g in enumerate(got))
+        return tuple(float(g / whole / factor**k) for k, g in enumerate(got))
+    return tuple(float(g * factor ** (3 - k)) for k, g in enumerate(got))
 
 
 def functionals(img: DataFrame, grid: GridSpec, phase=None) -> tuple[float, float, float, float]:
