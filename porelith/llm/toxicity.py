@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Logit, remainder
-from .textblocks import Block, each_block
+from .common import Logit, lowest, remainder
+from .textblocks import Block, blocks, each_block
 
 #: Labelled rows that training takes (lowest hash of the id), a documented bound.
 TRAIN_ROWS = 6_000
@@ -177,19 +177,55 @@ class Lexicon:
         return self.curve.predict(self.features(block))
 
 
-def _tally(docs: list[list[str]]) -> tuple[Counter, Counter, int]:
-    """Documents and occurrences of each stem, and all words."""
-    df, occ, words = Counter(), Counter(), 0
-    for ws in docs:
-        words += len(ws)
-        own = Counter()
-        for w, m in Counter(ws).items():
-            for n in STEMS:
-                if len(w) >= n:
-                    own[" " + w[:n]] += m
-        occ.update(own)
-        df.update(own.keys())
-    return df, occ, words
+def _words(folding: Folding, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words, and word and document of every occurrence."""
+    known: dict[str, int] = {}
+    each = [np.fromiter((known.setdefault(w, len(known)) for w in folding.text(t).split()), np.int32) for t in texts]
+    return list(known), np.concatenate([*each, np.zeros(0, np.int32)]), np.repeat(np.arange(len(each), dtype=np.int32), [len(e) for e in each])
+
+
+def _rank(vocabulary: list[str], word: np.ndarray, toxic: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[tuple]:
+    """(evidence, length, stem, weight) of stems that tell toxic texts from others."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    w1 = int(toxic.sum())
+    w0 = len(word) - w1
+    tallies = []
+    for n in STEMS:
+        stems: dict[str, int] = {}
+        of = np.fromiter((stems.setdefault(w[:n], len(stems)) if len(w) >= n else -1 for w in vocabulary), np.int32, len(vocabulary))
+        stem = of[word]
+        has = stem >= 0
+        m = len(stems)
+        occ = np.bincount(stem[has] + m * toxic[has].astype(np.int64), minlength=2 * m).reshape(2, m)
+        pairs = np.unique(doc[has].astype(np.int64) * m + stem[has])
+        df = np.bincount(pairs % m + m * y[pairs // m].astype(np.int64), minlength=2 * m).reshape(2, m) if m else occ
+        tallies.append((list(stems), occ, df))
+    bar = 2 * math.log(max(10, sum(int((df[1] > 0).sum()) for _, _, df in tallies)))
+    ranked = []
+    for stems, occ, df in tallies:
+        for k in np.flatnonzero(df[1] >= 3):
+            a, b = int(df[1, k]), int(df[0, k])
+            ratio = (occ[1, k] / w1) / ((occ[0, k] + 0.5) / max(w0, 1))
+            if ratio >= RATE_RATIO and a / n1 > b / n0 and _surprise(a, n1, b, n0) > bar:  # chosen by documents, ranked by occurrences
+                stem = " " + stems[k]
+                ranked.append((_surprise(int(occ[1, k]), w1, int(occ[0, k]), w0), len(stem), stem, min(8.0, math.log(ratio))))
+    return sorted(ranked, reverse=True)
+
+
+def _spared(weights: dict[str, float], vocabulary: list[str], word: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[str]:
+    """Words that hold a term, and two words around one, that other texts have at twice the rate of toxic ones."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    holds = np.fromiter((any(" " + w[:n] in weights for n in STEMS) for w in vocabulary), bool, len(vocabulary))
+    seen = set()
+    for i in np.flatnonzero(holds[word]):
+        d, w = int(doc[i]), vocabulary[word[i]]
+        seen.add((d, w))
+        if i and doc[i - 1] == d:
+            seen.add((d, f"{vocabulary[word[i - 1]]} {w}"))
+        if i + 1 < len(word) and doc[i + 1] == d:
+            seen.add((d, f"{w} {vocabulary[word[i + 1]]}"))
+    other, own = (Counter(x for d, x in seen if y[d] == t) for t in (0, 1))
+    return [x for x, b in other.items() if b >= max(5, 0.002 * n0) and b / n0 >= 2 * own[x] / n1]
 
 
 def _surprise(a: int, n: int, b: int, m: int) -> float:
@@ -202,43 +238,18 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
     """A lexicon, its exceptions and its curve from labelled texts.  Without both labels nothing matches and the score is constant."""
     letters = Counter(c for t in texts for c in set(t.lower()) if c.isalpha() and not c.isascii() and c not in HOMOGLYPHS)
     keep = frozenset(c for c, n in letters.items() if n >= max(3, 0.005 * len(texts)))
-    folding = Folding(keep)
-    words = [folding.text(t).split() for t in texts]
     y = np.array(toxic, int)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
     weights: dict[str, float] = {}
     spared: list[str] = []
-    if n1 and n0:
-        df1, occ1, w1 = _tally([w for w, t in zip(words, y, strict=True) if t])
-        df0, occ0, w0 = _tally([w for w, t in zip(words, y, strict=True) if not t])
-        bar = 2 * math.log(max(10, len(df1)))
-        ranked = []
-        for stem, a in df1.items():
-            if a < 3:
-                continue
-            b = df0[stem]
-            ratio = (occ1[stem] / w1) / ((occ0[stem] + 0.5) / w0)
-            if ratio < RATE_RATIO or a / n1 <= b / n0:
-                continue
-            if _surprise(a, n1, b, n0) > bar:  # chosen by documents, ranked by occurrences
-                ranked.append((_surprise(occ1[stem], w1, occ0[stem], w0), len(stem), stem, min(8.0, math.log(ratio))))
-        for _, _, stem, weight in sorted(ranked, reverse=True):
+    if len(y) and 0 < y.sum() < len(y):
+        vocabulary, word, doc = _words(Folding(keep), texts)
+        for _, _, stem, weight in _rank(vocabulary, word, y[doc] > 0, doc, y):
             if not any(stem.startswith(t) or t.startswith(stem) for t in weights):
                 weights[stem] = weight
-        # words that hold a term, and two words around one, that other texts have at no lower rate
-        near = [Counter(), Counter()]
-        for ws, t in zip(words, y, strict=True):
-            own = set()
-            for i, w in enumerate(ws):
-                if any(" " + w[:n] in weights for n in STEMS):
-                    own |= {w, " ".join(ws[i : i + 2]), " ".join(ws[max(0, i - 1) : i + 1])}
-            near[t].update(own)
-        spared = [x for x, b in near[0].items() if b >= max(5, 0.002 * n0) and b / n0 >= 2 * near[1][x] / n1]
+        spared = _spared(weights, vocabulary, word, doc, y)
+        del vocabulary, word, doc
     lexicon = Lexicon(weights, tuple(sorted({*exceptions, *spared})), keep)
-    column = pa.array(texts, pa.string())
-    from .textblocks import blocks
-
-    x = np.concatenate([lexicon.features(b) for _, _, b in blocks(column)]) if texts else np.zeros((0, 5))
+    x = np.concatenate([lexicon.features(b) for _, _, b in blocks(pa.array(texts, pa.string()))]) if texts else np.zeros((0, 5))
     lexicon.curve = Logit().fit(x, y)
     return lexicon
 
@@ -250,13 +261,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     ids = docs.where("text is not null").select("doc_id").distinct().join(marked, "doc_id")
-    chosen = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows).collect()
+    chosen = lowest(ids, "doc_id", rows)
     if not chosen:
         return learn([], [])
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["_y"] > 0)) for r in chosen], "doc_id bigint, _y int")
-    got = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").collect()
-    got = sorted({(r["doc_id"], r["text"]): r["_y"] for r in got}.items())
-    return learn([t for (_, t), _ in got], [y for _, y in got])
+    got = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").toArrow()
+    rows = sorted(set(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["_y"].to_pylist(), strict=True)))
+    del got
+    return learn([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
