@@ -31,7 +31,7 @@ SPACE = "▁"
 #: An unknown character scores so much less than the least piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose path a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -108,25 +108,13 @@ class Codec:
         n = len(s)
         score, piece, length = [float("-inf")] * (n + 1), [-1] * (n + 1), [1] * (n + 1)
         score[0] = 0.0
-        at = 0  # places up to here have their final score
-        single, unknown = self.single, self.unknown_score
-        for end, (size, value, i) in self.automaton.iter(s) if len(self.automaton) else ():
-            while at < end:  # characters that end no piece
-                if s[at] not in single:
-                    self._unknown(score, piece, length, at, unknown)
-                at += 1
-            to, start = end + 1, end + 1 - size
-            if at == end and size == 1:
-                at = end + 1
-            elif at == end and s[end] not in single:
-                self._unknown(score, piece, length, end, unknown)
-                at = end + 1
-            if score[start] + value > score[to]:
-                score[to], piece[to], length[to] = score[start] + value, i, size
-        while at < n:
-            if s[at] not in single:
-                self._unknown(score, piece, length, at, unknown)
-            at += 1
+        matches = self.automaton.iter(s) if len(self.automaton) else ()
+        if not self.single.issuperset(s):
+            matches = self._with_unknown(s, matches)
+        for end, (size, value, i) in matches:  # by place; at a place the longest piece first
+            value += score[end + 1 - size]
+            if value > score[end + 1]:
+                score[end + 1], piece[end + 1], length[end + 1] = value, i, size
         out, to = [], n
         while to > 0:
             start = to - length[to]
@@ -134,10 +122,14 @@ class Codec:
             to = start
         return tuple(chain.from_iterable(reversed(out)))
 
-    @staticmethod
-    def _unknown(score, piece, length, at, value) -> None:
-        if score[at] + value > score[at + 1]:
-            score[at + 1], piece[at + 1], length[at + 1] = score[at] + value, -1, 1
+    def _with_unknown(self, s: str, matches):
+        """The matches with one of a single character, id -1, wherever no piece is just that character."""
+        waiting = [(k, (1, self.unknown_score, -1)) for k, c in enumerate(s) if c not in self.single][::-1]
+        for match in matches:
+            while waiting and waiting[-1][0] < match[0]:
+                yield waiting.pop()
+            yield match
+        yield from reversed(waiting)
 
     def encode(self, text: str) -> list[int]:
         if not text:
