@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,18 +62,19 @@ class Logit:
         return sigmoid(self.w[0] + ((np.asarray(x, float) - self.mean) / self.scale) @ self.w[1:])
 
 
-def attached(docs: DataFrame, found: DataFrame, keys: dict[str, Column], values: list[str]) -> DataFrame:
+def attached(docs: DataFrame, found: DataFrame, keys: dict[str, Column], values: list[str], where: str = "true") -> DataFrame:
     """``docs`` with ``values`` of ``found``, which has one row for each row of ``docs`` under ``keys`` (null-safe).
 
-    Rows alike in all keys are paired by number, so each gets the values of one.  The rows of ``docs`` are
-    shuffled once.  Columns of ``docs`` named like ``values`` are replaced.
+    Rows whose values fail ``where`` are left out.  Rows alike in all keys are paired by number, so each gets the
+    values of one; where no keys are alike, the rows of ``docs`` are shuffled just once.  Columns of ``docs``
+    named like ``values`` are replaced.  ``found`` is read twice and should be staged.
     """
-    from pyspark.sql import Window
-
     names = [c for c in docs.columns if c not in values]
     as_key = lambda c: F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("n"))
     cols = [f"__{k}" for k in keys]
-    number = F.row_number().over(Window.partitionBy(*cols).orderBy(cols[0]))
-    left = docs.select(*names, *(as_key(c).alias(f"__{k}") for k, c in keys.items())).withColumn("__number", number)
-    right = found.select(*(as_key(F.col(k)).alias(f"__{k}") for k in keys), *(F.col(v).alias(f"__v_{v}") for v in values)).withColumn("__number", number)
-    return left.join(right, [*cols, "__number"]).select(*names, *(F.col(f"__v_{v}").alias(v) for v in values))
+    left = docs.select(*names, *(as_key(c).alias(f"__{k}") for k, c in keys.items()))
+    right = found.select(*(as_key(F.col(k)).alias(f"__{k}") for k in keys), *(F.col(v).alias(f"__v_{v}") for v in values), F.expr(where).alias("__taken"))
+    if not right.groupBy(*cols).count().where("count > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy(*cols).orderBy(cols[0]))
+        left, right, cols = left.withColumn("__number", number), right.withColumn("__number", number), [*cols, "__number"]
+    return left.join(right.where("__taken"), cols).select(*names, *(F.col(f"__v_{v}").alias(v) for v in values))

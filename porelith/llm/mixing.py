@@ -77,8 +77,8 @@ def mixed(docs: DataFrame, seed: str = SEED, key: str = "doc_id", text: str = "t
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as many times as the mix takes it."""
     key, text, source = (options.get(k, d) for k, d in (("key", "doc_id"), ("text", "text"), ("source", "source")))
-    found = mixed(docs, **options).where("copies > 0").withColumnRenamed("copies", "__copies")
-    both = attached(docs, found, {"_id": F.col(key), "size": word_count(text), "_source": source_key(source)}, ["__copies"])
+    found = staged(mixed(docs, **options).select("_id", "size", "_source", F.col("copies").alias("__copies")), "copies")
+    both = attached(docs, found, {"_id": F.col(key), "size": word_count(text), "_source": source_key(source)}, ["__copies"], "__copies > 0")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 

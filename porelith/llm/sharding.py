@@ -50,7 +50,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, key: str =
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, per_file: int = 100_000, **names) -> None:
     """Write ``docs`` under ``path``/shard=K, files in order of their slots, about ``per_file`` rows each."""
     key, text = names.get("key", "doc_id"), names.get("text", "text")
-    found = sharded(docs, shards, **names)
+    found = staged(sharded(docs, shards, **names), "shards")
     body = F.coalesce(F.col(text), F.lit(""))
     both = attached(docs, found, {"_id": F.col(key), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary")).cast("long")}, ["shard", "slot"])
     block = F.floor(F.col("slot") / per_file)
