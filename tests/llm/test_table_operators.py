@@ -447,3 +447,11 @@ def test_attached_pairs_rows_alike(spark):
     found = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (None, 8)], "k bigint, v int")
     got = common.attached(docs, found, {"k": F.col("doc_id")}, ["v"]).collect()
     assert Counter((r["doc_id"], r["v"]) for r in got) == Counter([(1, 5), (1, 6), (2, 7), (None, 8)])
+
+
+def test_attached_counts_left_out_rows(spark):
+    """Two rows alike of which one is left out: the other stays once."""
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id bigint, t string")
+    found = spark.createDataFrame([(1, 1), (1, 0), (2, 2)], "k bigint, n int")
+    got = common.attached(docs, found, {"k": F.col("doc_id")}, ["n"], "n > 0").collect()
+    assert Counter((r["doc_id"], r["n"]) for r in got) == Counter([(1, 1), (2, 2)])
