@@ -63,12 +63,11 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     n = slim.count()
     ranged = staged(slim.repartitionByRange(max(1, -(-n // PER_RANGE), min(32, -(-n // 1000))), "_id", "_h").withColumn("_p", F.spark_partition_id()), "ranged")
     row = F.struct("_id", "_h", "_n")
-    ends = ranged.groupBy("_p").agg(F.max(row).alias("_last"))
-    across = Window.orderBy("_p")
-    last = ends.agg(F.max(F.struct("_p", "_last"))["_last"].alias("_of_all"))
-    before = ends.select("_p", F.lag("_last").over(across).alias("_before")).crossJoin(F.broadcast(last)).select("_p", F.coalesce("_before", "_of_all").alias("_before"))
+    across = Window.orderBy("_p")  # one row a range
+    last = F.last("_end").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ranged.groupBy("_p").agg(F.max(row).alias("_end")).select("_p", F.coalesce(F.lag("_end").over(across), last).alias("_before"))
     within = Window.partitionBy("_p").orderBy("_id", "_h")
-    prev = ranged.withColumn("_prev", F.lag(row).over(within)).join(F.broadcast(before), "_p").withColumn("_prev", F.coalesce("_prev", "_before"))
+    prev = ranged.withColumn("_prev", F.lag(row).over(within)).join(ends, "_p").withColumn("_prev", F.coalesce("_prev", "_before"))
     return prev.select("_id", "_h", "_n", F.col("_prev._id").alias("_prev_id"), F.col("_prev._h").alias("_prev_h"), F.col("_prev._n").alias("_prev_n"), "_rows")
 
 
