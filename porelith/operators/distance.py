@@ -1,8 +1,8 @@
 """Euclidean distances by separable passes along lines.
 
 The squared distance to the nearest solid voxel is the minimum over three axes in turn of f(i) + (h (i - j))^2.
-A pass deals the voxels by line, so whole lines meet in a task, and works on many lines at once as rows of an
-array; memory is bounded by LINES_AT_ONCE voxels.  Periodic axes take the shorter way round.  Exact and
+A pass deals the voxels by line or plane, so these are whole in a task, and works on many at once as one array;
+memory is bounded by VOXELS_AT_ONCE voxels or a plane.  Periodic axes take the shorter way round.  Exact and
 anisotropic; a radius bounds the steps.
 """
 
@@ -18,24 +18,31 @@ from pyspark.sql import types as T
 
 from ..functions.grid import AXES, GridSpec
 
-LINES_AT_ONCE = 1_000_000
+VOXELS_AT_ONCE = 1_000_000
+#: Planes of at most so many voxels are dealt whole, which saves a shuffle.
+PLANE_VOXELS = 4_000_000
 
 
-def along(img: DataFrame, length: int, axis: int, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], reads: list[str], writes: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Columns ``writes`` of doubles from ``kernel``, which gets and gives arrays of lines x ``length``.
+def along(img: DataFrame, lengths: dict[str, int], kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], reads: list[str], writes: list[str], drops: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Columns ``writes`` of doubles from ``kernel``, which gets and gives arrays of groups x ``lengths``.
 
-    The image must have every voxel of every line once; other columns pass through.
+    ``lengths`` names one axis (lines) or two (planes) and their voxels.  The image must have every voxel of
+    every group once; columns other than ``drops`` pass through.  Groups are dealt by the other axes, so each
+    is whole in one task; a task holds about VOXELS_AT_ONCE voxels at a time.
     """
-    name, rest = axes[axis], [c for i, c in enumerate(axes) if i != axis]
-    keep = [c for c in img.columns if c not in writes]
+    rest = [c for c in axes if c not in lengths]
+    shape, size = (-1, *lengths.values()), int(np.prod(list(lengths.values())))
+    keep = [c for c in img.columns if c not in writes and c not in drops]
     schema = T.StructType([img.schema[c] for c in keep] + [T.StructField(w, T.DoubleType()) for w in writes])
     names = img.columns
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        get = lambda c: rows.column(names.index(c)).to_numpy().reshape(-1, length)
-        i = get(name)
-        if (np.diff(i, axis=1) != 1).any() or (i[:, 0] != i[0, 0]).any():
-            raise ValueError("lines must have each voxel once")
+        get = lambda c: rows.column(names.index(c)).to_numpy().reshape(shape)
+        for k, name in enumerate(lengths):
+            i = get(name)
+            steps = np.arange(shape[k + 1]).reshape([-1 if d == k else 1 for d in range(len(lengths))])
+            if (i != i.flat[0] + steps).any():
+                raise ValueError("lines must have each voxel once")
         new = kernel({c: get(c) for c in reads})
         cols = [rows.column(names.index(c)).combine_chunks() for c in keep] + [pa.array(np.ascontiguousarray(new[w], dtype=np.float64).ravel(), pa.float64()) for w in writes]
         return pa.Table.from_arrays(cols, names=schema.names).combine_chunks().to_batches()[0]
@@ -45,39 +52,40 @@ def along(img: DataFrame, length: int, axis: int, kernel: Callable[[dict[str, np
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= max(LINES_AT_ONCE, length):
+            if n >= max(VOXELS_AT_ONCE, size):
                 table = pa.Table.from_batches(held)
-                full = n // length * length
+                full = n // size * size
                 yield solve(table.slice(0, full))
                 rest_rows = table.slice(full)
                 held, n = rest_rows.to_batches(), rest_rows.num_rows
         if n:
-            if n % length:
+            if n % size:
                 raise ValueError("lines must have each voxel once")
             yield solve(pa.Table.from_batches(held))
 
-    dealt = img.repartition(*rest).sortWithinPartitions(*rest, name) if rest else img.repartition(1).sortWithinPartitions(name)
-    return dealt.mapInArrow(run, schema)
+    dealt = img.repartition(*rest) if rest else img.repartition(1)
+    return dealt.sortWithinPartitions(*rest, *lengths).mapInArrow(run, schema)
 
 
 def nearest_zero(solid: np.ndarray, h: float, periodic: bool) -> np.ndarray:
-    """Squared distance along each line to its nearest True; infinite without one."""
-    n = solid.shape[1]
+    """Squared distance along the last axis to its nearest True; infinite without one."""
+    n = solid.shape[-1]
     i = np.arange(n, dtype=np.float64)
-    last = np.maximum.accumulate(np.where(solid, i, -np.inf), axis=1)
-    first = np.minimum.accumulate(np.where(solid, i, np.inf)[:, ::-1], axis=1)[:, ::-1]
+    last = np.maximum.accumulate(np.where(solid, i, -np.inf), axis=-1)
+    first = np.minimum.accumulate(np.where(solid, i, np.inf)[..., ::-1], axis=-1)[..., ::-1]
     if periodic:
-        last = np.maximum(last, last[:, -1:] - n)
-        first = np.minimum(first, first[:, :1] + n)
+        last = np.maximum(last, last[..., -1:] - n)
+        first = np.minimum(first, first[..., :1] + n)
     d = np.minimum(i - last, first - i) * h
     return d * d
 
 
 def widen(f: np.ndarray, h: float, periodic: bool, reach: int | None = None) -> np.ndarray:
-    """min over j of f(j) + (h (i - j))^2 for each line; steps end where they can no longer lower anything."""
+    """min over j of f(j) + (h (i - j))^2 along axis 1; steps end where they can no longer lower anything."""
     n = f.shape[1]
     out = f.copy()
-    for s in range(1, (n // 2 if periodic else n - 1) + 1 if reach is None else min(reach, n // 2 if periodic else n - 1) + 1):
+    furthest = n // 2 if periodic else n - 1
+    for s in range(1, (furthest if reach is None else min(reach, furthest)) + 1):
         step = (s * h) ** 2
         if step >= out.max(initial=0.0):
             break
@@ -103,34 +111,37 @@ def nearest_1d(values, h: float = 1.0, periodic: bool = False, lower: float = np
     return np.minimum(d2, np.minimum((i * h + lower) ** 2, ((v.shape[1] - 1 - i) * h + upper) ** 2))
 
 
-def _lengths(grid: GridSpec) -> list[int]:
-    return [hi - lo for lo, hi in (grid.extent(a) for a in range(3))]
-
-
 def squared_distance_to(img: DataFrame, grid: GridSpec, seeds: list[str], outs: list[str], radii: list[float | None] | None = None) -> DataFrame:
     """For each boolean column of ``seeds`` the squared distance to its nearest True voxel, infinite without one.
 
-    All columns go through the three passes together.  With radii, values up to a radius are exact and the
-    others are above its square.
+    All columns go through the passes together, and the seeds are dropped: planes of y and z first (or lines of
+    z and then of y, where a plane is too large), then lines of x.  With radii, values up to a radius are exact
+    and the others infinite.
     """
     radii = radii or [None] * len(seeds)
-    lengths = _lengths(grid)
-    order = (2, 1, 0)
-    out = img
-    for turn, axis in enumerate(order):
-        h, periodic = grid.resolution[axis], grid.periodic[axis]
-
-        def kernel(cols, h=h, periodic=periodic, turn=turn):
-            new = {}
-            for seed, o, r in zip(seeds, outs, radii, strict=True):
-                reach = None if r is None else int(np.ceil(r / h - 1e-9))
-                new[o] = nearest_zero(cols[seed].astype(bool), h, periodic) if turn == 0 else widen(cols[o], h, periodic, reach)
-                if r is not None:
-                    new[o][new[o] > r * r * (1 + 1e-12)] = np.inf
-            return new
-
-        out = along(out, lengths[axis], axis, kernel, seeds if turn == 0 else outs, outs)
-    return out
+    n = {a: grid.extent(k)[1] - grid.extent(k)[0] for k, a in enumerate(AXES)}
+    h, wraps = dict(zip(AXES, grid.resolution, strict=True)), dict(zip(AXES, grid.periodic, strict=True))
+
+    def clip(d2: np.ndarray, r: float | None) -> np.ndarray:
+        if r is not None:
+            d2[d2 > r * r * (1 + 1e-12)] = np.inf
+        return d2
+
+    def lines(axis: str):
+        def kernel(cols):
+            return {o: clip(widen(cols[o], h[axis], wraps[axis], None if r is None else int(np.ceil(r / h[axis] - 1e-9))), r) for o, r in zip(outs, radii, strict=True)}
+
+        return kernel
+
+    def first(cols):
+        return {o: clip(nearest_zero(cols[s].astype(bool), h["z"], wraps["z"]), r) for s, o, r in zip(seeds, outs, radii, strict=True)}
+
+    drops = tuple(seeds)
+    if n["y"] * n["z"] <= PLANE_VOXELS:
+        out = along(img, {"y": n["y"], "z": n["z"]}, lambda cols: lines("y")(first(cols)), seeds, outs, drops)
+    else:
+        out = along(along(img, {"z": n["z"]}, first, seeds, outs, drops), {"y": n["y"]}, lines("y"), outs, outs)
+    return along(out, {"x": n["x"]}, lines("x"), outs, outs)
 
 
 def squared_edt(img: DataFrame, grid: GridSpec, v: str = "v", out: str = "d2") -> DataFrame:
@@ -139,7 +150,7 @@ def squared_edt(img: DataFrame, grid: GridSpec, v: str = "v", out: str = "d2") -
     Faces of END and WALL type are no solid by themselves.
     """
     marked = img.withColumn("_seed", F.col(v) == 0)
-    found = squared_distance_to(marked, grid, ["_seed"], [out]).drop("_seed")
+    found = squared_distance_to(marked, grid, ["_seed"], [out])
     return found.withColumn(out, F.when(F.col(out) < float("inf"), F.col(out)))
 
 
@@ -150,9 +161,9 @@ def edt(img: DataFrame, grid: GridSpec, v: str = "v", out: str = "distance") ->
 
 def squared_edt_2d(img: DataFrame, shape: tuple[int, int], periodic=(False, False), resolution=(1.0, 1.0), v: str = "v", out: str = "d2") -> DataFrame:
     """As squared_edt for an image with columns x and y."""
-    first = along(img.withColumn("_seed", F.col(v) == 0), shape[1], 1, lambda c: {out: nearest_zero(c["_seed"].astype(bool), resolution[1], periodic[1])}, ["_seed"], [out], ("x", "y"))
-    both = along(first, shape[0], 0, lambda c: {out: widen(c[out], resolution[0], periodic[0])}, [out], [out], ("x", "y"))
-    return both.drop("_seed").withColumn(out, F.when(F.col(out) < float("inf"), F.col(out)))
+    first = along(img.withColumn("_seed", F.col(v) == 0), {"y": shape[1]}, lambda c: {out: nearest_zero(c["_seed"].astype(bool), resolution[1], periodic[1])}, ["_seed"], [out], ("_seed",), ("x", "y"))
+    both = along(first, {"x": shape[0]}, lambda c: {out: widen(c[out], resolution[0], periodic[0])}, [out], [out], (), ("x", "y"))
+    return both.withColumn(out, F.when(F.col(out) < float("inf"), F.col(out)))
 
 
 def squared_edt_relational(img: DataFrame, grid: GridSpec, v: str = "v", out: str = "d2") -> DataFrame:

@@ -50,7 +50,7 @@ def dilate(img: DataFrame, grid: GridSpec, radius: float, v: str = "v") -> DataF
     _check(grid, radius)
     marked = img.withColumn("_seed", F.col(v) == 1)
     near = squared_distance_to(marked, grid, ["_seed"], ["_d2"], [radius])
-    out = near.withColumn(v, (F.col("_d2") <= radius * radius).cast("int")).drop("_seed", "_d2")
+    out = near.withColumn(v, (F.col("_d2") <= radius * radius).cast("int")).drop("_d2")
     return set_walls(out, grid, v)
 
 
@@ -59,7 +59,7 @@ def erode(img: DataFrame, grid: GridSpec, radius: float, v: str = "v") -> DataFr
     _check(grid, radius)
     marked = img.withColumn("_seed", F.col(v) == 0)
     near = squared_distance_to(marked, grid, ["_seed"], ["_d2"], [radius])
-    return near.withColumn(v, (F.col("_d2") > radius * radius).cast("int")).drop("_seed", "_d2")
+    return near.withColumn(v, (F.col("_d2") > radius * radius).cast("int")).drop("_d2")
 
 
 addition, subtraction = dilate, erode

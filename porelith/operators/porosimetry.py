@@ -105,7 +105,7 @@ def pore_size_distribution(img: DataFrame, grid: GridSpec, radii=None, num_radii
         marked = out.withColumns({s: F.col("d2") > r * r for s, r in zip(seeds, some, strict=True)})
         near = squared_distance_to(marked, grid, seeds, outs, list(some))
         covered = [F.when(F.col(o) <= r * r, F.lit(r)) for o, r in zip(outs, some, strict=True)]
-        out = near.withColumn("radius", F.greatest("radius", F.coalesce(*covered, F.lit(0.0)))).drop(*seeds, *outs)
+        out = near.withColumn("radius", F.greatest("radius", F.coalesce(*covered, F.lit(0.0)))).drop(*outs)
     return out.select(*AXES, F.when(F.col(v) == 1, F.col("radius")).otherwise(0.0).alias("radius"))
 
 

@@ -81,7 +81,7 @@ def smooth(img: DataFrame, grid: GridSpec, sigma: float, v: str = "v") -> DataFr
     out = img
     for axis in range(3):
         lo, hi = grid.extent(axis)
-        out = along(out, hi - lo, axis, kernel, [v], [v])
+        out = along(out, {AXES[axis]: hi - lo}, kernel, [v], [v])
     return out
 
 

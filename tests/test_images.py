@@ -74,6 +74,17 @@ def test_edt_matches_brute_force(spark, periodic):
         np.testing.assert_allclose(got, want)
 
 
+def test_edt_of_large_planes_goes_by_lines(spark, monkeypatch):
+    monkeypatch.setattr(distance, "PLANE_VOXELS", 10)
+    monkeypatch.setattr(distance, "VOXELS_AT_ONCE", 30)
+    values = (np.random.default_rng(4).random((5, 6, 7)) > 0.1).astype(int)
+    grid = GridSpec((5, 6, 7), box=((0, 5), (0, 6), (0, 7)))
+    got = g.to_array(distance.squared_edt(g.from_array(spark, values), grid), values.shape, "d2")
+    np.testing.assert_allclose(got, brute_edt2(values == 0, grid.resolution, (False,) * 3))
+    with pytest.raises(Exception, match="each voxel once"):
+        distance.squared_edt(g.from_array(spark, values).where("x + y + z != 4"), grid).count()
+
+
 def test_edt_without_solid_is_null(spark):
     grid = GridSpec((3, 3, 3))
     img = g.from_array(spark, np.ones((3, 3, 3), int))
