@@ -62,7 +62,7 @@ _COUNTS = "SELECT CAST(l_quantity AS INT) - 1 AS x, CAST(round(l_discount * 100)
 _GRID = f"SELECT CAST(a AS INT) AS x, CAST(b AS INT) AS y, CAST(c AS INT) AS z FROM range({NX}) t1(a), range({NY}) t2(b), range({NZ}) t3(c)"
 _LINE = f"WITH RECURSIVE img AS (SELECT x, y, z, CASE WHEN nr * 100 > 40 * n THEN 0 ELSE 1 END AS v FROM ({_GRID}) LEFT JOIN ({_COUNTS}) USING (x, y, z))"
 _SPARSE = f"WITH RECURSIVE img AS (SELECT x, y, z, CASE WHEN nr * 2 > n THEN CASE WHEN n_o * 2 > n THEN 2 ELSE 1 END ELSE 0 END AS v FROM ({_GRID}) LEFT JOIN ({_COUNTS}) USING (x, y, z))"
-_CLOUD = f"SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, (label % 10 + 1) * {RADIUS_STEP} AS r, label AS type, CAST(label + 1 AS DOUBLE) AS mass FROM embeddings"
+_CLOUD = f"SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, (label % 10 + 1) * {RADIUS_STEP}::DOUBLE AS r, label AS type, CAST(label + 1 AS DOUBLE) AS mass FROM embeddings"
 _CLOUD_GRID = "SELECT CAST(a AS INT) AS x, CAST(b AS INT) AS y, CAST(c AS INT) AS z, -1 + (a + 0.5) / 8 AS cx, -1 + (b + 0.5) / 8 AS cy, -1 + (c + 0.5) / 8 AS cz FROM range(16) t1(a), range(16) t2(b), range(16) t3(c)"
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
@@ -267,7 +267,7 @@ def nearest_solid_distance(spark, sf_dir):
     return voxels.nearest_distance(line_image(spark, sf_dir), LINE, 1, 0)
 
 
-@query(f"{_LINE} SELECT 0 AS axis, 0 AS side, (x * {NY} + y) * {NZ} + z AS vid, v FROM img WHERE x = 0 UNION ALL SELECT 0, 1, (x * {NY} + y) * {NZ} + z, v FROM img WHERE x = {NX - 1} UNION ALL SELECT 1, 0, (x * {NY} + y) * {NZ} + z, v FROM img WHERE y = 0 UNION ALL SELECT 1, 1, (x * {NY} + y) * {NZ} + z, v FROM img WHERE y = {NY - 1} UNION ALL SELECT 2, 0, (x * {NY} + y) * {NZ} + z, v FROM img WHERE z = 0 UNION ALL SELECT 2, 1, (x * {NY} + y) * {NZ} + z, v FROM img WHERE z = {NZ - 1}")
+@query(f"{_LINE} SELECT 0 AS axis, 0 AS side, CAST((x * {NY} + y) * {NZ} + z AS BIGINT) AS vid, v FROM img WHERE x = 0 UNION ALL SELECT 0, 1, CAST((x * {NY} + y) * {NZ} + z AS BIGINT), v FROM img WHERE x = {NX - 1} UNION ALL SELECT 1, 0, CAST((x * {NY} + y) * {NZ} + z AS BIGINT), v FROM img WHERE y = 0 UNION ALL SELECT 1, 1, CAST((x * {NY} + y) * {NZ} + z AS BIGINT), v FROM img WHERE y = {NY - 1} UNION ALL SELECT 2, 0, CAST((x * {NY} + y) * {NZ} + z AS BIGINT), v FROM img WHERE z = 0 UNION ALL SELECT 2, 1, CAST((x * {NY} + y) * {NZ} + z AS BIGINT), v FROM img WHERE z = {NZ - 1}")
 def face_voxels(spark, sf_dir):
     return voxels.face_values(line_image(spark, sf_dir), LINE)
 
@@ -280,7 +280,7 @@ def blocks_with_halo(spark, sf_dir):
     return voxels.deconstruct(line_image(spark, sf_dir), _BLOCKS).select("block", "lx", "ly", "lz", "v")
 
 
-@query(f"{_LINE} SELECT mask, count(*) AS n FROM (SELECT a.x, a.y, a.z, sum(b.v << ((b.x - a.x) + 2 * (b.y - a.y) + 4 * (b.z - a.z))) AS mask FROM img a JOIN img b ON b.x - a.x BETWEEN 0 AND 1 AND b.y - a.y BETWEEN 0 AND 1 AND b.z - a.z BETWEEN 0 AND 1 WHERE a.x < {NX - 1} AND a.y < {NY - 1} AND a.z < {NZ - 1} GROUP BY ALL) GROUP BY mask")
+@query(f"{_LINE} SELECT mask, count(*) AS n FROM (SELECT a.x, a.y, a.z, CAST(sum(b.v << ((b.x - a.x) + 2 * (b.y - a.y) + 4 * (b.z - a.z))) AS BIGINT) AS mask FROM img a JOIN img b ON b.x - a.x BETWEEN 0 AND 1 AND b.y - a.y BETWEEN 0 AND 1 AND b.z - a.z BETWEEN 0 AND 1 WHERE a.x < {NX - 1} AND a.y < {NY - 1} AND a.z < {NZ - 1} GROUP BY ALL) GROUP BY mask")
 def cell_configurations(spark, sf_dir):
     found = minkowski.configurations(line_image(spark, sf_dir), LINE.voxels_shape)
     return found.select(F.col("mask").cast("long").alias("mask"), "n").where("n > 0").groupBy("mask").agg(F.sum("n").alias("n"))
@@ -353,7 +353,7 @@ _TOUCH = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AN
 _VID = f"(x * {NY} + y) * {NZ} + z"
 
 
-@query(f"{_SPARSE}, fg AS (SELECT *, {_VID} AS vid FROM img WHERE v > 0), reach AS (SELECT vid, vid AS root FROM fg UNION SELECT b.vid, r.root FROM reach r JOIN fg a ON a.vid = r.vid JOIN fg b ON {_TOUCH} WHERE r.root <= b.vid) SELECT i.x, i.y, i.z, coalesce(l.label, 0) AS label FROM img i LEFT JOIN (SELECT vid, min(root) + 1 AS label FROM reach GROUP BY vid) l ON l.vid = (i.x * {NY} + i.y) * {NZ} + i.z")
+@query(f"{_SPARSE}, fg AS (SELECT *, {_VID} AS vid FROM img WHERE v > 0), reach AS (SELECT vid, vid AS root FROM fg UNION SELECT b.vid, r.root FROM reach r JOIN fg a ON a.vid = r.vid JOIN fg b ON {_TOUCH} WHERE r.root <= b.vid) SELECT i.x, i.y, i.z, CAST(coalesce(l.label, 0) AS BIGINT) AS label FROM img i LEFT JOIN (SELECT vid, min(root) + 1 AS label FROM reach GROUP BY vid) l ON l.vid = (i.x * {NY} + i.y) * {NZ} + i.z")
 def component_labels(spark, sf_dir):
     return components.components(sparse_image(spark, sf_dir), LINE).select(*AXES, "label")
 
