@@ -25,6 +25,7 @@ MAX_ORDER = 3
 #: Training takes at most so many documents (lowest hash of the id) and bytes of each language; a documented bound.
 TRAIN_DOCS, TRAIN_BYTES = 600, 2_000_000
 UNKNOWN = "und"
+SLICE = 4_000_000
 
 
 def _codes(code: np.ndarray, data: np.ndarray, bounds: np.ndarray, a: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -83,15 +84,27 @@ class ByteTrees:
         self.row_of, self.table = row_of, table.reshape(len(table) * a, n)
 
     def bits(self, block: Block) -> np.ndarray:
-        """The code length of each text of a block in each language."""
+        """The code length of each text of a block in each language.  A text above SLICE bytes is coded slice by slice."""
         out = np.zeros((block.n, len(self.langs)))
         full = np.flatnonzero(np.diff(block.bounds) > 0)
-        if len(full) and self.langs:
+        if not len(full) or not self.langs:
+            return out
+        if block.n > 1 or len(block.data) <= SLICE:
             c, contexts = _codes(self.code, block.data, block.bounds, self.size)
-            each = self.table.take(self.row_of[contexts[-1]].astype(np.int64) * self.size + c, axis=0)
-            out[full] = np.add.reduceat(each, block.bounds[full], axis=0, dtype=np.float64)
+            out[full] = np.add.reduceat(self._each(c, contexts[-1]), block.bounds[full], axis=0, dtype=np.float64)
+            return out
+        before = np.full(MAX_ORDER, self.size - 1, np.int64)
+        for p in range(0, len(block.data), SLICE):
+            wide = np.concatenate([before, self.code[block.data[p : p + SLICE]]])
+            n = len(wide) - MAX_ORDER
+            context = sum(wide[MAX_ORDER - o : MAX_ORDER - o + n] * self.size ** (o - 1) for o in range(1, MAX_ORDER + 1))
+            out[0] += self._each(wide[MAX_ORDER:], context).sum(0, dtype=np.float64)
+            before = wide[-MAX_ORDER:]
         return out
 
+    def _each(self, c: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self.table.take(self.row_of[context].astype(np.int64) * self.size + c, axis=0)
+
     def predict(self, block: Block) -> tuple[list[str], np.ndarray]:
         """The language with the shortest code (the first by name of equals) and its share among all 2 ** -length."""
         bits = self.bits(block)

@@ -176,6 +176,14 @@ def test_code_lengths_match_brute_force():
     np.testing.assert_allclose(got, want, rtol=1e-5)
 
 
+def test_long_texts_are_coded_in_slices(monkeypatch):
+    trees = language_id.ByteTrees({"a": [b"the cat sat on the mat"], "b": [b"der hund"]})
+    text = ["the cat and der hund " * 20]
+    whole = trees.bits(one(text))
+    monkeypatch.setattr(language_id, "SLICE", 7)
+    np.testing.assert_allclose(trees.bits(one(text)), whole, rtol=1e-6)
+
+
 def test_language_odd_and_empty(spark, odd, none):
     trees = language_id.train(odd)
     rows = language_id.identify(odd, trees).collect()
