@@ -9,7 +9,9 @@ from .joins import keyed_join
 from .staging import staged
 
 #: Rows that one window group should hold; a key with more is cut into several buckets.
-PER_BUCKET = 16_384
+PER_BUCKET = 512
+#: Buckets whose counts are summed in one window group; above it the sums of such groups are summed.
+FAN = 4096
 
 
 def unit_hash(*parts: Column | str) -> Column:
@@ -18,11 +20,18 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _before(column: str, keys: list[str], order: str) -> Column:
+    """The sum of ``column`` over the rows of the same keys that come before."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(w), F.lit(0))
+
+
 def positions(df: DataFrame, key: str, unit: str, ties: list[str], out: str = "pos", size: str = "n") -> DataFrame:
     """Add ``out``, the 0-based place of each row within ``key`` by (``unit``, ``ties``), and ``size``, the rows of the key.
 
     ``unit`` is spread over [0, 1), so a key of n rows falls into ceil(n / PER_BUCKET) buckets of about
-    equal size.  Only the buckets' counts are summed along a key; the rows are ranked within a bucket.
+    equal size.  Only the buckets' counts are summed along a key, in two levels; the rows are ranked within a
+    bucket.  So even a key of 10 ** 11 rows is summed in groups of a few ten thousand numbers.
     ``df`` is read three times and should be staged; ``key`` must not be null.
     """
     counts = staged(df.groupBy(key).agg(F.count(F.lit(1)).alias(size)), "counts")
@@ -30,9 +39,11 @@ def positions(df: DataFrame, key: str, unit: str, ties: list[str], out: str = "p
     total, keys = int(totals[0] or 0), int(totals[1])
     with_n = keyed_join(df, counts, [key], size, total, keys)
     bucketed = with_n.withColumn("_b", F.least(F.floor(F.col(unit) * F.ceil(F.col(size) / PER_BUCKET)), F.ceil(F.col(size) / PER_BUCKET) - 1))
-    per = bucketed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(key, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    per = bucketed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", F.floor(F.col("_b") / FAN))
+    above = per.groupBy(key, "_g").agg(F.sum("_c").alias("_c"))
+    above = above.select(key, "_g", _before("_c", [key], "_g").alias("_og"))
+    inside = per.select(key, "_g", "_b", _before("_c", [key, "_g"], "_b").alias("_ob"))
+    offsets = inside.join(above, [key, "_g"]).select(key, "_b", (F.col("_og") + F.col("_ob")).alias("_o"))
     within = Window.partitionBy(key, "_b").orderBy(unit, *ties)
     ranked = bucketed.withColumn("_r", F.row_number().over(within) - 1)
     return ranked.join(offsets, [key, "_b"]).withColumn(out, F.col("_o") + F.col("_r")).drop("_b", "_o", "_r")

@@ -371,7 +371,8 @@ def test_keyed_join_paths_agree(spark, monkeypatch):
 
 
 def test_positions(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "PER_BUCKET", 16)
+    monkeypatch.setattr(ranks, "PER_BUCKET", 4)
+    monkeypatch.setattr(ranks, "FAN", 5)
     df = spark.range(500).select(F.col("id"), (F.col("id") % 3 == 0).cast("string").alias("key")).withColumn("u", ranks.unit_hash(F.lit("s"), "id"))
     got = ranks.positions(df, "key", "u", ["id"]).collect()
     for key in ("true", "false"):
