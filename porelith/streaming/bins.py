@@ -17,10 +17,10 @@ def binned_stream(frames: DataFrame, bin_spec: BinSpec, coordinate: str, label:
     rows = frames.withWatermark(event_time, delay) if event_time else frames
     rows = rows.withColumn("label", label if label is not None else F.lit(bin_spec.label)).withColumn("bin", bin_spec.index(F.col(coordinate))).where("bin is not null")
     value = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight)
-    keys = [F.col("label"), F.col("bin")]
-    if window:
-        keys.insert(0, F.window(event_time, window).getField("start").alias("start"))
-    return rows.groupBy(*keys).agg(value.alias("value"))
+    if not window:
+        return rows.groupBy("label", "bin").agg(value.alias("value"))
+    by = rows.groupBy(F.window(event_time, window).alias("window"), "label", "bin").agg(value.alias("value"))
+    return by.select(F.col("window.start").alias("start"), "label", "bin", "value")
 
 
 def to_memory(values: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:

@@ -403,3 +403,20 @@ def test_logger(tmp_path):
     assert log is again and len(log.handlers) == 2
     log.info("here")
     assert "driver INFO here" in (tmp_path / "porelith-test.log").read_text()
+
+
+def test_streamed_windows_drop_late_rows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    schema = "ts timestamp, x double"
+    for k, minutes in enumerate(([0, 5, 70], [200], [10, 210])):  # the 10 comes after the watermark has passed it
+        rows = [(start + timedelta(minutes=m), 1.0) for m in minutes]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        frames = stream_bins.append_particles(spark, str(tmp_path / "in"), schema)
+        values = stream_bins.binned_stream(frames, bins.BinSpec(0, 2, 2), "x", event_time="ts", delay="30 minutes", window="1 hour")
+        out = values.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        out.trigger(availableNow=True).start().awaitTermination()
+        assert k < 3
+    got = {(r["start"].hour, r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0, 2.0), (1, 1.0)}
