@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
 from ..plans.joins import keyed_join
-from ..plans.staging import staged
+from ..plans.staging import dropped, staged
 from .textblocks import BLOCK_BYTES, Block, blocks, each_block, mix
 
 WORDS, LIKENESS = 5, 0.8
@@ -179,7 +179,6 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     empty and blank texts.  Rows without a key belong to a class, but do not name it unless it has no other
     rows, and then class_id is null.  Repeated rows and extra columns do no harm; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = staged(signed(docs, text, key), "signed")
     firsts = rows.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = staged(firsts.withColumn("nid", F.monotonically_increasing_id()), "reps")
@@ -192,12 +191,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
     pivots = members_hub.groupBy("key").agg(F.max(F.struct("hub", "nid")).alias("_m")).select("key", F.col("_m.nid").alias("b"))
     compared = staged(members_hub.select("key", F.col("nid").alias("a")).join(pivots, "key").where("a != b"), "compared")
-    labels = None
+    labels, used = None, [members, members_hub, compared]
     if not compared.isEmpty():
         texts = staged(_texts(docs, text, key, reps, members_hub), "texts")
         found = staged(verified(compared.select("a", "b").distinct(), texts), "verified")
         labels = connected_components(found.where(F.col("like") >= threshold), "a", "b")
         left = staged(_unsettled(members_hub, compared, found, labels, threshold), "unsettled")
+        used += [texts, found, left]
         if not left.isEmpty():
             pairs = staged(_by_rare_windows(left, texts, threshold), "pairs")
             more = staged(verified(pairs, texts).where(F.col("like") >= threshold), "more")
@@ -207,6 +207,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
             whole = labels.join(merged.toDF("component", "_to"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
             lone = merged.join(labels.select("node"), "node", "left_anti")  # classes of one text so far
             labels = staged(whole.unionByName(lone), "labels")
+            used += [pairs, more]
     out = rows.select("_id", "d1", "d2")
     total = int(reps.agg(F.sum("copies")).first()[0] or 0)
     named = reps.select("d1", "d2", "rep", "copies", "nid")
@@ -217,6 +218,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     else:
         named = named.withColumn("class_id", F.col("rep")).withColumn("class_rows", F.col("copies"))
     named = staged(named.select("d1", "d2", "copies", "class_id", "class_rows"), "classes")
+    for table in used:
+        dropped(table)
     joined = keyed_join(out, named, ["d1", "d2"], "copies", total)
     return joined.select(F.col("_id").alias(key), "class_id", "class_rows")
 
