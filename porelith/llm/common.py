@@ -16,16 +16,16 @@ def remainder(doc_id: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
-def lowest(df: DataFrame, key: str, rows: int) -> list:
-    """The ``rows`` rows whose key hashes lowest, on the driver; null keys count as empty text.
+def lowest(df: DataFrame, keys: list[str], rows: int) -> list:
+    """The ``rows`` rows whose ``keys`` hash lowest, on the driver, in that order.  ``keys`` tell all rows apart.
 
     The rows are counted and cut off by hash before they are sorted, so each task returns its share only.
     """
-    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    h = F.xxhash64(*keys)
     n = df.count()
     if n > rows:
         df = df.where((h.cast("double") + 2.0**63) / 2.0**64 <= (rows + 6 * rows**0.5) / n)
-    return df.orderBy(h, key).limit(rows).collect()
+    return df.orderBy(h, *keys).limit(rows).collect()
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

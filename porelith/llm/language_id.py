@@ -1,12 +1,12 @@
 """Language identification by prediction by partial matching.
 
 Each language has a variable-order tree of byte contexts (orders 0 to MAX_ORDER) with counts of the
-bytes that followed.  A byte is coded in the longest context that was seen in training; a byte new to
+bytes that followed; rare contexts beyond a fixed number are cut off.  A byte is coded in the longest context that was seen in training; a byte new to
 that context costs the escape probability and is then coded one order lower, down to a uniform code
 over 256 bytes.  Escape probabilities are method C: distinct / (total + distinct).  The statistics are
-frozen after training, so the exact code length of every byte is a table entry: the trees are compiled
-to one row for each context seen in any language and one column for each byte seen.  A text's code
-length in a language is the sum over all its bytes; the shortest wins.
+frozen after training, so the exact code length of every byte is a table entry: each tree is compiled
+to one row for each of its contexts and one column for each byte seen.  A text's code length in a language is
+the sum over all its bytes; the shortest wins.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from .common import remainder
 from .textblocks import Block, each_block
 
 MAX_ORDER = 3
-#: Training takes at most so many documents (lowest hash of the id) and bytes of each language; a documented bound.
+#: Training takes at most so many documents (lowest hash of id and text) and bytes of each language; a documented bound.
 TRAIN_DOCS, TRAIN_BYTES = 600, 2_000_000
+#: Contexts that the trees of all languages keep in sum, which bounds the model whatever the languages.
+CONTEXTS = 65_536
 UNKNOWN = "und"
 SLICE = 4_000_000
 
@@ -43,45 +45,66 @@ def _codes(code: np.ndarray, data: np.ndarray, bounds: np.ndarray, a: int) -> tu
     return c, contexts
 
 
+def _frequent(grams: list[tuple[np.ndarray, np.ndarray]], a: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The grams of the ``most`` contexts that most bytes followed; of equals the shorter one, then the lower number."""
+    found = [np.unique(k // a, return_inverse=True) for k, _ in grams]
+    totals = [np.bincount(at, m, len(contexts)) for (contexts, at), (_, m) in zip(found, grams, strict=True)]
+    order = np.repeat(np.arange(len(grams)), [len(t) for t in totals])
+    number = np.concatenate([contexts for contexts, _ in found])
+    kept = np.zeros(len(order), bool)
+    kept[np.lexsort((number, order, -np.concatenate(totals)))[:most]] = True
+    keep = [kept[order == o][at] for o, (_, at) in enumerate(found)]
+    return [(k[x], m[x]) for (k, m), x in zip(grams, keep, strict=True)]
+
+
 class ByteTrees:
     """The trees of all languages, compiled.
 
-    ``row_of[context of MAX_ORDER symbols]`` is the row of its longest suffix that any language has seen;
-    ``table[row * a + byte]`` holds the bits of the byte in each language, all escapes included.  A language
-    that has not seen the row's context codes in its own longest suffix, without an escape.
+    Every language keeps the same number of contexts, ``contexts`` in sum, those that most bytes followed (the
+    shorter one of equals); a context's suffix is never followed by fewer, so trees stay whole.  Each language has
+    a table with one row for each of its contexts and the bits of every byte there, all escapes included.
+    ``row_of[context of MAX_ORDER symbols]`` is the number of its longest suffix that any language keeps, and
+    ``own[language, number]`` where that language's longest suffix of it starts in ``table``.  So the model takes
+    at most 4 (symbols ** 3 + contexts (symbols + languages)) bytes, 70 MB at 258 symbols and few languages.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]]):
+    def __init__(self, texts: dict[str, list[bytes]], contexts: int = CONTEXTS):
         self.langs = sorted(texts)
-        n = len(self.langs)
-        joined = {x: (np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)])) for x, ts in texts.items()}
+        joined = [(np.frombuffer(b"".join(texts[x]), np.uint8), np.cumsum([0, *map(len, texts[x])])) for x in self.langs]
         present = np.zeros(256, bool)
-        for data, _ in joined.values():
+        for data, _ in joined:
             present[data] = True
         seen = np.flatnonzero(present)
         self.size = a = len(seen) + 2  # one symbol for all bytes never seen, one for the start of a text
         self.code = np.full(256, a - 2, np.int64)
         self.code[seen] = np.arange(len(seen))
         grams = []  # by language and order: context * a + byte, and its count
-        for x in self.langs:
-            c, contexts = _codes(self.code, *joined[x], a)
-            grams.append([np.unique(k * a + c, return_counts=True) for k in contexts])
-        table, row_of = np.full((1, a, n), 8.0, np.float32), np.zeros(1, np.int32)
+        for data, bounds in joined:
+            c, before = _codes(self.code, data, bounds, a)
+            grams.append(_frequent([np.unique(k * a + c, return_counts=True) for k in before], a, max(1, contexts // len(joined))))
+        row_of, own = np.zeros(1, np.int32), [np.zeros(1, np.int32) for _ in joined]
+        tables = [np.full((1, a), 8.0, np.float32) for _ in joined]
         for o in range(MAX_ORDER + 1):
-            contexts = np.unique(np.concatenate([g[o][0] // a for g in grams])) if n else np.zeros(0, np.int64)
-            shorter = contexts % a ** (o - 1) if o else contexts * 0
-            cost = table[row_of[shorter]].copy()
+            union = np.unique(np.concatenate([g[o][0] // a for g in grams])) if grams else np.zeros(0, np.int64)
+            above = row_of[union % a ** (o - 1) if o else union * 0]  # the numbers of the suffixes
             for j, g in enumerate(grams):
                 k, m = g[o]
-                at = np.searchsorted(contexts, k // a)
-                kinds, total = np.bincount(at, minlength=len(contexts)), np.bincount(at, m, len(contexts))
-                known = total > 0
-                cost[known, :, j] -= np.log2(kinds[known] / (total[known] + kinds[known])).astype(np.float32)[:, None]
-                cost[at, k % a, j] = -np.log2(m / (total[at] + kinds[at]))
+                mine, at = np.unique(k // a, return_inverse=True)
+                place = np.searchsorted(union, mine)
+                kinds, total = np.bincount(at, minlength=len(mine)), np.bincount(at, m, len(mine))
+                rows = own[j][above]
+                cost = tables[j][rows[place]] - np.log2(kinds / (total + kinds)).astype(np.float32)[:, None]
+                cost[at, k % a] = -np.log2(m / (total + kinds)[at])
+                rows[place] = len(tables[j]) + np.arange(len(mine))
+                own[j] = np.concatenate([own[j], rows])
+                tables[j] = np.concatenate([tables[j], cost])
+            start = int(row_of.max()) + 1 if o else 1
             row_of = row_of[np.arange(a**o) % a ** (o - 1)] if o else row_of.copy()
-            row_of[contexts] = len(table) + np.arange(len(contexts))
-            table = np.concatenate([table, cost])
-        self.row_of, self.table = row_of, table.reshape(len(table) * a, n)
+            row_of[union] = start + np.arange(len(union))
+        starts = np.cumsum([0, *map(len, tables)])[:-1]
+        self.row_of = row_of
+        self.own = np.array([(x + y) * a for x, y in zip(own, starts, strict=True)], np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.float32)
 
     def bits(self, block: Block) -> np.ndarray:
         """The code length of each text of a block in each language.  A text above SLICE bytes is coded slice by slice."""
@@ -91,19 +114,23 @@ class ByteTrees:
             return out
         if block.n > 1 or len(block.data) <= SLICE:
             c, contexts = _codes(self.code, block.data, block.bounds, self.size)
-            out[full] = np.add.reduceat(self._each(c, contexts[-1]), block.bounds[full], axis=0, dtype=np.float64)
+            for j, each in enumerate(self._each(c, contexts[-1])):
+                out[full, j] = np.add.reduceat(each, block.bounds[full], dtype=np.float64)
             return out
         before = np.full(MAX_ORDER, self.size - 1, np.int64)
         for p in range(0, len(block.data), SLICE):
             wide = np.concatenate([before, self.code[block.data[p : p + SLICE]]])
             n = len(wide) - MAX_ORDER
             context = sum(wide[MAX_ORDER - o : MAX_ORDER - o + n] * self.size ** (o - 1) for o in range(1, MAX_ORDER + 1))
-            out[0] += self._each(wide[MAX_ORDER:], context).sum(0, dtype=np.float64)
+            out[0] += [each.sum(dtype=np.float64) for each in self._each(wide[MAX_ORDER:], context)]
             before = wide[-MAX_ORDER:]
         return out
 
-    def _each(self, c: np.ndarray, context: np.ndarray) -> np.ndarray:
-        return self.table.take(self.row_of[context].astype(np.int64) * self.size + c, axis=0)
+    def _each(self, c: np.ndarray, context: np.ndarray) -> Iterator[np.ndarray]:
+        """The bits of each byte, language by language."""
+        number, c = self.row_of.take(context), c.astype(np.int32)
+        for own in self.own:
+            yield self.table.take(own.take(number) + c)
 
     def predict(self, block: Block) -> tuple[list[str], np.ndarray]:
         """The language with the shortest code (the first by name of equals) and its share among all 2 ** -length."""
@@ -117,27 +144,37 @@ class ByteTrees:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_each: int = TRAIN_DOCS, bytes_each: int = TRAIN_BYTES) -> ByteTrees:
-    """Trees from the ``docs_each`` texts of each language with the lowest hash of ``key``, whole texts up to ``bytes_each`` bytes in sum.
+    """Trees from the ``docs_each`` texts of each language whose key and text hash lowest, whole texts up to ``bytes_each`` bytes in sum.
 
-    Rows without a language or text teach nothing.  What reaches the driver: a count for each language and
-    about that many texts, found by a cutoff on the hash, without a sort of all rows.
+    Rows without a language or text teach nothing; a null key counts as empty and repeated rows count once, so
+    one key on many rows teaches like many.  What reaches the driver: a count for each language, the hashes and
+    sizes below a cutoff and then the chosen texts, without a sort or shuffle of all rows.
     """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("t is not null and l is not null and t != ''")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), h.alias("h")).where("t is not null and l is not null and t != ''")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not counts:
+        return ByteTrees({})
     unit = (F.col("h").cast("double") + 2.0**63) / 2.0**64
     share = F.lit(None)
     for x, n in counts.items():
-        share = F.when(F.col("l") == x, F.lit(min(1.0, (docs_each + 6 * docs_each**0.5) / n))).otherwise(share)
+        share = F.when(F.col("l") == x, F.lit(min(1.0, 1.1 * (docs_each + 6 * docs_each**0.5) / n))).otherwise(share)
+    low = rows.where(unit <= share)
     found: dict[str, list] = {x: [] for x in counts}
-    for r in rows.where(unit <= share).select("l", "h", F.col("t").cast("binary").alias("t")).collect() if counts else []:
-        found[r["l"]].append((r["h"], bytes(r["t"])))
-    texts: dict[str, list[bytes]] = {}
+    for r in low.select("l", "h", F.octet_length("t").alias("n")).distinct().collect():
+        found[r["l"]].append((r["h"], r["n"]))
+    chosen = []
     for x, ts in found.items():
         total = 0
-        for _, t in sorted(ts)[:docs_each]:
-            if total + len(t) <= bytes_each or not total:
-                texts.setdefault(x, []).append(t)
-                total += len(t)
+        for h, n in sorted(ts)[:docs_each]:
+            if total + n <= bytes_each or not total:
+                chosen.append((x, h))
+                total += n
+    wanted = docs.sparkSession.createDataFrame(chosen, "l string, h bigint")
+    got = low.join(F.broadcast(wanted), ["l", "h"]).dropDuplicates(["l", "h"]).select("l", "h", F.col("t").cast("binary").alias("t")).collect()
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(got, key=lambda r: (r["l"], r["h"])):
+        texts.setdefault(r["l"], []).append(bytes(r["t"]))
     return ByteTrees(texts)
 
 
@@ -145,7 +182,8 @@ def identify(docs: DataFrame, trees: ByteTrees, text: str = "text", keep: tuple[
     """``keep``, lang_pred and score of each row of ``docs``, over whole texts.
 
     Null and empty texts and texts without a letter get ``und`` with score 0, as does every text if the
-    trees know no language.  Equal code lengths go to the first language by name.
+    trees know no language.  Equal code lengths go to the first language by name; repeated rows get the same.
+    An empty table gives no rows; other columns of ``docs`` are not touched; very long texts go slice by slice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 

@@ -24,7 +24,7 @@ from .common import Logit, lowest, remainder
 from .quality_rules import count_block
 from .textblocks import Block, each_block
 
-#: Labelled rows that training takes (lowest hash of the id), a documented bound.
+#: Labelled rows that training takes (lowest hash of id and features), a documented bound.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
 #: How much the site's log odds weigh against the document's own.
@@ -96,7 +96,7 @@ def rated(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
     measured = staged(_measured(rows, ["_id", "_host", "_path"], "_body"), "features")
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") > 0).cast("int").alias("_y"))
     marked = marked.where(remainder("_id", 3) != 1)
-    sample = lowest(measured.select("_id", "_x").join(marked, "_id"), "_id", train_rows)
+    sample = lowest(measured.where("_id is not null").select("_id", "_x").distinct().join(marked, "_id"), ["_id", "_x"], train_rows)
     model = Logit().fit(np.array([r["_x"] for r in sample]) if sample else np.zeros((0, FEATURES)), np.array([r["_y"] for r in sample]))
 
     own = measured.select("_id", "_host", "_path", _curve(F.col("_x"), model).alias("_p")).join(marked, "_id", "left").withColumn("_e", F.coalesce(F.col("_y").cast("double"), F.col("_p")))

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import Logit, lowest, remainder
 from .textblocks import Block, blocks, each_block
 
-#: Labelled rows that training takes (lowest hash of the id), a documented bound.
-TRAIN_ROWS = 6_000
+#: Labelled rows that training takes (lowest hash of id and text) and their bytes, a documented bound.
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 64_000_000
 THRESHOLD = 0.7
 STEMS = range(4, 9)
 RATE_RATIO = 8.0
@@ -43,7 +43,7 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 DIGITS = dict(zip("0123456789", "oizeasgtbg", strict=True))
 HOMOGLYPHS = dict(zip("абвгеёікморстухјѕԁһіԛԝαβεικνορτυχϲℓı", "a6breeikmopctyxjsdhiqwabeikvoptuxcii", strict=True)) | {"в": "b", "н": "h", "ո": "n", "ս": "u", "ɡ": "g", "ɑ": "a"}
 INVISIBLE = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
-_GONE, _GAP = 0, 0x20
+_GONE, _GAP, _BORDER = 0, 0x20, 0x0A
 
 
 class Folding:
@@ -78,28 +78,32 @@ class Folding:
         return ord("i" if low == "l" else low) if low.isalpha() else _GAP
 
     def points(self, p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Folded code points with one space before, between and after words, and the place at which each text starts."""
+        """Folded code points with one space before, between and after words, and the place at which each text starts.
+
+        A code point that no term or phrase holds parts the texts, so nothing is found across their border.
+        """
+        p = np.insert(p, np.repeat(starts, 3), _GAP)
+        border = starts + 3 * np.arange(len(starts)) + 1
         out = self.lut[p]
         sign = self.sign[p]
+        out[border] = _BORDER
         at = np.flatnonzero(sign)
         if len(at):
-            inner = (at > 0) & (at < len(p) - 1)
-            at = at[inner]
+            at = at[at < len(p) - 1]
             solid = lambda i: (out[i] != _GAP) & (out[i] != _GONE)
             at = at[solid(at - 1) & solid(at + 1)]
             out[at] = sign[at]
-        out = np.insert(out, starts, _GAP)
-        starts = starts + np.arange(len(starts))
-        keep = out != _GONE
+        out = out[out != _GONE]
         gap = out == _GAP
-        keep[1:] &= ~(gap[1:] & gap[:-1])
-        keep[starts] = True  # each text starts with a space of its own
-        after = np.concatenate([[0], np.cumsum(keep)])
-        return np.concatenate([out[keep], [_GAP]]).astype("<u4"), after[starts]
+        keep = np.ones(len(out), bool)
+        keep[1:] = ~(gap[1:] & gap[:-1])
+        out = np.concatenate([out[keep], [_GAP] if out[-1] != _GAP else []]).astype("<u4")
+        return out, np.flatnonzero(out == _BORDER) + 1
 
     def text(self, s: str) -> str:
         p = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
-        return self.points(p, np.zeros(1, np.int64))[0].tobytes().decode("utf-32-le")
+        out, starts = self.points(p, np.zeros(1, np.int64))
+        return out[starts[0] :].tobytes().decode("utf-32-le")
 
     def block(self, block: Block) -> tuple[str, np.ndarray, np.ndarray]:
         """The folded texts in a row, the place where each starts, and each one's words."""
@@ -111,7 +115,7 @@ class Folding:
             s, lengths = "".join(each), np.array([len(x) for x in each], np.int64)
         p = np.frombuffer(s.encode("utf-32-le"), "<u4")
         out, starts = self.points(p, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64))
-        begins = np.flatnonzero((out[1:] != _GAP) & (out[:-1] == _GAP))
+        begins = np.flatnonzero((out[1:] != _GAP) & (out[1:] != _BORDER) & (out[:-1] == _GAP))
         words = np.bincount(np.searchsorted(starts, begins, "right") - 1, minlength=block.n)
         return out.tobytes().decode("utf-32-le"), starts, words
 
@@ -147,26 +151,26 @@ class Lexicon:
             self._ready = folding, automaton, np.array([self.weights[t] for t in terms])
         return self._ready
 
-    def matches(self, folded: str) -> list[tuple[int, int]]:
-        """(place, term) of the matches that no exception phrase covers."""
+    def matches(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
+        """Place and term of the matches that no exception phrase covers."""
         _, automaton, _ = self.ready()
-        if not len(automaton):
-            return []
-        found, spared = [], []
-        for end, (term, length) in automaton.iter(folded):
-            (spared if term < 0 else found).append((end + 1 - length, end + 1, term))
-        if spared:
-            found = [m for m in found if not any(a <= m[0] and m[1] <= b + 1 for a, b, _ in spared)]
-        return [(a, t) for a, _, t in found]
+        hits = [(end + 1 - length, end + 1, term) for end, (term, length) in automaton.iter(folded)] if len(automaton) else []
+        start, end, term = np.array(hits, np.int64).reshape(-1, 3).T
+        phrase = term < 0
+        if phrase.any():
+            order = np.argsort(start[phrase], kind="stable")
+            begins, reach = start[phrase][order], np.maximum.accumulate(end[phrase][order])
+            last = np.searchsorted(begins, start, "right") - 1  # phrases that begin no later; a phrase ends with a space
+            phrase |= (last >= 0) & (end <= reach[last] + 1)
+        return start[~phrase], term[~phrase]
 
     def features(self, block: Block) -> np.ndarray:
         """Per text: log of the summed weights, weights for 100 words, distinct terms, log of the words."""
         folding, _, weight = self.ready()
         folded, starts, words = folding.block(block)
-        hits = self.matches(folded)
+        at, term = self.matches(folded)
         total, kinds = np.zeros(block.n), np.zeros(block.n)
-        if hits:
-            at, term = np.array(hits).T
+        if len(at):
             doc = np.searchsorted(starts, at, "right") - 1
             total = np.bincount(doc, weight[term], block.n)
             kinds = np.bincount(np.unique(doc * len(weight) + term) // len(weight), minlength=block.n)
@@ -254,25 +258,37 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
     return lexicon
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """Learn from at most ``rows`` labelled texts (those whose id hashes lowest), whole; an id labelled twice counts as toxic if any label says so.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Lexicon:
+    """Learn from at most ``rows`` labelled texts of at most ``size`` bytes in sum, whole, those whose id and text hash lowest.
 
-    Ids are chosen first and only their texts are fetched, by a broadcast of at most ``rows`` ids.
+    An id labelled twice counts as toxic if any label says so; an id on several texts lends its label to each,
+    and a repeated row counts once.  Texts are chosen by id and hash and only those chosen are fetched, by a
+    broadcast of at most ``rows`` ids.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    ids = docs.where("text is not null").select("doc_id").distinct().join(marked, "doc_id")
-    chosen = lowest(ids, "doc_id", rows)
+    texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
+    known = texts.select("doc_id", "_h", F.octet_length("text").alias("_n")).distinct().join(marked, "doc_id")
+    chosen, total = [], 0
+    for r in lowest(known, ["doc_id", "_h"], rows):
+        if total + r["_n"] <= size or not chosen:
+            chosen.append((r["doc_id"], r["_h"], int(r["_y"] > 0)))
+            total += r["_n"]
     if not chosen:
         return learn([], [])
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["_y"] > 0)) for r in chosen], "doc_id bigint, _y int")
-    got = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").toArrow()
-    rows = sorted(set(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["_y"].to_pylist(), strict=True)))
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, _h bigint, _y int")
+    got = texts.join(F.broadcast(wanted), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h"]).toArrow()
+    rows = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["_y"].to_pylist(), strict=True))
     del got
     return learn([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the score of each row of ``docs``.  Null and empty texts have no match and the score of such; repeated rows score alike."""
+    """``keep`` and the score of each row of ``docs``, over whole texts.
+
+    A text's score depends on that text alone.  Null and empty texts have no match and the score of such;
+    repeated rows score alike; an empty table gives no rows; other columns of ``docs`` are not touched.  A very
+    long text is one block: it takes about twenty times its bytes in one worker and time in proportion.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +305,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD, with all their columns; null and empty texts stay."""
+    """The rows of ``docs`` that score below THRESHOLD, with all their columns, whatever their names.
+
+    Null and empty texts, and rows without an id, stay or go by their score like all others; an empty table gives none.
+    """
     from .common import table
 
     lexicon = train(training_rows(docs), table(spark, sf_dir, "labels"))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from porelith.llm import language_id, pieces, quality_rules, toxicity
+from porelith.llm import common, language_id, pieces, quality_rules, toxicity
 from porelith.llm.textblocks import blocks
 
 from .conftest import ODD
@@ -120,7 +121,55 @@ def test_matches_equal_a_plain_search():
         s = "".join(r.choice("abc  ") for _ in range(30))
         folded = lexicon.ready()[0].text(s)
         want = sorted((m.start(), t) for k, t in ((" abc", 0), (" bca", 1)) for m in re.finditer(f"(?={re.escape(k)})", folded))
-        assert sorted(lexicon.matches(folded)) == want
+        assert sorted(zip(*(x.tolist() for x in lexicon.matches(folded)), strict=True)) == want
+
+
+def brute_features(lexicon, text):
+    """Features of one text by plain searches, all exceptions against all matches."""
+    folded = lexicon.ready()[0].text(text or "")
+    phrases = {lexicon.ready()[0].text(x) for x in lexicon.exceptions}
+    spans = [(m.start(), m.start() + len(p)) for p in phrases for m in re.finditer(f"(?={re.escape(p)})", folded)]
+    hits = [t for t in lexicon.weights for m in re.finditer(f"(?={re.escape(t)})", folded) if not any(a <= m.start() and m.start() + len(t) <= b + 1 for a, b in spans)]
+    total, words = sum(lexicon.weights[t] for t in hits), len(folded.split())
+    return [math.log1p(total), min(100 * total / max(words, 1), 50), math.log1p(len(set(hits))), math.log1p(words) * (total > 0), float(total > 0)]
+
+
+def test_scores_match_brute_force_in_any_order():
+    lexicon = toxicity.learn(*toxic_corpus(400), ("rotten apples", "trash can"))
+    r = random.Random(4)
+    some = ["rotten", "apples", "r0tten", "grumbler", "ni!twitty", "trash", "can", "word1", "ab!", "!", "c", "\u200b", "été", "", " "]
+    texts = [" ".join(r.choice(some) for _ in range(r.randrange(12))) for _ in range(300)] + [None, "", "rotten", "apples rotten", "apples"]
+    want = lexicon.curve.predict(np.array([brute_features(lexicon, t) for t in texts]))
+    for _ in range(5):
+        order = list(range(len(texts)))
+        r.shuffle(order)
+        np.testing.assert_allclose(lexicon.scores(one([texts[k] for k in order])), want[order])
+
+
+def test_phrases_do_not_cross_the_border_of_texts():
+    lexicon = toxicity.Lexicon({" tras": 3.0}, ("trash can",))
+    alone = lexicon.features(one(["you are trash"]))
+    np.testing.assert_array_equal(lexicon.features(one(["you are trash", "can openers here"]))[:1], alone)
+    assert alone[0, 4] == 1 and lexicon.features(one(["you are trash can"]))[0, 4] == 0
+    lexicon = toxicity.Lexicon({" abic": 3.0}, ())
+    assert lexicon.features(one(["ab!", "c"]))[:, 4].sum() == 0 and lexicon.features(one(["ab!c"]))[0, 4] == 1
+
+
+def test_many_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({" tras": 3.0}, ("trash can",))
+    text = "trash can trash bag " * 100_000
+    began = time.perf_counter()
+    at, _ = lexicon.matches(lexicon.ready()[0].text(text))
+    assert len(at) == 100_000 and time.perf_counter() - began < 5
+
+
+def test_training_on_one_id(spark):
+    texts, marks = toxic_corpus(400)
+    docs = spark.createDataFrame([(7 + m, t) for t, m in zip(texts, marks, strict=True)] * 2 + [(None, "x")], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(7, 0), (8, 1)], "doc_id bigint, toxic int")
+    few = toxicity.train(docs, lab, rows=300)
+    assert {w.strip()[:5] for w in few.weights} == {"grumb", "nitwi", "rotte"}
+    assert len(common.lowest(docs.where("doc_id is not null").distinct(), ["doc_id", "text"], 100)) == 100
 
 
 def test_toxicity_odd_and_empty(spark, odd, none, labels):
@@ -141,19 +190,25 @@ def test_toxicity_held_out(spark):
 
 
 # -- language
-def brute_bits(texts, text):
-    """Code length in one language by walking counts, escape by escape."""
-    counts = [{} for _ in range(4)]
+def brute_tree(texts, most=10**9):
+    """Counts by context (a tuple) of the ``most`` contexts that most bytes followed."""
+    counts = {}
     for t in texts:
-        padded = [None] * 3 + list(t)
+        padded = [256] * 3 + list(t)  # the start of a text comes last among the symbols
         for i in range(3, len(padded)):
             for o in range(4):
-                counts[o].setdefault(tuple(padded[i - o : i]), Counter())[padded[i]] += 1
-    total, padded = 0.0, [None] * 3 + list(text)
+                counts.setdefault(tuple(padded[i - o : i]), Counter())[padded[i]] += 1
+    ranked = sorted(counts, key=lambda c: (-sum(counts[c].values()), len(c), c))
+    return {c: counts[c] for c in ranked[:most]}
+
+
+def brute_bits(tree, text):
+    """Code length in one language by walking counts, escape by escape."""
+    total, padded = 0.0, [256] * 3 + list(text)
     for i in range(3, len(padded)):
         p = 1.0
         for o in (3, 2, 1, 0):
-            c = counts[o].get(tuple(padded[i - o : i]))
+            c = tree.get(tuple(padded[i - o : i]))
             if c is None:
                 continue
             n, kinds = sum(c.values()), len(c)
@@ -167,13 +222,41 @@ def brute_bits(texts, text):
     return total
 
 
-def test_code_lengths_match_brute_force():
-    texts = {"a": [b"the cat sat", b"on the mat", b"x"], "b": ["der hünd saß".encode(), b"auf"]}
-    trees = language_id.ByteTrees(texts)
-    asked = ["the hat", "", "hünd", "zzz\x00", "a", "on", "the mat the mat the"]
-    got = trees.bits(one(asked))
-    want = [[brute_bits(texts[x], t.encode()) for x in ("a", "b")] for t in asked]
-    np.testing.assert_allclose(got, want, rtol=1e-5)
+def test_code_lengths_and_predictions_match_brute_force():
+    texts = {"a": [b"the cat sat", b"on the mat", b"x"], "b": ["der hünd saß".encode(), b"auf"], "c": [b"el gato en la mesa"]}
+    asked = ["the hat", "", "hünd", "zzz\x00", "a", "on", "the mat the mat the", "la gata", "12 34", None]
+    for most in (10**9, 60, 9):
+        trees = language_id.ByteTrees(texts, most)
+        kept = {x: brute_tree(ts, max(1, most // 3)) for x, ts in texts.items()}
+        assert len(trees.table) == trees.size * sum(1 + len(k) for k in kept.values())
+        want = np.array([[brute_bits(kept[x], (t or "").encode()) for x in "abc"] for t in asked])
+        np.testing.assert_allclose(trees.bits(one(asked)), want, rtol=1e-5)
+        lang, score = trees.predict(one(asked))
+        odds = 2.0 ** -(want - want.min(1, keepdims=True))
+        letter = [any(c.isalpha() for c in t or "") for t in asked]
+        assert lang == ["abc"[w.argmin()] if ok else "und" for w, ok in zip(want, letter, strict=True)]
+        np.testing.assert_allclose(score, np.where(letter, odds.max(1) / odds.sum(1), 0), rtol=1e-4)
+
+
+def test_the_model_is_bounded_in_languages():
+    r = random.Random(1)
+    sizes = []
+    for n in (4, 32):
+        texts = {f"l{k}": [bytes(r.randrange(256) for _ in range(20_000))] for k in range(n)}
+        trees = language_id.ByteTrees(texts, 4096)
+        assert len(trees.table) <= trees.size * (4096 + n) and trees.own.shape[1] <= 4097
+        sizes.append(len(trees.table))
+    assert sizes[1] <= 1.1 * sizes[0]
+
+
+def test_training_on_repeated_and_null_ids(spark):
+    rows = [(None if k % 2 else 7, ("the cat sat on mat " if k % 3 else "der hund lief weg ") + str(k), "en" if k % 3 else "de") for k in range(600)]
+    docs = spark.createDataFrame(rows * 2, "doc_id bigint, text string, lang string")
+    trees = language_id.train(docs, docs_each=50)
+    assert trees.langs == ["de", "en"]
+    assert trees.predict(one(["the cat lay", "ein hund"]))[0] == ["en", "de"]
+    same = spark.createDataFrame([(7, "gleich und gleich", "de")] * 500, docs.schema)
+    assert language_id.train(same, docs_each=5).langs == ["de"]
 
 
 def test_long_texts_are_coded_in_slices(monkeypatch):
