@@ -420,3 +420,17 @@ def test_streamed_windows_drop_late_rows(spark, tmp_path):
         assert k < 3
     got = {(r["start"].hour, r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(0, 2.0), (1, 1.0)}
+
+
+def test_rows_alike_are_numbered_and_orders_ranked(spark, monkeypatch):
+
+    df = staged(spark.createDataFrame([("a", k) for k in range(50)] + [("b", 1), ("c", 2)], "k string, v int").repartition(6), "rows")
+    got = ranks.numbered_alike(df, "k", "nth").collect()
+    assert sorted(r["nth"] for r in got if r["k"] == "a") == list(range(50)) and {r["nth"] for r in got if r["k"] != "a"} == {0}
+    assert {r["nth"] for r in ranks.numbered_alike(df.where("k != 'a'"), "k", "nth").collect()} == {0}
+    monkeypatch.setattr(ranks, "PER_RANGE", 7)
+    monkeypatch.setattr(ranks, "FAN", 3)
+    got = ranks.places(df, [F.col("k").desc(), F.col("v")]).collect()
+    assert [(r["k"], r["v"]) for r in sorted(got, key=lambda r: r["pos"])] == [("c", 2), ("b", 1)] + [("a", k) for k in range(50)]
+    assert sorted(r["pos"] for r in got) == list(range(52))
+    assert ranks.places(df.limit(0), [F.col("k")]).count() == 0
