@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ranks import numbered_alike
+from ..plans.staging import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,19 +65,28 @@ class Logit:
         return sigmoid(self.w[0] + ((np.asarray(x, float) - self.mean) / self.scale) @ self.w[1:])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as it takes to differ from the columns of ``df``, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attached(docs: DataFrame, found: DataFrame, keys: dict[str, Column], values: list[str], where: str = "true") -> DataFrame:
     """``docs`` with ``values`` of ``found``, which has one row for each row of ``docs`` under ``keys`` (null-safe).
 
     Rows whose values fail ``where`` are left out.  Rows alike in all keys are paired by number, so each gets the
     values of one; where no keys are alike, the rows of ``docs`` are shuffled just once.  Columns of ``docs``
-    named like ``values`` are replaced.  ``found`` is read twice and should be staged.
+    named like ``values`` are replaced, others kept whatever their names.  ``found`` is read twice and should be staged.
     """
     names = [c for c in docs.columns if c not in values]
-    as_key = lambda c: F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("n"))
-    cols = [f"__{k}" for k in keys]
-    left = docs.select(*names, *(as_key(c).alias(f"__{k}") for k, c in keys.items()))
-    right = found.select(*(as_key(F.col(k)).alias(f"__{k}") for k in keys), *(F.col(v).alias(f"__v_{v}") for v in values), F.expr(where).alias("__taken"))
-    if not right.groupBy(*cols).count().where("count > 1").isEmpty():
-        number = F.row_number().over(Window.partitionBy(*cols).orderBy(cols[0]))
-        left, right, cols = left.withColumn("__number", number), right.withColumn("__number", number), [*cols, "__number"]
-    return left.join(right.where("__taken"), cols).select(*names, *(F.col(f"__v_{v}").alias(v) for v in values))
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n"))
+    by, taken, number = (unused(docs, f"__{x}") for x in ("key", "taken", "number"))
+    takes = {v: unused(docs, f"__v_{v}") for v in values}
+    left = docs.select(*(F.col(f"`{c}`") for c in names), F.concat(*map(part, keys.values())).alias(by))
+    right = found.select(F.concat(*(part(F.col(k)) for k in keys)).alias(by), *(F.col(v).alias(t) for v, t in takes.items()), F.expr(where).alias(taken))
+    on = [by]
+    if not right.groupBy(by).count().where("count > 1").isEmpty():
+        left, right, on = numbered_alike(staged(left, "left"), by, number), numbered_alike(staged(right, "right"), by, number), [by, number]
+    return left.join(right.where(taken), on).select(*(F.col(f"`{c}`") for c in names), *(F.col(t).alias(v) for v, t in takes.items()))

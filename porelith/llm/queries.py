@@ -127,13 +127,38 @@ FROM p LEFT JOIN members m ON m.node = {_NODE.format(u='p.url')} LEFT JOIN share
 """
 
 
-def _unit(parts: str) -> str:
-    return f"CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+def _unit(parts: str, start: int = 1) -> str:
+    return f"CAST('0x' || substr(md5({parts}), {start}, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+#: Every row with the key that sharding.row_key gives and its number among rows alike.
+_ROWS = "SELECT *, row_number() OVER (PARTITION BY row_key) - 1 AS nth FROM (SELECT doc_id, source, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce('s' || source, 'n') || '|' || md5(coalesce(text, '')) AS row_key FROM documents)"
+
+
+def _crc_table() -> str:
+    """CRC-32 of the sixteen half bytes, by the reflected polynomial."""
+    out = range(16)
+    for _ in range(4):
+        out = [(c >> 1) ^ (0xEDB88320 * (c & 1)) for c in out]
+    return f"[{', '.join(map(str, out))}]"
+
+
+#: CRC-32 of the text t, half byte by half byte, the lower half of each byte first.
+_CRC = rf"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(t), '(.)(.)', '\2\1', 'g'), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT))),
+  lambda a, b: xor(a >> 4, {_crc_table()}[(xor(a, b) & 15) + 1])), 4294967295)"""
+
+_OP9 = rf"""
+WITH d AS (SELECT doc_id, source, strlen(t) + 1 AS size, CASE WHEN t = '' THEN 0 ELSE {_CRC} END AS text_crc32, '{sharding.SEED}|' || row_key || '|' || nth AS h FROM ({_ROWS})),
+hashed AS (SELECT *, {_unit('h')} AS u, {_unit('h', 14)} AS v FROM d),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY u, doc_id, size, text_crc32) - 1 + v) / count(*) OVER (PARTITION BY source) AS f FROM hashed),
+placed AS (SELECT *, row_number() OVER (ORDER BY f, source, u, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * {sharding.SHARDS} // n AS INTEGER) AS shard, pos - (pos * {sharding.SHARDS} // n * n + {sharding.SHARDS - 1}) // {sharding.SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
 
 
 _OP10 = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size + 1)) * 8 + ((size + 1) >> greatest(length(bin(size + 1)) - 3, 0)), {_unit(f"'{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')")}, doc_id, size) - 1 AS pos FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(t, '{_WORD}')) AS size, '{mixing.SEED}|' || row_key || '|' || nth AS h FROM ({_ROWS})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size + 1)) * 8 + ((size + 1) >> greatest(length(bin(size + 1)) - 3, 0)), {_unit('h')}, doc_id, size) - 1 AS pos FROM d),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM sizes),
 tried AS (SELECT *, row_number() OVER o AS place, CAST(sum(source_size) OVER () - {mixing.CAP} * coalesce(sum(source_size) OVER b, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS unit
@@ -146,5 +171,5 @@ FROM ranked r JOIN rated t ON r.source IS NOT DISTINCT FROM t.source
 
 
 def oracle_sql() -> dict[str, str]:
-    """Operators 1, 2, 4, 5, 7, 8 and 9 learn, hash or decode in ways that SQL lacks; tests hold them against brute force."""
-    return {"op3_quality_rules": _OP3, "op6_url_filter": _OP6, "op10_mixing": _OP10}
+    """Operators 1, 2, 4, 5, 7 and 8 learn, hash or decode in ways that SQL lacks; tests hold them against brute force."""
+    return {"op3_quality_rules": _OP3, "op6_url_filter": _OP6, "op9_sharding": _OP9, "op10_mixing": _OP10}
