@@ -12,7 +12,7 @@ window's count.  A component keeps its earliest point.  Two texts agree in a com
 of their likeness.  Only points before a time that depends on the text's weight are made; the rare text with
 a component left empty is done again with twice that time, so the result is exact.
 
-Bands of ROWS components find candidates.  In a bucket nobody is compared with everybody: first all members
+Bands of components find candidates; their width follows the threshold.  In a bucket nobody is compared with everybody: first all members
 are compared with one pivot, that with most company elsewhere, and those linked to it are in its class.  Most
 buckets are settled then: their members are of one class, or the triangle inequality of the distance
 1 - likeness holds those of different classes apart.  Members of the other buckets are joined on their rarest
@@ -34,11 +34,20 @@ from pyspark.sql import functions as F
 from ..plans.graph import connected_components
 from ..plans.joins import keyed_join
 from ..plans.staging import dropped, staged
+from .common import unused
 from .textblocks import BLOCK_BYTES, Block, blocks, each_block, mix
 
 WORDS, LIKENESS = 5, 0.8
-BANDS, ROWS = 24, 5
-SIZE = BANDS * ROWS
+#: Components of a signature, and how likely at most a pair at the threshold is to share no band.
+SIZE, MISSED = 120, 1e-3
+#: Rows with one rare window that meet in one task; beyond it the window is split.
+SPLIT = 2_000
+
+
+def banding(threshold: float, size: int = SIZE) -> int:
+    """Rows of a band: the most that divide ``size`` and miss a pair at ``threshold`` with MISSED at most; 5 (24 bands) at 0.8."""
+    fits = [r for r in range(1, size + 1) if size % r == 0 and (1 - threshold**r) ** (size // r) <= MISSED]
+    return max(fits, default=1)
 
 
 def multisets(block: Block, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,26 +117,27 @@ def _points(best, h, doc, count, width, low, level, limit, size) -> None:
             np.minimum.at(best, cell, time)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """n x BANDS 64-bit keys."""
-    bits = np.ascontiguousarray(signature).view(np.uint64).reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), bits.shape[:2]).copy()
-    for j in range(ROWS):
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    """n x (size / rows) 64-bit keys."""
+    bits = np.ascontiguousarray(signature).view(np.uint64).reshape(len(signature), -1, rows)
+    key = np.broadcast_to(mix(np.arange(bits.shape[1], dtype=np.uint64)), bits.shape[:2]).copy()
+    for j in range(rows):
         key = mix(key ^ bits[:, :, j])
     return key.view(np.int64)
 
 
-def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def signed(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = LIKENESS) -> DataFrame:
     """_id, digests d1, d2 and band keys of each row.  Null and empty texts have digests 0 and no bands."""
+    rows_a_band = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in each_block(batch, "_text"):
                 h, doc, count = multisets(block)
                 d1, d2 = digests(h, doc, count, block.n)
-                keys = band_keys(signatures(h, doc, count, block.n))
+                keys = band_keys(signatures(h, doc, count, block.n), rows_a_band)
                 full = np.bincount(doc, minlength=block.n) > 0 if len(doc) else np.zeros(block.n, bool)
-                at = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
+                at = np.concatenate([[0], np.cumsum(np.where(full, keys.shape[1], 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(d1), pa.array(d2), bands], ["_id", "d1", "d2", "bands"])
 
@@ -178,8 +188,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     Texts with equal multisets of windows are one class from the start and compared once; so are all null,
     empty and blank texts.  Rows without a key belong to a class, but do not name it unless it has no other
     rows, and then class_id is null.  Repeated rows and extra columns do no harm; an empty table gives no rows.
+    A very long text is one block and takes about a hundred times its words in bytes.  Bands follow ``threshold``.
     """
-    rows = staged(signed(docs, text, key), "signed")
+    rows = staged(signed(docs, text, key, threshold), "signed")
     firsts = rows.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = staged(firsts.withColumn("nid", F.monotonically_increasing_id()), "reps")
 
@@ -279,7 +290,8 @@ def _by_rare_windows(left: DataFrame, texts: DataFrame, threshold: float) -> Dat
     Tokens are ordered by frequency, tokens of one text only first.  Texts x and y, y not longer, with likeness t
     share t / (1 + t) (|x| + |y|) tokens, and all of them lie behind the first shared one.  So that one is
     within the first |x| - t |x| + 1 of x and |y| - 2 t / (1 + t) |y| + 1 of y, and neither text has fewer
-    tokens from there on than must be shared.
+    tokens from there on than must be shared.  The rows of a token of more than SPLIT texts are dealt over
+    several tasks: those of x by hash, with those of y in each.
     """
     tokens = window_tokens(texts.join(left.select("nid"), "nid", "left_semi"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -287,25 +299,26 @@ def _by_rare_windows(left: DataFrame, texts: DataFrame, threshold: float) -> Dat
     place = F.col("w") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "token")) - 1
     shared = tokens.join(counts, "token").withColumn("pos", place)
     t = threshold - 1e-9
-    prefix = staged(shared.where(F.col("pos") <= F.col("w") - F.ceil(F.col("w") * t)).join(left, "nid").select("nid", "label", "w", "token", "pos"), "prefix")
-    x = prefix.select(F.col("nid").alias("a"), F.col("label").alias("_la"), F.col("w").alias("_wa"), F.col("pos").alias("_pa"), "token")
-    y = prefix.where(F.col("pos") <= F.col("w") - F.ceil(F.col("w") * (2 * t / (1 + t)))).select(F.col("nid").alias("b"), F.col("label").alias("_lb"), F.col("w").alias("_wb"), F.col("pos").alias("_pb"), F.col("token").alias("_token"))
+    prefix = staged(shared.where(F.col("pos") <= F.col("w") - F.ceil(F.col("w") * t)).join(left, "nid").select("nid", "label", "w", "token", "pos", F.ceil(F.col("c") / SPLIT).alias("salts")), "prefix")
+    x = prefix.select(F.col("nid").alias("a"), F.col("label").alias("_la"), F.col("w").alias("_wa"), F.col("pos").alias("_pa"), "token", F.pmod(F.xxhash64("nid"), "salts").alias("salt"))
+    y = prefix.where(F.col("pos") <= F.col("w") - F.ceil(F.col("w") * (2 * t / (1 + t)))).select(F.col("nid").alias("b"), F.col("label").alias("_lb"), F.col("w").alias("_wb"), F.col("pos").alias("_pb"), F.col("token").alias("_token"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("_salt"))
     need = F.ceil((F.col("_wa") + F.col("_wb")) * (t / (1 + t)))
-    fits = (x["token"] == y["_token"]) & (F.col("_la") != F.col("_lb")) & (F.col("_wb") <= F.col("_wa")) & (F.col("_wb") >= F.col("_wa") * t) & (F.least(F.col("_wa") - F.col("_pa"), F.col("_wb") - F.col("_pb")) >= need)
+    fits = (x["token"] == y["_token"]) & (x["salt"] == y["_salt"]) & (F.col("_la") != F.col("_lb")) & (F.col("_wb") <= F.col("_wa")) & (F.col("_wb") >= F.col("_wa") * t) & (F.least(F.col("_wa") - F.col("_pa"), F.col("_wb") - F.col("_pb")) >= need)
     return x.join(y, fits).select("a", "b").distinct()
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of ``docs``, that with the least doc_id, with all its columns.
+    """One row of each class of ``docs``, that with the least doc_id, with all its columns, whatever their names.
 
-    An id on several rows is one document: if it names a class, one of its rows stays.  Rows without an id
-    cannot be told apart and all stay.
+    Null, empty and blank texts are one class.  An id on several rows is one document: if it names a class, one
+    of its rows stays.  Rows without an id cannot be told apart and all stay.  An empty table gives no rows.
     """
     found = classes(docs)
     ids = staged(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("doc_id") == F.col("class_id")).alias("_first")).where("_first"), "kept")
-    rows = docs.withColumn("_at", F.col("doc_id").cast("long"))
-    stay = rows.join(ids.where("_n = 1").select(F.col("doc_id").alias("_at")), "_at", "left_semi").unionByName(rows.where("_at is null"))
-    many = ids.where("_n > 1").select(F.col("doc_id").alias("_at"))
+    at = unused(docs, "__at")
+    rows = docs.withColumn(at, F.col("doc_id").cast("long"))
+    stay = rows.join(ids.where("_n = 1").select(F.col("doc_id").alias(at)), at, "left_semi").unionByName(rows.where(F.col(at).isNull()))
+    many = ids.where("_n > 1").select(F.col("doc_id").alias(at))
     if not many.isEmpty():
-        stay = stay.unionByName(rows.join(many, "_at", "left_semi").dropDuplicates(["_at"]))
-    return stay.select(*docs.columns)
+        stay = stay.unionByName(rows.join(many, at, "left_semi").dropDuplicates([at]))
+    return stay.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,8 +6,8 @@ reject both "``risk`` or more of the good texts lie beyond it" and "``risk`` or
 each at ``level`` divided by the number of tests (2 x strata x rules x grid points, Bonferroni).  The
 strictest admissible cutoff is taken; without one the rule is silent in that stratum.  So with probability
 1 - ``level`` no rule rejects more than ``risk`` of the good texts of any stratum, and none is kept that
-does no more than that to bad ones.  Strata (languages) with fewer than MIN_STRATUM good texts form one
-stratum together.
+does no more than that to bad ones.  Strata are languages and never pooled: with so few good texts that no
+count of theirs could pass, or none at all, all rules are silent there and the stratum costs no correction.
 
 Texts go through one Arrow pass; only the counts are joined with the labels and aggregated on a fixed grid.
 """
@@ -29,8 +29,7 @@ MIN_WORDS = 50
 #: Rules (shares of 0 to 1000 in thousandths) and the grid of cutoffs tried.
 RULES = ("symbols", "repeats", "lines")
 GRID = (20, 50, 100, 150, 200, 250, 300, 400, 500)
-RISK, LEVEL, MIN_STRATUM = 0.01, 0.05, 1000
-REST = "rest"
+RISK, LEVEL = 0.01, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 _SYMBOL = np.zeros(256, bool)
@@ -91,11 +90,33 @@ def counted(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), summed exactly term by term."""
+    """P(Bin(n, p) <= k), the regularised incomplete beta function, in time that hardly grows with n.
+
+    Its continued fraction (NIST Digital Library of Mathematical Functions 8.17.22) is evaluated from the front by
+    the products of numerators and denominators (Lentz).
+    """
+    if k < 0:
+        return 0.0
     if k >= n:
         return 1.0
-    base = math.lgamma(n + 1)
-    return min(1.0, math.fsum(math.exp(base - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
+    a, b, x = float(n - k), k + 1.0, 1 - p
+    if x > (a + 1) / (a + b + 2):  # there the fraction of the other tail is the fast one
+        return 1 - _beta(b, a, p)
+    return _beta(a, b, x)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    fraction, c, d, i = 1.0, 1.0, 0.0, 0
+    while i < 2 or abs(c * d - 1) > 1e-14:
+        i += 1
+        m = i // 2
+        t = -(a + m) * (a + b + m) * x if i % 2 else m * (b - m) * x
+        t /= (a + i - 1) * (a + i)
+        d = 1 / (1 + t * d)
+        c = 1 + t / c
+        fraction *= c * d
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return min(1.0, math.exp(front) / (a * fraction))
 
 
 def share_columns() -> dict[str, F.Column]:
@@ -114,32 +135,28 @@ def cutoffs_of(rows: list[dict], risk: float, level: float) -> dict[str, dict[st
     return out
 
 
-def calibrate(rated: DataFrame, risk: float = RISK, level: float = LEVEL, least: int | None = None) -> dict[str, dict[str, int]]:
+def least_good(risk: float = RISK, level: float = LEVEL) -> int:
+    """Good texts below which no count beyond a cutoff, not even 0, passes the test of a single stratum."""
+    return math.ceil(math.log(level / (2 * len(RULES) * len(GRID))) / math.log1p(-risk))
+
+
+def calibrate(rated: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, int]]:
     """{stratum: {rule: cutoff in thousandths}} from the counts of holdout texts that pass the base, with stratum and good.
 
-    All labelled rows are counted; what reaches the driver is one row for each stratum of at least ``least`` (MIN_STRATUM)
-    good texts and one, REST, for the others.
+    All labelled rows are counted; what reaches the driver is one row for each stratum with least_good good texts.
     """
     of = share_columns()
     beyond = [F.count_if((of[r] > g) & (F.col("good") == y)).alias(f"{p}_{r}_{g}") for p, y in (("g", True), ("b", False)) for r in RULES for g in GRID]
     by = rated.groupBy(F.col("stratum").alias("s")).agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("b"), *beyond)
-    sums = [F.sum(c).alias(c) for c in by.columns if c != "s"]
-    rows = by.groupBy(F.when(F.col("n") >= (MIN_STRATUM if least is None else least), F.col("s")).otherwise(REST).alias("s")).agg(*sums).collect()
-    return cutoffs_of([r.asDict() for r in rows], risk, level)
+    return cutoffs_of([r.asDict() for r in by.where(F.col("n") >= least_good(risk, level)).collect()], risk, level)
 
 
 def verdict(cutoffs: dict[str, dict[str, int]], stratum: F.Column) -> F.Column:
-    """True where no cutoff of the row's stratum is exceeded."""
-    def reject(rules: dict[str, int]) -> F.Column:
-        out = F.lit(False)
-        for r, g in rules.items():
-            out = out | (share_columns()[r] > g)
-        return out
-
-    out = reject(cutoffs.get(REST, {}))
+    """True where no cutoff of the row's stratum is exceeded; a stratum without cutoffs rejects nothing."""
+    out = F.lit(False)
     for s, rules in sorted(cutoffs.items()):
-        if s != REST:
-            out = F.when(stratum == s, reject(rules)).otherwise(out)
+        for r, g in rules.items():
+            out = out | ((stratum == s) & (share_columns()[r] > g))
     return ~out
 
 
@@ -160,8 +177,10 @@ def base_failed_column() -> F.Column:
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Counts, shares and verdict of every row of ``docs`` (doc_id, text, lang).
 
-    Null or empty texts have no words and fail the base.  Repeated rows are judged alike, each on its own.
-    Without labels no cutoff is admissible, so the base alone decides.
+    Null or empty texts have no words and fail the base; rows without an id are judged, but no label speaks for
+    them.  Repeated rows are judged alike, each on its own.  A null language is a stratum of its own.  Where
+    labels are too few the base alone decides.  An empty table gives no rows; other columns of ``docs`` are not
+    touched.  A very long text is one block and takes about thirty times its bytes.
     """
     rows = staged(counted_with_stratum(docs), "counts")
     cutoffs = calibrate(holdout(rows, labels), risk=risk, level=level)
@@ -174,7 +193,7 @@ def counted_with_stratum(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that quality_rules keeps, with all their columns."""
+    """The rows of ``docs`` that quality_rules keeps, with all their columns, whatever their names; an empty table gives none."""
     from .common import table
 
     cutoffs = calibrate(holdout(counted_with_stratum(docs), table(spark, sf_dir, "labels")))
@@ -187,7 +206,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 kept, share = ~base_failed(c), shares(c)
                 langs = np.array(["none" if x is None else f"lang:{x}" for x in rows.column(names.index("lang")).to_pylist()], object)
                 for s in set(langs):
-                    for r, g in cutoffs.get(s, cutoffs.get(REST, {})).items():
+                    for r, g in cutoffs.get(s, {}).items():
                         kept &= (langs != s) | (share[r] <= g)
                 yield rows.filter(pa.array(kept))
 

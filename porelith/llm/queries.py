@@ -81,16 +81,15 @@ counts AS (SELECT doc_id, s, len(regexp_extract_all(text, '{_WORD}')) AS n_words
 judged AS (SELECT *, (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS lines FROM counts),
 rated AS (SELECT j.*, good FROM judged j JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
-strata AS (SELECT s, CASE WHEN count(*) FILTER (good) >= {quality_rules.MIN_STRATUM} THEN s ELSE 'rest' END AS t FROM rated GROUP BY s),
-shares AS (SELECT t, good, rule, x FROM rated JOIN strata USING (s), (VALUES ('symbols'), ('repeats'), ('lines')) r(rule), LATERAL (SELECT CASE rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats ELSE lines END AS x)),
-tests AS (SELECT t, rule, g, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS b, count(*) FILTER (good AND x > g) AS kg, count(*) FILTER (NOT good AND x > g) AS kb FROM shares, (VALUES {', '.join(f'({g})' for g in quality_rules.GRID)}) c(g) GROUP BY t, rule, g),
-alpha AS (SELECT {quality_rules.LEVEL} / greatest(1, 2 * count(DISTINCT t) * {len(quality_rules.RULES) * len(quality_rules.GRID)}) AS a FROM tests),
+strata AS (SELECT s FROM rated GROUP BY s HAVING count(*) FILTER (good) >= {quality_rules.least_good()}),
+shares AS (SELECT s, good, rule, x FROM rated JOIN strata USING (s), (VALUES ('symbols'), ('repeats'), ('lines')) r(rule), LATERAL (SELECT CASE rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats ELSE lines END AS x)),
+tests AS (SELECT s, rule, g, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS b, count(*) FILTER (good AND x > g) AS kg, count(*) FILTER (NOT good AND x > g) AS kb FROM shares, (VALUES {', '.join(f'({g})' for g in quality_rules.GRID)}) c(g) GROUP BY s, rule, g),
+alpha AS (SELECT {quality_rules.LEVEL} / greatest(1, 2 * count(DISTINCT s) * {len(quality_rules.RULES) * len(quality_rules.GRID)}) AS a FROM tests),
 tails AS (SELECT *, CASE WHEN kg >= n THEN 1 ELSE list_sum(list_transform(range(0, kg + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK})))) END AS pg,
   CASE WHEN kb = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, kb), lambda i: exp(lgamma(b + 1) - lgamma(i + 1) - lgamma(b - i + 1) + i * ln({quality_rules.RISK}) + (b - i) * ln(1 - {quality_rules.RISK})))) END AS pb FROM tests),
-cutoffs AS (SELECT t, rule, min(g) AS g FROM tails, alpha WHERE pg <= a AND kb > 0 AND pb <= a GROUP BY t, rule),
-own AS (SELECT j.*, CASE WHEN j.s IN (SELECT t FROM strata) THEN j.s ELSE 'rest' END AS t FROM judged j)
+cutoffs AS (SELECT s, rule, min(g) AS g FROM tails, alpha WHERE pg <= a AND kb > 0 AND pb <= a GROUP BY s, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cutoffs c WHERE c.t = own.t AND CASE c.rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats ELSE lines END > c.g) AS kept FROM own
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cutoffs c WHERE c.s = j.s AND CASE c.rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats ELSE lines END > c.g) AS kept FROM judged j
 """
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

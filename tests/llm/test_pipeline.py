@@ -22,10 +22,7 @@ def corpus(spark, path):
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
 
 
-def test_stages(spark, tmp_path, monkeypatch):
-    from porelith.llm import quality_rules
-
-    monkeypatch.setattr(quality_rules, "MIN_STRATUM", 10)
+def test_stages(spark, tmp_path):
     corpus(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     seen = {}

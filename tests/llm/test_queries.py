@@ -1,14 +1,16 @@
 """The registered queries on the smallest tables: against SQL where there is any, and by their contracts."""
 
 import os
+import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from porelith.llm import queries
-from tests.test_queries import SF, duck, same  # noqa: F401
+from tests.test_queries import SF, duck, plain, same  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -18,6 +20,28 @@ def test_query_equals_sql(spark, duck, name):  # noqa: F811
     same(spark, duck, queries.queries()[name], queries.oracle_sql()[name])
 
 
+def test_quality_rules_equal_sql_where_cutoffs_bite(spark, tmp_path):
+    r = random.Random(2)
+    docs, marks = [], []
+    for k in range(4000):
+        lang = ("aa", "bb", None)[k % 3] if k % 50 else "dd"
+        good = r.random() < 0.8
+        words = [f"w{r.randrange(500)}" for _ in range(r.randrange(48, 70))]
+        if not good:
+            words[: len(words) // 3] = r.choice([["#$"], ["same", "old", "line\n"]]) * 6
+        docs.append((k % 3950, " ".join(words), lang))
+        marks.append((k, int(good)))
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op3_quality_rules(spark, str(tmp_path))
+    assert got.where("not base_failed and not kept").count() > 50
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cols = sorted(got.columns)
+    assert plain(map(tuple, got.select(*cols).collect())) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()['op3_quality_rules']})").fetchall())
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")

@@ -114,6 +114,27 @@ def test_links_across_classes_of_one_bucket_are_found(spark):
     assert want and want <= pairs
 
 
+@pytest.mark.parametrize(("threshold", "rows"), [(0.8, 5), (0.5, 2), (0.95, 12), (0.05, 1)])
+def test_bands_follow_the_threshold(threshold, rows):
+    assert bagminhash.banding(threshold) == rows
+
+
+def test_lower_thresholds_link_more(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(12):
+        t = prose(k, 90)
+        rows += [t, edited(t, 5, r)]  # alike at about 0.6
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert bagminhash.classes(docs).select("class_id").distinct().count() == 24
+    assert bagminhash.classes(docs, threshold=0.5).select("class_id").distinct().count() == 12
+
+
+def test_frequent_rare_windows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "SPLIT", 3)
+    test_links_across_classes_of_one_bucket_are_found(spark)
+
+
 def test_classes_odd_and_empty(spark, odd, none):
     got = Counter((x["doc_id"], x["class_id"]) for x in bagminhash.classes(odd).collect())
     assert got == brute_classes([(i, t) for i, t, _, _ in ODD])
@@ -127,6 +148,9 @@ def test_near_duplicate_stage(spark, odd, none):
     # 1 and 2 are copies; id 2 also has a text of its own, whose class it names; 3, 4, 5 are blank and one class
     assert ids == Counter({1: 1, 2: 1, 3: 1, None: 2, **{k: 1 for k in range(6, 12)}})
     assert bagminhash.stage(spark, none, None).count() == 0
+    clash = odd.withColumns({"_at": F.lit("keep"), "__at": F.lit(1), "a.b": F.lit(2), "class_id": F.lit("c")})
+    both = bagminhash.stage(spark, clash, None)
+    assert both.columns == clash.columns and both.where("_at = 'keep' and __at = 1 and class_id = 'c'").count() == sum(ids.values())
 
 
 def test_hot_group_of_near_copies(spark):

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from porelith.llm import common, language_id, pieces, quality_rules, toxicity
 from porelith.llm.textblocks import blocks
@@ -48,8 +49,23 @@ def test_blocks_cut_between_texts():
 
 
 def test_binomial_bound_is_exact():
-    for k, n, p in ((0, 10, 0.1), (3, 20, 0.2), (20, 20, 0.5)):
-        assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    for k, n, p in ((0, 10, 0.1), (3, 20, 0.2), (20, 20, 0.5), (-1, 5, 0.3), (0, 700, 0.01), (9, 700, 0.01), (290, 300, 0.99), (60, 300, 0.3)):
+        assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
+    began = time.perf_counter()
+    assert 0.49 < quality_rules.binomial_cdf(10**7, 10**9, 0.01) < 0.51 and time.perf_counter() - began < 0.1
+
+
+def test_strata_too_small_for_any_proof_are_silent(spark):
+    least = quality_rules.least_good()
+    one_test = 0.05 / (2 * len(quality_rules.RULES) * len(quality_rules.GRID))
+    assert 0.99**least <= one_test < 0.99 ** (least - 1)
+    zero = dict.fromkeys(quality_rules.COUNTS, 0) | {"word_chars": 500, "n_words": 60, "n_lines": 1}
+    rows = [(s, y, *(zero | {"n_symbols": 0 if y else 100}).values()) for s, n in (("big", 1000), ("small", least - 1)) for y in (True, False) for _ in range(n)]
+    rated = spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"{c} bigint" for c in zero))
+    found = quality_rules.calibrate(rated)
+    assert found == {"big": {"symbols": quality_rules.GRID[0]}}
+    judged = rated.withColumn("kept", quality_rules.verdict(found, F.col("stratum")))
+    assert judged.where("kept != (good or stratum = 'small')").count() == 0
 
 
 def test_cutoffs_limit_false_rejections():
