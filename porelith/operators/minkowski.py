@@ -1,37 +1,45 @@
 """Minkowski functionals from the histogram of 2 x 2 (x 2) configurations.
 
-A configuration is a number with a bit for each corner that is in the phase: bit 0 at (0, 0, 0), 1 at x + 1,
-2 at y + 1, 4 at z + 1 (as an exponent: corner (i, j, k) is bit i + 2 j + 4 k).  The last layer of each axis
-starts no configuration.  All that follows are sums over at most 256 rows on the driver.
+A configuration is a number with a bit for each corner of a cell that is in the phase: corner (i, j, k) is bit
+i + 2 j + 4 k.  The last layer of each axis starts no cell.  All measures are sums over the at most 256 rows of
+that histogram: boundary length and surface by Crofton's formula from the crossings of lattice chords, mean
+curvature by the Euler numbers of lattice sections, the Euler number itself by local shares.
 """
 
 from __future__ import annotations
 
 import math
 from functools import lru_cache
-from itertools import product
+from itertools import permutations, product
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, GridSpec
 from .voxels import own
 
+Vector = tuple[int, ...]
 
-def configurations(img: DataFrame, shape: tuple[int, ...], phase=None, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """(mask, n) over all cells of the grid.  ``phase``: a condition, v is true by default.
 
-    Each phase voxel sends its bit to the cells of which it is a corner; cells that get none are counted by
-    subtraction, so only phase voxels are moved.
-    """
-    phase = F.col("v").cast("boolean") if phase is None else phase
-    bits = [(d, 1 << sum(c << i for i, c in enumerate(d))) for d in product((0, 1), repeat=len(axes))]
+# -- the histogram
+def _masks(img: DataFrame, shape: tuple[int, ...], axes: tuple[str, ...], by: list[str]) -> DataFrame:
+    """(by, mask, n) of the cells with a corner among the rows of ``img``: each voxel sends its bit to its cells."""
+    bits = [(d, 1 << _corner(d)) for d in product((0, 1), repeat=len(axes))]
     corner = F.explode(F.array(*(F.struct(*(F.lit(c).alias(f"d{a}") for a, c in zip(axes, d, strict=True)), F.lit(b).alias("bit")) for d, b in bits)))
-    sent = img.where(phase).select(*axes, corner.alias("_c")).select(*((F.col(a) - F.col(f"_c.d{a}")).alias(a) for a in axes), F.col("_c.bit").alias("bit"))
+    sent = img.select(*by, *axes, corner.alias("_c")).select(*by, *((F.col(a) - F.col(f"_c.d{a}")).alias(a) for a in axes), F.col("_c.bit").alias("bit"))
     for a, n in zip(axes, shape, strict=True):
         sent = sent.where((F.col(a) >= 0) & (F.col(a) < n - 1))
-    masks = sent.groupBy(*axes).agg(F.bit_or("bit").alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    return sent.groupBy(*by, *axes).agg(F.bit_or("bit").alias("mask")).groupBy(*by, "mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def configurations(img: DataFrame, shape: tuple[int, ...], phase: Column | None = None, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """(mask, n) over all cells of the grid.  ``phase``: a condition, v is true by default.
+
+    Only phase voxels are moved; cells that get no bit are counted by subtraction.
+    """
+    phase = F.col("v").cast("boolean") if phase is None else phase
+    masks = _masks(img.where(phase), shape, axes, [])
     total = math.prod(n - 1 for n in shape)
     empty = masks.agg((F.lit(total).cast("long") - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).select(F.lit(0).alias("mask"), "n")
     return masks.unionByName(empty)
@@ -45,30 +53,50 @@ def histogram(masks: DataFrame, size: int) -> np.ndarray:
     return h
 
 
-def _has(masks: np.ndarray, *corners: int) -> np.ndarray:
-    out = np.ones(len(masks), bool)
-    for c in corners:
-        out &= (masks >> c & 1).astype(bool)
-    return out
+def _corner(d: Vector) -> int:
+    return sum(c << i for i, c in enumerate(d))
 
 
-def _lacks(masks: np.ndarray, *corners: int) -> np.ndarray:
-    out = np.ones(len(masks), bool)
-    for c in corners:
-        out &= ~(masks >> c & 1).astype(bool)
-    return out
+def _dimensions(h: np.ndarray) -> int:
+    return {16: 2, 256: 3}[len(h)]
+
+
+def _with(h: np.ndarray, corners: list[int]) -> np.ndarray:
+    """How many cells have 0, 1, ... of ``corners`` in the phase."""
+    m = np.arange(len(h))
+    return np.bincount(sum(m >> c & 1 for c in corners), h, len(corners) + 1)
+
+
+# -- lattice directions
+def directions(dimensions: int) -> list[Vector]:
+    """One of each pair of opposite lattice directions to the neighbours of a cell, the last step that is not 0 upwards."""
+    steps = product((-1, 0, 1), repeat=dimensions)
+    return [d for d in steps if any(d) and [c for c in d if c][-1] > 0]
+
 
+def direction_weights(spacing: tuple[float, ...]) -> dict[Vector, float]:
+    """Share of the circle or sphere nearest to each lattice direction of a grid with this spacing; opposite ones are alike."""
+    half = _on_circle(spacing) if len(spacing) == 2 else _on_sphere(spacing)
+    return half | {tuple(-c for c in d): w for d, w in half.items()}
 
-def direction_weights(spacing: tuple[float, float, float]) -> dict[tuple[int, int, int], float]:
-    """Share of the sphere nearest to each of the 26 lattice directions of a grid with this spacing.
 
-    The cell of a direction on the unit sphere is bounded by great circles halfway to the others; its corners
-    are the points with three equally near directions and none nearer, its area follows from their angles.
+def _on_circle(spacing) -> dict[Vector, float]:
+    """Half the angle between the directions before and after."""
+    angle = {d: math.atan2(d[1] * spacing[1], d[0] * spacing[0]) % math.pi for d in directions(2)}
+    order = sorted(angle, key=angle.get)
+    gap = [(angle[order[(i + 1) % len(order)]] - angle[d]) % math.pi for i, d in enumerate(order)]
+    return {d: (gap[i - 1] + gap[i]) / 2 / (2 * math.pi) for i, d in enumerate(order)}
+
+
+def _on_sphere(spacing) -> dict[Vector, float]:
+    """Areas of the cells, bounded by great circles halfway to the other directions.
+
+    The corners of a cell are the points with three equally near directions and none nearer; its area follows from its angles.
     """
     steps = [d for d in product((-1, 0, 1), repeat=3) if any(d)]
     unit = {d: np.array(d) * spacing / np.linalg.norm(np.array(d) * spacing) for d in steps}
     out = {}
-    for d in [s for s in steps if s >= tuple(-c for c in s)]:
+    for d in directions(3):
         u = unit[d]
         others = [e for e in steps if e != d]
         corners = []
@@ -88,119 +116,109 @@ def direction_weights(spacing: tuple[float, float, float]) -> dict[tuple[int, in
             before, after = corners[i - 1], corners[(i + 1) % len(corners)]
             s, t = before - (before @ p) * p, after - (after @ p) * p
             angles += math.acos(np.clip(s @ t / np.linalg.norm(s) / np.linalg.norm(t), -1, 1))
-        out[d] = out[tuple(-c for c in d)] = (angles - (len(corners) - 2) * math.pi) / (4 * math.pi)
+        out[d] = (angles - (len(corners) - 2) * math.pi) / (4 * math.pi)
     return out
 
 
-def _corner(d) -> int:
-    return sum(c << i for i, c in enumerate(d))
+# -- densities
+def volume_density(h: np.ndarray) -> float:
+    """The share of cells whose first corner is in the phase; also the area density in two dimensions."""
+    return float(_with(h, [0])[1] / h.sum()) if h.sum() else 0.0
 
 
-def _chords() -> list[tuple[tuple[int, int, int], int, int]]:
-    """The 13 directions with the two corners of a cell that each joins."""
-    out = []
-    for d in product((-1, 0, 1), repeat=3):
-        if any(d) and d > tuple(-c for c in d):
-            a = tuple(int(c < 0) for c in d)
-            out.append((d, _corner(a), _corner(tuple(x + c for x, c in zip(a, d, strict=True)))))
-    return out
+def crossing_density(h: np.ndarray, spacing: tuple[float, ...]) -> float:
+    """Borders crossed by the chords of all directions, by the chords' length; directions count by their shares."""
+    weights = direction_weights(spacing)
+    crossed = length = 0.0
+    for d in directions(_dimensions(h)):
+        start = tuple(int(c < 0) for c in d)
+        chord = [_corner(start), _corner(tuple(s + c for s, c in zip(start, d, strict=True)))]
+        crossed += weights[d] * _with(h, chord)[1]
+        length += weights[d] * h.sum() * math.hypot(*(c * s for c, s in zip(d, spacing, strict=True)))
+    return crossed / length if length else 0.0
 
 
-def volume_density(h: np.ndarray) -> float:
-    """The share of cells whose first corner is in the phase; also the area density in two dimensions."""
-    m = np.arange(len(h))
-    return float(h[m & 1 == 1].sum() / h.sum()) if h.sum() else 0.0
+def surface_density(h: np.ndarray, spacing: tuple[float, float, float]) -> float:
+    """Twice the crossings by length (Crofton)."""
+    return 2 * crossing_density(h, spacing)
 
 
-def surface_density(h: np.ndarray, spacing: tuple[float, float, float]) -> float:
-    """Crossings of chords in 13 directions, weighted by the directions' shares of the sphere."""
-    m, w = np.arange(256), direction_weights(spacing)
-    crossed = length = 0.0
-    for d, a, b in _chords():
-        hits = h[_has(m, a) & _lacks(m, b)].sum() + h[_has(m, b) & _lacks(m, a)].sum()
-        crossed += w[d] * hits
-        length += w[d] * h.sum() * float(np.linalg.norm(np.array(d) * spacing))
-    return 2.0 * crossed / length if length else 0.0
-
-
-def _planes() -> list[tuple[tuple[int, int, int], list[int]]]:
-    """The nine planes through four corners of a cell, corners in cyclic order, with the lattice direction of their normal's class."""
-    out = []
-    for axis in (2, 1, 0):  # faces
-        i, j = [a for a in range(3) if a != axis]
-        ring = [(0, 0), (1, 0), (1, 1), (0, 1)]
-        out.append((tuple(int(a == axis) for a in range(3)), [(p << i) + (q << j) for p, q in ring]))
-    for axis in (0, 1, 2):  # diagonal planes that hold the axis
-        i, j = [a for a in range(3) if a != axis]
-        for start, end in (((0, 0), (1, 1)), ((1, 0), (0, 1))):
-            s, e = (start[0] << i) + (start[1] << j), (end[0] << i) + (end[1] << j)
-            out.append((tuple(0 if a == axis else 1 for a in range(3)), [s, s + (1 << axis), e + (1 << axis), e]))
-    return out
+def length_density(h: np.ndarray, spacing: tuple[float, float]) -> float:
+    """pi / 2 times the crossings by length (Crofton), over 2 pi, as the functional of the plane is normalised."""
+    return crossing_density(h, spacing) / 4
+
+
+def sections(normal: Vector) -> list[list[int]]:
+    """The corners of a cell in each plane across ``normal`` that holds three at least, from the lowest plane up."""
+    planes: dict[int, list[int]] = {}
+    for c in product((0, 1), repeat=3):
+        planes.setdefault(sum(map(math.prod, zip(c, normal, strict=True))), []).append(_corner(c))
+    return [planes[k] for k in sorted(planes) if len(planes[k]) > 2]
 
 
 def curvature_density(h: np.ndarray, spacing: tuple[float, float, float]) -> float:
-    """Two-dimensional Euler numbers of sections by 13 planes, weighted by their normals' shares."""
-    m, w = np.arange(256), direction_weights(spacing)
-    r = np.asarray(spacing, float)
+    """The mean, over directions, of the Euler number by area of the sections across them (Crofton).
+
+    Sections are lattices of parallelograms or of triangles.  Of parallelograms one plane a cell is enough; the
+    Euler number is that of Gray's bit quads, (Q1 - Q3) / 4, between 4- and 8-neighbourhoods.  Triangles stand on
+    their base in one plane and on their tip in the next.  Let each corner count for a third in the tip-down ones
+    and each edge for a third in one kind and two thirds in the other: corners - edges + faces is then a third of
+    the upper triangles with one corner less those lower ones with two.  In both cases that is, over m corners,
+    the sections with one corner less those with all but one.
+    """
+    weights = direction_weights(spacing)
     total = 0.0
-    for normal, ring in _planes():
-        if sum(normal) == 1:
-            i, j = [a for a in range(3) if not normal[a]]
-            area = r[i] * r[j]
-        else:
-            axis = normal.index(0)
-            i, j = [a for a in range(3) if a != axis]
-            area = r[axis] * math.hypot(r[i], r[j])
-        n = 0
-        for k in range(4):
-            a, b, c, d = (ring[(k + s) % 4] for s in range(4))
-            n += h[_has(m, a) & _lacks(m, b, c, d)].sum() - h[_has(m, a, b, c) & _lacks(m, d)].sum()
-        total += w[normal] / (4 * area) * n
-    # four diagonal normals: the two triangles that a corner's neighbours form
-    s = [math.hypot(r[0], r[1]), math.hypot(r[0], r[2]), math.hypot(r[1], r[2])]
-    half = sum(s) / 2
-    area = 2 * math.sqrt(half * math.prod(half - x for x in s))
-    for c in (7, 5, 4, 6):
-        near = [(7 - c) ^ b for b in (1, 2, 4)]
-        far = [c ^ b for b in (1, 2, 4)]
-        n = 0
-        for k in range(3):
-            n += h[_has(m, far[k]) & _lacks(m, far[(k + 1) % 3], far[(k + 2) % 3])].sum()
-            n -= h[_has(m, near[k], near[(k + 1) % 3]) & _lacks(m, near[(k + 2) % 3])].sum()
-        total += w[(1, 1, 1)] / (3 * area) * n
-    return float(total / h.sum() * 8 * math.pi) if h.sum() else 0.0
-
-
-_EDGES = [(a, b) for a in range(8) for b in range(a + 1, 8) if bin(a ^ b).count("1") == 1]
-_FACES = [[c for c in range(8) if c >> axis & 1 == s] for axis in range(3) for s in (0, 1)]
+    for normal in directions(3):
+        planes = sections(normal)
+        low, m = planes[0], len(planes[0])
+        high = low if m == 4 else planes[-1]
+        a, b, c = (np.array([k & 1, k >> 1 & 1, k >> 2]) * spacing for k in low[:3])
+        euler = (_with(h, high)[1] - _with(h, low)[m - 1]) / m
+        total += weights[normal] * euler / np.linalg.norm(np.cross(b - a, c - a))  # the area of one corner of the lattice
+    return float(8 * math.pi * total / h.sum()) if h.sum() else 0.0
+
+
+#: 24 times the share of the Euler number (26-neighbourhoods) of a configuration, one for each of
+#: the 22 kinds of configurations that no turn or reflection of the cell makes alike, by its least number.
+EULER26 = {
+    0: 0, 1: 3, 3: 0, 6: 6, 7: -3, 15: 0, 22: 9, 23: -6, 24: 6, 25: 3, 27: -6, 30: 0, 31: -3,
+    60: 0, 61: -8, 63: 0, 105: 12, 107: -3, 111: -6, 126: -12, 127: 3, 255: 0,
+}
 
 
 @lru_cache
 def euler26_table() -> np.ndarray:
-    """24 times a configuration's share of the Euler number.
-
-    Corners, edges, faces and the cell count 3, -6, 12 and -24.  The ring of six corners that two opposite
-    ones leave counts 6 more if it is all there is, and 1 more if one of it is missing.
-    """
+    """EULER26 for all 256 configurations."""
     out = np.zeros(256, np.int64)
-    for m in range(256):
-        on = [c for c in range(8) if m >> c & 1]
-        v = 3 * len(on) - 6 * sum(a in on and b in on for a, b in _EDGES) + 12 * sum(set(f) <= set(on) for f in _FACES) - 24 * (m == 255)
-        in_ring = any(c not in on and 7 - c not in on for c in range(4))
-        out[m] = v + (6 if in_ring and len(on) == 6 else 1 if in_ring and len(on) == 5 else 0)
+    for order in permutations(range(3)):
+        for flip in range(8):
+            moved = [sum((c >> a & 1) << i for i, a in enumerate(order)) ^ flip for c in range(8)]
+            for mask, value in EULER26.items():
+                out[sum(1 << moved[c] for c in range(8) if mask >> c & 1)] = value
     return out
 
 
+def _first_corner(m: np.ndarray, *others: int) -> np.ndarray:
+    return np.logical_and.reduce([m >> c & 1 for c in (0, *others)]).astype(np.int64)
+
+
 @lru_cache
 def euler6_table() -> np.ndarray:
-    """A configuration's share of the Euler number of 6-neighbourhoods, seen from its first corner."""
+    """A configuration's share of the Euler number of 6-neighbourhoods, seen from its first corner: corner, edges, faces, cell."""
     m = np.arange(256)
-    out = _has(m, 0).astype(np.int64)
-    for axis in (1, 2, 4):
-        out -= _has(m, 0, axis)
-    for a, b in ((1, 2), (1, 4), (2, 4)):
-        out += _has(m, 0, a, b, a | b)
-    return out - (m == 255)
+    edges = sum(_first_corner(m, a) for a in (1, 2, 4))
+    faces = sum(_first_corner(m, a, b, a | b) for a, b in ((1, 2), (1, 4), (2, 4)))
+    return _first_corner(m) - edges + faces - (m == 255)
+
+
+@lru_cache
+def euler_tables_2d() -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the Euler number: seen from the first corner, and (times 12) of all four corners alike."""
+    m = np.arange(16)
+    four = _first_corner(m) - _first_corner(m, 1) - _first_corner(m, 2) + (m == 15)
+    corners = sum(m >> c & 1 for c in range(4))
+    edges = sum((m >> a & 1) * (m >> b & 1) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3)))
+    return four, 3 * corners - 6 * edges + 12 * (m == 15)
 
 
 def euler26_density(h: np.ndarray, spacing) -> float:
@@ -211,103 +229,64 @@ def euler6_density(h: np.ndarray, spacing) -> float:
     return float(3 / (4 * math.pi) * (euler6_table() * h).sum() / (h.sum() * math.prod(spacing))) if h.sum() else 0.0
 
 
-def functionals_of(h: np.ndarray, shape: tuple[int, int, int], resolution: tuple[float, float, float], norm: bool = False) -> tuple[float, float, float, float]:
-    """Volume, surface, curvature and Euler characteristic; with ``norm`` divided by the grid's volume."""
+def euler8_density(h: np.ndarray, spacing) -> float:
+    return float((euler_tables_2d()[1] * h).sum() / (12 * math.pi * h.sum() * math.prod(spacing))) if h.sum() else 0.0
+
+
+# -- functionals
+def functionals_of(h: np.ndarray, shape: tuple[int, ...], resolution: tuple[float, ...], norm: bool = False) -> tuple[float, ...]:
+    """Volume, surface, curvature and Euler characteristic; area, length and Euler characteristic in two dimensions.
+
+    With ``norm`` divided by the grid's volume (area).  In the plane the densities refer to the cells, whose number
+    is one less an axis.
+    """
     factor = min(resolution)
     spacing = tuple(r / factor for r in resolution)
-    whole = math.prod(shape) * math.prod(spacing)
-    got = [whole * volume_density(h), whole * surface_density(h, spacing), whole * curvature_density(h, spacing), whole * euler26_density(h, spacing)]
+    n = len(shape)
+    if n == 3:
+        densities = [volume_density(h), surface_density(h, spacing), curvature_density(h, spacing), euler26_density(h, spacing)]
+        covered = shape
+    else:
+        densities = [volume_density(h), length_density(h, spacing), euler8_density(h, spacing)]
+        covered = [s - 1 for s in shape]
+    whole = math.prod(covered) * math.prod(spacing)
     if norm:
-        return tuple(float(g / whole / factor**k) for k, g in enumerate(got))
-    return tuple(float(g * factor ** (3 - k)) for k, g in enumerate(got))
+        full = math.prod(shape) * math.prod(spacing)
+        return tuple(float(whole * d / full / factor**k) for k, d in enumerate(densities))
+    return tuple(float(whole * d * factor ** (n - k)) for k, d in enumerate(densities))
 
 
-def functionals(img: DataFrame, grid: GridSpec, phase=None) -> tuple[float, float, float, float]:
+def functionals(img: DataFrame, grid: GridSpec, phase: Column | None = None) -> tuple[float, float, float, float]:
     """Volume, surface area, mean curvature and Euler characteristic of a phase (v true by default)."""
     h = histogram(configurations(own(img, grid), grid.voxels_shape, phase), 256)
     return functionals_of(h, grid.voxels_shape, grid.resolution)
 
 
-# -- two dimensions
-def length_density(h: np.ndarray, spacing: tuple[float, float]) -> float:
-    a, b = spacing
-    w = [math.atan(b / a) / math.pi, math.atan(a / b) / math.pi]
-    w += [(1 - sum(w)) / 2] * 2
-    m = np.arange(16)
-    crossed = length = 0.0
-    for (i, j), wi, r in zip(((0, 1), (0, 2), (0, 3), (1, 2)), w, (a, b, math.hypot(a, b), math.hypot(a, b)), strict=True):
-        crossed += wi * (h[_has(m, i) & _lacks(m, j)].sum() + h[_has(m, j) & _lacks(m, i)].sum())
-        length += wi * h.sum() * r
-    return 0.25 * crossed / length if length else 0.0
-
-
-@lru_cache
-def euler_tables_2d() -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the Euler number: seen from the first corner, and (times 12) of all four corners alike."""
-    m = np.arange(16)
-    four = _has(m, 0).astype(np.int64) - _has(m, 0, 1) - _has(m, 0, 2) + _has(m, 0, 1, 2, 3)
-    eight = np.zeros(16, np.int64)
-    for c in range(4):
-        eight += 3 * _has(m, c)
-    for a, b in ((0, 1), (0, 2), (1, 3), (2, 3)):
-        eight -= 6 * _has(m, a, b)
-    return four, eight + 12 * (m == 15)
-
-
-def functionals_2d(img: DataFrame, shape: tuple[int, int], resolution: tuple[float, float] = (1.0, 1.0), phase=None, norm: bool = False) -> tuple[float, float, float]:
+def functionals_2d(img: DataFrame, shape: tuple[int, int], resolution: tuple[float, float] = (1.0, 1.0), phase: Column | None = None, norm: bool = False) -> tuple[float, float, float]:
     """Area, length and Euler characteristic of an image with columns x and y."""
-    h = histogram(configurations(img, shape, phase, ("x", "y")), 16)
-    factor = min(resolution)
-    a, b = (r / factor for r in resolution)
-    whole = (shape[0] - 1) * (shape[1] - 1) * a * b
-    euler = float((euler_tables_2d()[1] * h).sum() / (h.sum() * a * b) / (12 * math.pi)) if h.sum() else 0.0
-    got = [whole * volume_density(h), whole * length_density(h, (a, b)), whole * euler]
-    full = shape[0] * shape[1] * a * b
-    return tuple(g / full / factor**k for k, g in enumerate(got)) if norm else tuple(g * factor ** (2 - k) for k, g in enumerate(got))
+    return functionals_of(histogram(configurations(img, shape, phase, ("x", "y")), 16), shape, resolution, norm)
 
 
 # -- functions of a threshold
-def _thresholds(img: DataFrame, v: str) -> tuple[int, int]:
-    r = img.agg(F.min(v).alias("a"), F.max(v).alias("b")).first()
-    return int(r["a"]), int(r["b"])
-
-
 def functions(img: DataFrame, shape: tuple[int, ...], resolution: tuple[float, ...], opening: bool = True, v: str = "v", norm: bool = False) -> list[tuple]:
     """(threshold, functionals ...) for every threshold from the least to the greatest value of a map.
 
     Of an opening map the phase is what lies above the threshold, of a closing map what does not.  The
-    thresholds are evaluated in one job: a voxel sends its bits once for each threshold at which it is in.
+    thresholds are evaluated in one job: a voxel sends its bits once for each threshold at which it is in.  What
+    reaches the driver are at most 256 (16) rows a threshold.
     """
-    low, high = _thresholds(img, v)
-    steps = range(low, high + 1)
+    ends = img.agg(F.min(v).alias("a"), F.max(v).alias("b")).first()
+    low, high = int(ends["a"]), int(ends["b"])
     axes = AXES[: len(shape)]
     inside = F.col(v) > F.col("_t") if opening else F.col(v) <= F.col("_t")
     spread = img.withColumn("_t", F.explode(F.sequence(F.lit(low), F.lit(high)))).where(inside)
-    bits = [(d, 1 << sum(c << i for i, c in enumerate(d))) for d in product((0, 1), repeat=len(axes))]
-    corner = F.explode(F.array(*(F.struct(*(F.lit(c).alias(f"d{a}") for a, c in zip(axes, d, strict=True)), F.lit(b).alias("bit")) for d, b in bits)))
-    sent = spread.select("_t", *axes, corner.alias("_c")).select("_t", *((F.col(a) - F.col(f"_c.d{a}")).alias(a) for a in axes), F.col("_c.bit").alias("bit"))
-    for a, n in zip(axes, shape, strict=True):
-        sent = sent.where((F.col(a) >= 0) & (F.col(a) < n - 1))
-    rows = sent.groupBy("_t", *axes).agg(F.bit_or("bit").alias("mask")).groupBy("_t", "mask").agg(F.count(F.lit(1)).alias("n")).collect()
-    size, total = 1 << (1 << len(axes)), math.prod(n - 1 for n in shape)
-    out = []
-    for t in steps:
-        h = np.zeros(size, np.int64)
-        for r in rows:
-            if r["_t"] == t:
-                h[r["mask"]] = r["n"]
+    total = math.prod(n - 1 for n in shape)
+    found = {t: np.zeros(1 << (1 << len(axes)), np.int64) for t in range(low, high + 1)}
+    for r in _masks(spread, shape, axes, ["_t"]).collect():
+        found[r["_t"]][r["mask"]] = r["n"]
+    for h in found.values():
         h[0] = total - h.sum()
-        if len(axes) == 3:
-            out.append((t, *functionals_of(h, shape, resolution, norm)))
-        else:
-            factor = min(resolution)
-            a, b = (x / factor for x in resolution)
-            whole = (shape[0] - 1) * (shape[1] - 1) * a * b
-            euler = float((euler_tables_2d()[1] * h).sum() / (h.sum() * a * b) / (12 * math.pi))
-            got = [whole * volume_density(h), whole * length_density(h, (a, b)), whole * euler]
-            full = shape[0] * shape[1] * a * b
-            out.append((t, *(g / full / factor**k if norm else g * factor ** (2 - k) for k, g in enumerate(got))))
-    return out
+    return [(t, *functionals_of(h, shape, resolution, norm)) for t, h in found.items()]
 
 
 def functions_open(img: DataFrame, shape, resolution, v: str = "v", norm: bool = False) -> list[tuple]:

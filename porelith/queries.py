@@ -290,9 +290,7 @@ def _listed(rows) -> str:
     return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
 
 
-# Corners of a cell, numbered x + 2 y + 4 z, and the shares of the sphere of the 6 + 12 + 8 directions of a cubic grid.
-_CELL_EDGES = ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7))
-_CELL_FACES = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7), (0, 2, 4, 6), (1, 3, 5, 7))
+# Corners of a cell are numbered x + 2 y + 4 z; the shares of the sphere of the 6 + 12 + 8 directions of a cubic grid.
 _W1, _W2, _W3 = 0.04577789120476, 0.03698062787608, 0.03519563978232
 _CHORDS = [(a, b, _W1, 1.0) for a, b in ((0, 1), (0, 2), (0, 4))] + [(a, b, _W2, 2**0.5) for a, b in ((0, 3), (1, 2), (0, 5), (1, 4), (0, 6), (2, 4))] + [(a, b, _W3, 3**0.5) for a, b in ((0, 7), (1, 6), (2, 5), (3, 4))]
 _SECTIONS = [(*c, _W1 / 4) for c in ((0, 1, 2, 3), (0, 1, 4, 5), (0, 2, 4, 6))] + [(*c, _W2 / 4 / 2**0.5) for c in ((0, 1, 6, 7), (2, 3, 4, 5), (0, 2, 5, 7), (1, 3, 4, 6), (1, 2, 5, 6), (0, 3, 4, 7))]
@@ -308,10 +306,7 @@ _MINKOWSKI = f"""SELECT round(4950.0 * v / n, 3)::DOUBLE AS volume, round(4950.0
 (SELECT sum(w * n * ({_bit('a')} + {_bit('b')} = 1)::INT) AS crossed, sum(w * r * n) AS length FROM h, (VALUES {_listed(_CHORDS)}) t(a, b, w, r)),
 (SELECT sum(w * n * CASE {_bit('a')} + {_bit('b')} + {_bit('c')} + {_bit('d')} WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) AS sections FROM h, (VALUES {_listed(_SECTIONS)}) t(a, b, c, d, w)),
 (SELECT sum({_W3 / 3 / 3**0.5} * n * CASE WHEN {_bit('a')} + {_bit('b')} + {_bit('c')} <> k THEN 0 WHEN k = 1 THEN 1 ELSE -1 END) AS triangles FROM h, (VALUES {_listed(_TRIANGLES)}) t(a, b, c, k)),
-(SELECT sum(n * (3 * bit_count(mask) - 6 * e + 12 * f - 24 * (mask = 255)::INT + CASE WHEN ring > 0 AND bit_count(mask) = 6 THEN 6 WHEN ring > 0 AND bit_count(mask) = 5 THEN 1 ELSE 0 END)) AS euler FROM h
- JOIN (SELECT mask, sum({_bit('a')} * {_bit('b')}) AS e FROM h, (VALUES {_listed(_CELL_EDGES)}) t(a, b) GROUP BY mask) USING (mask)
- JOIN (SELECT mask, sum({_bit('a')} * {_bit('b')} * {_bit('c')} * {_bit('d')}) AS f FROM h, (VALUES {_listed(_CELL_FACES)}) t(a, b, c, d) GROUP BY mask) USING (mask)
- JOIN (SELECT mask, count(*) FILTER ({_bit('a')} + {_bit('(7 - a)')} = 0) AS ring FROM h, (VALUES (0), (1), (2), (3)) t(a) GROUP BY mask) USING (mask))"""
+(SELECT sum(n * e) AS euler FROM h JOIN (VALUES {_listed(enumerate(minkowski.euler26_table().tolist()))}) t(mask, e) USING (mask))"""
 
 
 @query(f"WITH h AS ({ORACLES['cell_configurations']}) {_MINKOWSKI}")
