@@ -52,55 +52,69 @@ def merged(sketches: DataFrame, group: str, s: str = "sketch") -> DataFrame:
     return sketches.select(group, F.explode(f"{s}.kept").alias("hash")).distinct()
 
 
+#: What tells places in the order apart; null ids stand first.
+PLACE = ["_some", "_id", "_h"]
+
+
+def _placed(docs: DataFrame, key: str, text: str) -> tuple[list[Column], Column]:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.col(key).isNotNull().alias("_some"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(body).alias("_h")], body
+
+
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _h, _n, _prev_id, _prev_h, _prev_n): each distinct (id, text) and the one before, in ascending order, the last before the first.
+    """PLACE, _n, _prev (PLACE and _n as a struct) and _rows: each distinct (id, text) and the one before, in ascending order, the last before the first.
 
-    Null ids stand first.  Ids and hashes only: the order is laid out in ranges, each sorted by itself, and
-    the ends of the ranges are matched in one small table.
+    Ids and hashes only: the order is laid out in ranges, each sorted by itself, and the ends of the ranges
+    are matched in one small table.
     """
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_n"))
-    slim = staged(slim.groupBy("_id", "_h").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_rows")), "slim")
+    place, body = _placed(docs, key, text)
+    slim = docs.select(*place, F.length(body).cast("long").alias("_n"))
+    slim = staged(slim.groupBy(*PLACE).agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_rows")), "slim")
     n = slim.count()
-    ranged = staged(slim.repartitionByRange(max(1, -(-n // PER_RANGE), min(32, -(-n // 1000))), "_id", "_h").withColumn("_p", F.spark_partition_id()), "ranged")
-    row = F.struct("_id", "_h", "_n")
+    ranged = staged(slim.repartitionByRange(max(1, -(-n // PER_RANGE), min(32, -(-n // 1000))), *PLACE).withColumn("_p", F.spark_partition_id()), "ranged")
+    row = F.struct(*PLACE, "_n")
     across = Window.orderBy("_p")  # one row a range
     last = F.last("_end").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ends = ranged.groupBy("_p").agg(F.max(row).alias("_end")).select("_p", F.coalesce(F.lag("_end").over(across), last).alias("_before"))
-    within = Window.partitionBy("_p").orderBy("_id", "_h")
+    within = Window.partitionBy("_p").orderBy(*PLACE)
     prev = ranged.withColumn("_prev", F.lag(row).over(within)).join(ends, "_p").withColumn("_prev", F.coalesce("_prev", "_before"))
-    return prev.select("_id", "_h", "_n", F.col("_prev._id").alias("_prev_id"), F.col("_prev._h").alias("_prev_h"), F.col("_prev._n").alias("_prev_n"), "_rows")
+    return prev.select(*PLACE, "_n", "_prev", "_rows")
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, text, edited text and the next document's sketch, one row for each row of ``docs``.
+    """PLACE, text, its sketch, edited text and the next document's sketch, one row for each row of ``docs``.
 
     The edit replaces the last floor(n_chars / 4) code points by the first as many (or all) of the next
     document in ascending order of id.  Rows alike in id and text are one place in that order; different
-    texts of one id follow by hash.  Texts are shuffled once, and of each the piece that its predecessor needs.
+    texts of one id follow by hash.  Texts and their sketches are shuffled once, and of each the piece and the
+    sketch that its predecessor needs.
     """
     order = staged(neighbours(docs, key, text), "order")
-    body = F.coalesce(F.col(text), F.lit(""))
-    full = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(body).alias("_h"), body.alias("_text"))
-    heads = full.join(order, ["_id", "_h"]).select(F.col("_prev_id").alias("_id"), F.col("_prev_h").alias("_h"), F.expr("substring(_text, 1, cast(_prev_n div 4 as int))").alias("_head"), sketch(F.col("_text")).alias("_next"))
-    if not order.where("_rows > 1").isEmpty():
-        heads = heads.dropDuplicates(["_id", "_h"])
-    both = full.join(heads, ["_id", "_h"])
+    place, body = _placed(docs, key, text)
+    full = docs.select(*place, body.alias("_text"), sketch(body).alias("_own"))
+    again = not order.where("_rows > 1").isEmpty()
+    full = full if again else full.repartition(*PLACE)  # one exchange for both joins; adaptive execution splits only its own
+    heads = full.join(order, PLACE).select(*(F.col(f"_prev.{c}").alias(c) for c in PLACE), F.expr("substring(_text, 1, cast(_prev._n div 4 as int))").alias("_head"), F.col("_own").alias("_next"))
+    if again:
+        heads = heads.dropDuplicates(PLACE)
     cut = "concat(substring(_text, 1, cast(length(_text) - length(_text) div 4 as int)), _head)"
-    return both.select("_id", "_text", F.expr(cut).alias("_edited"), "_next")
+    return full.join(heads, PLACE).select(*PLACE, "_text", "_own", F.expr(cut).alias("_edited"), "_next")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The texts' fingerprints, those of the edited texts, and how much of each text's the edited and the next one contain.
 
-    Null texts count as empty.  Null ids come back as null.  An empty table gives no rows.
+    Null texts count as empty, null ids come first and come back as null.  Repeated rows are one place and get
+    the same; an empty table gives no rows; other columns of ``docs`` are not touched.  Texts are whole, however
+    long: a row's hashes take about ten times its words in bytes.
     """
-    rows = edited(docs, key, text).withColumn("_a", sketch(F.col("_text"))).withColumn("_b", sketch(F.col("_edited")))
+    rows = edited(docs, key, text).withColumn("_b", sketch(F.col("_edited")))
     return rows.select(
-        F.nullif(F.col("_id"), F.lit(-(2**63))).alias(key),
+        F.when(F.col("_some"), F.col("_id")).alias(key),
         F.length("_text").cast("long").alias("n_chars"),
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        shown(F.col("_a")).alias("fingerprint"),
+        shown(F.col("_own")).alias("fingerprint"),
         shown(F.col("_b")).alias("edited_fingerprint"),
-        containment(F.col("_a"), F.col("_b")).alias("near_edited"),
-        containment(F.col("_a"), F.col("_next")).alias("near_next"),
+        containment(F.col("_own"), F.col("_b")).alias("near_edited"),
+        containment(F.col("_own"), F.col("_next")).alias("near_next"),
     )

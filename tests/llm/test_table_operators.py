@@ -205,7 +205,7 @@ COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpr
 
 
 def test_fingerprints_match_brute_force(spark):
-    rows = [(3 * k, prose(k, 3 + 17 * k)) for k in range(30)] + [(1, None), (2, ""), (4, "été 漢字 \U0001f600 four"), (5, " \t "), (None, prose(77, 40)), (100, prose(5, 88)), (101, prose(5, 88))]
+    rows = [(3 * k, prose(k, 3 + 17 * k)) for k in range(30)] + [(1, None), (2, ""), (4, "été 漢字 \U0001f600 four"), (5, " \t "), (None, prose(77, 40)), (-(2**63), prose(78, 30)), (100, prose(5, 88)), (101, prose(5, 88))]
     random.Random(1).shuffle(rows)
     got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     key = lambda x: (x[0] is not None, x[0] or 0)
@@ -351,6 +351,85 @@ def test_site_quality(spark, odd, none, labels):
     assert {r["doc_score"] for r in site_quality.rated(odd, labels.limit(0), F.col("source"), F.col("lang")).collect()} == {0.5}
 
 
+def brute_rated(rows, marks):
+    """(doc_score, host and path posterior, score) by id, by loops over rows (id, text, host, path) with labels."""
+    crc = lambda k: zlib.crc32(str(k).encode()) % 3
+    y = {k: v for k, v in marks.items() if crc(k) != 1}
+
+    def features(text):
+        words = text.split()
+        letters = [c for c in text if not c.isspace()]
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        twice = {w for w, n in Counter(windows).items() if n > 1}
+        covered = {i + j for i, w in enumerate(windows) if w in twice for j in range(3)}
+        lines = [x for x in text.split("\n") if x.strip()]
+        n, c = max(len(words), 1), max(len(letters), 1)
+        share = lambda f: sum(map(f, letters)) / c
+        signs = share(lambda x: x.isascii() and not x.isalnum())
+        return [np.log1p(len(words)), share("#*$%&|<>".__contains__), len(covered) / n, (len(lines) - len(set(lines))) / max(len(lines), 1), share(str.isupper), share(str.isdigit), signs, min(len(letters) / n, 20)]
+
+    x = {k: features(t) for k, t, _, _ in rows}
+    model = common.Logit().fit(np.array([x[k] for k, *_ in rows if k in y]), np.array([y[k] for k, *_ in rows if k in y]))
+    p = {k: float(model.predict(np.array([v]))[0]) for k, v in x.items()}
+    e = {k: float(y.get(k, p[k])) for k in p}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for k, _, h, q in rows:
+        hosts[h].append(e[k])
+        paths[h, q].append(e[k])
+    p0 = min(0.999, max(0.001, sum(e.values()) / len(e)))
+
+    def strength(groups):  # (values, parent's mean)
+        d = sum(len(g) * (np.mean(g) - m) ** 2 for g, m in groups)
+        v = sum(m * (1 - m) for _, m in groups)
+        w = sum(m * (1 - m) * (len(g) - 1) for g, m in groups)
+        rho = (d - v) / w
+        return float(np.clip(1 / rho - 1, 1, 10_000)) if rho > 0 else 10_000.0
+
+    sh = strength([(g, p0) for g in hosts.values()])
+    host = {h: (sum(g) + sh * p0) / (len(g) + sh) for h, g in hosts.items()}
+    sp = strength([(g, host[h]) for (h, _), g in paths.items()])
+    odds = lambda v: np.log(v / (1 - v))
+    out = {}
+    for k, _, h, q in rows:
+        g = paths[h, q]
+        rest = (sum(g) - e[k] + sp * host[h]) / (len(g) - 1 + sp)
+        z = odds(min(max(p[k], 1e-6), 1 - 1e-6)) + 0.5 * (odds(rest) - odds(p0))
+        out[k] = (p[k], host[h], (sum(g) + sp * host[h]) / (len(g) + sp), 1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_site_quality_matches_brute_force(spark):
+    r = random.Random(11)
+    rows, marks = [], {}
+    for k in range(400):
+        h = f"h{min(int(r.expovariate(0.6)), 6)}"
+        good = r.random() < 0.2 + 0.12 * int(h[1])
+        noise = " ".join(r.choice(["###", "Aa1", "again and again and", "x\nx"]) for _ in range(r.randrange(9) + 12 * (not good)))
+        rows.append((k, prose(k, r.randrange(1, 70)) + " " + noise, h, r.choice("ab")))
+        if k % 4:
+            marks[k] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    got = site_quality.rated(docs, spark.createDataFrame(list(marks.items()), "doc_id bigint, quality int"), F.col("host"), F.col("path")).collect()
+    want = brute_rated(rows, marks)
+    assert len(got) == 400
+    for x in got:
+        assert (x["doc_score"], x["host_posterior"], x["path_posterior"], x["score"]) == pytest.approx(want[x["doc_id"]], rel=1e-6)
+        assert x["kept"] == (x["score"] >= site_quality.THRESHOLD)
+
+
+def test_the_site_decides_where_texts_are_alike(spark):
+    """The same text everywhere: what the documents' own evidence cannot tell, hosts and paths do, also for documents without a label."""
+    truth = {"good": 0.9, "bad": 0.1}
+    r = random.Random(1)
+    rows = [(k, prose(5, 60), h, f"{h}/{k % 2}") for k, h in enumerate(["good", "bad"] * 400)]
+    marks = [(k, int(r.random() < truth[h])) for k, _, h, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    got = site_quality.rated(docs, spark.createDataFrame(marks, "doc_id bigint, quality int"), F.col("host"), F.col("path")).where("held_out").collect()
+    assert len({round(x["doc_score"], 9) for x in got}) == 1
+    host = {k: h for k, _, h, _ in rows}
+    assert all(x["kept"] == (host[x["doc_id"]] == "good") for x in got)
+
+
 def test_sparse_sites_lean_on_their_parents(spark):
     rows = [(k, prose(k, 60), "big", "big/a") for k in range(300)] + [(1000, prose(1, 60), "big", "big/rare"), (1001, prose(2, 60), "rare", "rare/x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
