@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranks import numbered_alike
 from ..plans.staging import staged
+from .textblocks import Block, each_block
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +69,20 @@ class Logit:
         return sigmoid(self.w[0] + ((np.asarray(x, float) - self.mean) / self.scale) @ self.w[1:])
 
 
+def rows_kept(docs: DataFrame, keep: Callable[[Block, pa.RecordBatch], np.ndarray], text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs`` for which ``keep``, given a block of texts and the columns ``also`` of its rows, is true; all columns stay, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at, others = names.index(text), [names.index(c) for c in also]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, block in each_block(batch, f"c{at}"):
+                yield rows.filter(pa.array(keep(block, rows.select(others))))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores as it takes to differ from the columns of ``df``, in any case."""
     taken = {c.lower() for c in df.columns}

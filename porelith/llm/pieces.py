@@ -169,7 +169,9 @@ def default_model() -> str:
 def encoded(docs: DataFrame, table: PieceTable, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ids, n_pieces and exact (decoding gives back the text) of each row of ``docs``, whole texts.
 
-    Null and empty texts have no pieces and are exact.  Repeated rows are encoded alike.
+    Null and empty texts have no pieces and are exact.  Repeated rows are encoded alike; an empty table gives no
+    rows; other columns of ``docs`` are not touched.  A very long text is one list of numbers in one worker, about
+    forty times its bytes while it is made.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -211,5 +213,5 @@ def decoded(rows: DataFrame, table: PieceTable, ids: str = "ids", keep: tuple[st
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces and exact of each row."""
+    """doc_id, ids, n_pieces and exact of each row, in the manner of ``encoded``."""
     return encoded(docs, PieceTable.load(default_model()))

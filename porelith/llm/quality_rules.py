@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
+from .common import rows_kept, table
 from .textblocks import Block, each_block, mix
 
 MIN_WORDS = 50
@@ -194,20 +195,15 @@ def counted_with_stratum(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that quality_rules keeps, with all their columns, whatever their names; an empty table gives none."""
-    from .common import table
-
     cutoffs = calibrate(holdout(counted_with_stratum(docs), table(spark, sf_dir, "labels")))
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, block in each_block(batch, "text"):
-                c = count_block(block)
-                kept, share = ~base_failed(c), shares(c)
-                langs = np.array(["none" if x is None else f"lang:{x}" for x in rows.column(names.index("lang")).to_pylist()], object)
-                for s in set(langs):
-                    for r, g in cutoffs.get(s, {}).items():
-                        kept &= (langs != s) | (share[r] <= g)
-                yield rows.filter(pa.array(kept))
-
-    return docs.mapInArrow(run, docs.schema)
+    def keep(block: Block, rows: pa.RecordBatch) -> np.ndarray:
+        c = count_block(block)
+        kept, share = ~base_failed(c), shares(c)
+        langs = np.array(["none" if x is None else f"lang:{x}" for x in rows.column(0).to_pylist()], object)
+        for s in set(langs):
+            for r, g in cutoffs.get(s, {}).items():
+                kept &= (langs != s) | (share[r] <= g)
+        return kept
+
+    return rows_kept(docs, keep, also=("lang",))

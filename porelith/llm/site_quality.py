@@ -89,7 +89,10 @@ def rated(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
 
     Labels of ids with crc32(id as text) mod 3 = 1 are never used, neither for the curve nor for sites.  An
     id labelled twice counts by its lower label.  Null and empty texts have features 0; null hosts and paths
-    are sites of their own.  Without labels every document score is 1/2 and the sites change nothing.
+    are sites of their own; rows without an id are rated, but no label speaks for them, and an id on several rows
+    lends its label to each.  Without labels every document score is 1/2 and the sites change nothing.  Repeated
+    rows are rated alike; an empty table gives no rows; other columns of ``docs`` are not touched.  A very long
+    text is one block and takes about thirty times its bytes.
     Texts go through one pass; sums by site are aggregated before the shuffle, and hot sites are joined apart.
     """
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit("n")).alias("_host"), F.coalesce(F.concat(F.lit("p"), path.cast("string")), F.lit("n")).alias("_path"), F.col(text).alias("_body"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Logit, lowest, remainder
+from .common import Logit, lowest, remainder, rows_kept, table
 from .textblocks import Block, blocks, each_block
 
 #: Labelled rows that training takes (lowest hash of id and text) and their bytes, a documented bound.
@@ -309,13 +309,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts, and rows without an id, stay or go by their score like all others; an empty table gives none.
     """
-    from .common import table
-
     lexicon = train(training_rows(docs), table(spark, sf_dir, "labels"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, block in each_block(batch, "text"):
-                yield rows.filter(pa.array(lexicon.scores(block) < THRESHOLD))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rows_kept(docs, lambda block, _: lexicon.scores(block) < THRESHOLD)
