@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import hand_back, remainder
 from .textblocks import Block, each_block
 
 MAX_ORDER = 3
@@ -175,7 +175,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     texts: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["l"], r["h"])):
         texts.setdefault(r["l"], []).append(bytes(r["t"]))
-    return ByteTrees(texts)
+    trees = ByteTrees(texts)
+    del got, texts
+    hand_back()
+    return trees
 
 
 def identify(docs: DataFrame, trees: ByteTrees, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import keyed_join
 from ..plans.staging import staged
-from .common import Logit, lowest, remainder
+from .common import Logit, hand_back, lowest, remainder
 from .quality_rules import count_block
 from .textblocks import Block, each_block
 
@@ -101,6 +101,8 @@ def rated(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
     marked = marked.where(remainder("_id", 3) != 1)
     sample = lowest(measured.where("_id is not null").select("_id", "_x").distinct().join(marked, "_id"), ["_id", "_x"], train_rows)
     model = Logit().fit(np.array([r["_x"] for r in sample]) if sample else np.zeros((0, FEATURES)), np.array([r["_y"] for r in sample]))
+    del sample
+    hand_back()
 
     own = measured.select("_id", "_host", "_path", _curve(F.col("_x"), model).alias("_p")).join(marked, "_id", "left").withColumn("_e", F.coalesce(F.col("_y").cast("double"), F.col("_p")))
     own = staged(own.drop("_y"), "evidence")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Logit, lowest, remainder, rows_kept, table
+from .common import Logit, hand_back, lowest, remainder, rows_kept, table
 from .textblocks import Block, blocks, each_block
 
 #: Labelled rows that training takes (lowest hash of id and text) and their bytes, a documented bound.
@@ -181,55 +182,63 @@ class Lexicon:
         return self.curve.predict(self.features(block))
 
 
-def _words(folding: Folding, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words, and word and document of every occurrence."""
+def _words(folding: Folding, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, and word, document and count of each word in each document."""
     known: dict[str, int] = {}
-    each = [np.fromiter((known.setdefault(w, len(known)) for w in folding.text(t).split()), np.int32) for t in texts]
-    return list(known), np.concatenate([*each, np.zeros(0, np.int32)]), np.repeat(np.arange(len(each), dtype=np.int32), [len(e) for e in each])
+    word, count, sizes = array("i"), array("i"), []
+    for t in texts:
+        found = Counter(folding.text(t).split())
+        word.extend([known.setdefault(w, len(known)) for w in found])
+        count.extend(found.values())
+        sizes.append(len(found))
+    return list(known), np.frombuffer(word, np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.frombuffer(count, np.int32)
 
 
-def _rank(vocabulary: list[str], word: np.ndarray, toxic: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[tuple]:
+def _rank(vocabulary: list[str], word: np.ndarray, doc: np.ndarray, count: np.ndarray, y: np.ndarray) -> list[tuple]:
     """(evidence, length, stem, weight) of stems that tell toxic texts from others."""
+    toxic = y[doc] > 0
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    w1 = int(toxic.sum())
-    w0 = len(word) - w1
+    w1 = int(count[toxic].sum())
+    w0 = int(count.sum()) - w1
     tallies = []
+    asked = [vocabulary[k] for k in np.unique(word[toxic])]  # other stems are of no interest
     for n in STEMS:
         stems: dict[str, int] = {}
-        of = np.fromiter((stems.setdefault(w[:n], len(stems)) if len(w) >= n else -1 for w in vocabulary), np.int32, len(vocabulary))
-        stem = of[word]
-        has = stem >= 0
+        for w in asked:
+            if len(w) >= n:
+                stems.setdefault(w[:n], len(stems))
+        of = np.fromiter((stems.get(w[:n], -1) if len(w) >= n else -1 for w in vocabulary), np.int32, len(vocabulary))
         m = len(stems)
-        occ = np.bincount(stem[has] + m * toxic[has].astype(np.int64), minlength=2 * m).reshape(2, m)
-        pairs = np.unique(doc[has].astype(np.int64) * m + stem[has])
-        df = np.bincount(pairs % m + m * y[pairs // m].astype(np.int64), minlength=2 * m).reshape(2, m) if m else occ
-        tallies.append((list(stems), occ, df))
-    bar = 2 * math.log(max(10, sum(int((df[1] > 0).sum()) for _, _, df in tallies)))
+        stem = of[word]
+        occ, df = [], []
+        for side in (~toxic, toxic):
+            at = np.flatnonzero(side & (stem >= 0))
+            occ.append(np.bincount(stem[at], count[at], m).astype(np.int64))
+            df.append(np.bincount(np.unique(doc[at].astype(np.int64) * m + stem[at]) % m, minlength=m) if m else occ[-1])
+        often = np.flatnonzero(df[1] >= 3)
+        names = list(stems)
+        tallies.append((int((df[1] > 0).sum()), [(names[k], *(int(x[k]) for x in (*occ, *df))) for k in often]))
+    bar = 2 * math.log(max(10, sum(k for k, _ in tallies)))
     ranked = []
-    for stems, occ, df in tallies:
-        for k in np.flatnonzero(df[1] >= 3):
-            a, b = int(df[1, k]), int(df[0, k])
-            ratio = (occ[1, k] / w1) / ((occ[0, k] + 0.5) / max(w0, 1))
-            if ratio >= RATE_RATIO and a / n1 > b / n0 and _surprise(a, n1, b, n0) > bar:  # chosen by documents, ranked by occurrences
-                stem = " " + stems[k]
-                ranked.append((_surprise(int(occ[1, k]), w1, int(occ[0, k]), w0), len(stem), stem, min(8.0, math.log(ratio))))
+    for name, o0, o1, b, a in (x for _, rows in tallies for x in rows):
+        ratio = (o1 / w1) / ((o0 + 0.5) / max(w0, 1))
+        if ratio >= RATE_RATIO and a / n1 > b / n0 and _surprise(a, n1, b, n0) > bar:  # chosen by documents, ranked by occurrences
+            ranked.append((_surprise(o1, w1, o0, w0), len(name) + 1, " " + name, min(8.0, math.log(ratio))))
     return sorted(ranked, reverse=True)
 
 
-def _spared(weights: dict[str, float], vocabulary: list[str], word: np.ndarray, doc: np.ndarray, y: np.ndarray) -> list[str]:
+def _spared(weights: dict[str, float], folding: Folding, texts: list[str], y: np.ndarray) -> list[str]:
     """Words that hold a term, and two words around one, that other texts have at twice the rate of toxic ones."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    holds = np.fromiter((any(" " + w[:n] in weights for n in STEMS) for w in vocabulary), bool, len(vocabulary))
-    seen = set()
-    for i in np.flatnonzero(holds[word]):
-        d, w = int(doc[i]), vocabulary[word[i]]
-        seen.add((d, w))
-        if i and doc[i - 1] == d:
-            seen.add((d, f"{vocabulary[word[i - 1]]} {w}"))
-        if i + 1 < len(word) and doc[i + 1] == d:
-            seen.add((d, f"{w} {vocabulary[word[i + 1]]}"))
-    other, own = (Counter(x for d, x in seen if y[d] == t) for t in (0, 1))
-    return [x for x, b in other.items() if b >= max(5, 0.002 * n0) and b / n0 >= 2 * own[x] / n1]
+    other, own = Counter(), Counter()
+    for t, toxic in zip(texts, y, strict=True):
+        words = ["", *folding.text(t).split(), ""]
+        seen = set()
+        for i, w in enumerate(words):
+            if any(" " + w[:n] in weights for n in STEMS):
+                seen |= {w, f"{words[i - 1]} {w}".strip(), f"{w} {words[i + 1]}".strip()}
+        (own if toxic else other).update(seen)
+    return sorted(x for x, b in other.items() if b >= max(5, 0.002 * n0) and b / n0 >= 2 * own[x] / n1)
 
 
 def _surprise(a: int, n: int, b: int, m: int) -> float:
@@ -246,14 +255,13 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
     weights: dict[str, float] = {}
     spared: list[str] = []
     if len(y) and 0 < y.sum() < len(y):
-        vocabulary, word, doc = _words(Folding(keep), texts)
-        for _, _, stem, weight in _rank(vocabulary, word, y[doc] > 0, doc, y):
+        folding = Folding(keep)
+        for _, _, stem, weight in _rank(*_words(folding, texts), y):
             if not any(stem.startswith(t) or t.startswith(stem) for t in weights):
                 weights[stem] = weight
-        spared = _spared(weights, vocabulary, word, doc, y)
-        del vocabulary, word, doc
+        spared = _spared(weights, folding, texts, y)
     lexicon = Lexicon(weights, tuple(sorted({*exceptions, *spared})), keep)
-    x = np.concatenate([lexicon.features(b) for _, _, b in blocks(pa.array(texts, pa.string()))]) if texts else np.zeros((0, 5))
+    x = np.concatenate([lexicon.features(one) for t in texts for _, _, one in blocks(pa.array([t], pa.string()))]) if texts else np.zeros((0, 5))
     lexicon.curve = Logit().fit(x, y)
     return lexicon
 
@@ -279,7 +287,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
     got = texts.join(F.broadcast(wanted), ["doc_id", "_h"]).dropDuplicates(["doc_id", "_h"]).toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["_y"].to_pylist(), strict=True))
     del got
-    return learn([t for _, t, _ in rows], [y for _, _, y in rows])
+    found = learn([t for _, t, _ in rows], [y for _, _, y in rows])
+    del rows
+    hand_back()
+    return found
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
