@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, GridSpec
 from ..plans.graph import connected_components as graph_components
+from ..plans.ranks import places
 from ..plans.staging import staged
 
 #: A run graph of at most so many edges is solved on the driver; the edges are counted first.
@@ -69,20 +70,20 @@ def least_labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nodes, nodes[parent]
 
 
-def solve(edges: DataFrame) -> DataFrame:
-    """(node, component) of an edge table, on the driver if it is small, else by star contraction."""
+def solve(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """(node, component) of an edge table, on the driver up to ``small`` edges, else by star contraction."""
     edges = staged(edges, "edges")
-    if edges.count() > SMALL_EDGES:
+    if edges.count() > small:
         return graph_components(edges)
     pairs = edges.toArrow()
     nodes, labels = least_labels(pairs["src"].to_numpy(), pairs["dst"].to_numpy())
     return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(labels, pa.int64())}))
 
 
-def components(img: DataFrame, grid: GridSpec, v: str = "v", label: str = "label") -> DataFrame:
-    """Add ``label``: 0 for value 0, else the least vid of the component plus 1."""
+def components(img: DataFrame, grid: GridSpec, v: str = "v", label: str = "label", small: int = SMALL_EDGES) -> DataFrame:
+    """Add ``label``: 0 for value 0, else the least vid of the component plus 1.  ``small``: see solve."""
     cut = staged(runs(img, grid, v), "runs")
-    found = solve(run_edges(cut, grid))
+    found = solve(run_edges(cut, grid), small)
     named = cut.join(found.withColumnRenamed("node", "run"), "run", "left").select("x", "y", "z0", "z1", (F.coalesce("component", "run") + 1).alias(label))
     filled = named.select("x", "y", F.explode(F.sequence("z0", "z1")).alias("z"), label)
     return img.drop(label).join(filled, list(AXES), "left").withColumn(label, F.coalesce(label, F.lit(0).cast("long")))
@@ -90,10 +91,10 @@ def components(img: DataFrame, grid: GridSpec, v: str = "v", label: str = "label
 
 def numbered(labelled: DataFrame, label: str = "label") -> DataFrame:
     """Labels as 1, 2, ... in order of their least voxel; 0 stays."""
-    order = labelled.where(F.col(label) != 0).select(label).distinct()
-    order = order.withColumn("_n", F.dense_rank().over(Window.orderBy(label)).cast("long"))
+    sizes = staged(labelled.where(F.col(label) != 0).groupBy(label).agg(F.count(F.lit(1)).alias("_rows")), "labels")
+    order = places(sizes, [F.col(label)], "_n")
     names = [c for c in labelled.columns if c != label]
-    return labelled.join(order, label, "left").select(*names, F.coalesce("_n", F.lit(0).cast("long")).alias(label))
+    return labelled.join(order, label, "left").select(*names, F.coalesce(F.col("_n") + 1, F.lit(0)).cast("long").alias(label))
 
 
 def count(labelled: DataFrame, label: str = "label") -> DataFrame:

@@ -10,15 +10,14 @@ The driver's tables hold no images, so each query derives its input from whole t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.grid import AXES, Boundary, GridSpec
 from .operators import bins, components, distance, minkowski, morphology, particles, porosimetry, rdf, voxels
 from .plans.staging import shared_root, staged
-from .sources import generators, readers, sinks
+from .registry import ORACLES, query
+from .sources import generators, readers
 from .streaming import bins as stream_bins
 
 NX, NY, NZ = 50, 11, 9
@@ -67,22 +66,6 @@ _CLOUD_GRID = "SELECT CAST(a AS INT) AS x, CAST(b AS INT) AS y, CAST(c AS INT) A
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- voxelization and generators
 _SPHERES = f"SELECT x, y, z, CASE WHEN EXISTS (SELECT 1 FROM ({_CLOUD}) p WHERE (g.cx - p.x) * (g.cx - p.x) + (g.cy - p.y) * (g.cy - p.y) + (g.cz - p.z) * (g.cz - p.z) <= p.r * p.r) THEN 0 ELSE 1 END AS v FROM ({_CLOUD_GRID}) g"
 
@@ -123,11 +106,6 @@ def random_image(spark, sf_dir):
     return generators.random_binary(spark, CLOUD, 0.25, 7).select(*AXES, "v")
 
 
-@query()
-def smoothed_random_image(spark, sf_dir):
-    return generators.smoothed_random_binary(spark, CLOUD, 0.5, 1.0, 7).select(*AXES, "v")
-
-
 @query(f"SELECT CAST(x AS DOUBLE) AS v, count(*) AS n FROM ({_GRID}) GROUP BY ALL")
 def linear_histogram(spark, sf_dir):
     return voxels.histogram(generators.linear(spark, LINE, 0), LINE)
@@ -563,20 +541,3 @@ def event_bins_streamed(spark, sf_dir):
     frames = stream_bins.append_particles(spark, folder, "ts timestamp, x double")
     stream_bins.to_memory(stream_bins.binned_stream(frames, _EVENT_BINS, "x"), name).awaitTermination()
     return spark.table(name).select("label", "bin", "value")
-
-
-@query()
-def vtk_pieces(spark, sf_dir):
-    """The line image as VTK pieces, one a block: block and bytes."""
-    img = line_image(spark, sf_dir)
-    grid = GridSpec((NX, NY, NZ), box=((0, NX), (0, NY), (0, NZ)), blocks=(5, 1, 1))
-    blocked = img.select(((grid.block_of(0) * 1 + grid.block_of(1)) * 1 + grid.block_of(2)).alias("block"), *AXES, "v")
-
-    def make(rows):
-        import numpy as np
-
-        out = np.zeros((10, NY, NZ), np.int32)
-        out[rows["x"].to_numpy() - rows["x"].min(), rows["y"].to_numpy(), rows["z"].to_numpy()] = rows["v"].to_numpy()
-        return sinks.image_piece({"img": out}, (int(rows["x"].min()), 0, 0))
-
-    return sinks._pieces_table(blocked, "block", make).select("block", F.octet_length("content").alias("bytes"))

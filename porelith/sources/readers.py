@@ -6,12 +6,14 @@ of any file system that Spark reads.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.grid import AXES
 from ..operators.rdf import normalised
+from ..plans.joins import keyed_join
+from ..plans.staging import staged
 
 
 def require_path(spark: SparkSession, path: str, folder: bool = False) -> None:
@@ -28,10 +30,25 @@ def require_count(files: int, expected: int) -> None:
         raise ValueError(f"{files} files where {expected} are expected")
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place; a file is read whole by one task, as its header rules the rest."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+def _numbered(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """(file, line, value): lines, or those that meet ``only``, with their place among them in their file.
+
+    Files are split like any text.  Each split counts its lines; a line's place is its place in the split plus the
+    counts of the splits before, so no task reads a whole file (but for compressed ones).
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value")
+    lines = (lines if only is None else lines.where(only)).withColumn("_m", F.monotonically_increasing_id())
+    per = staged(lines.groupBy("file", "_at").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_c")), "splits")
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    per = per.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first"))
+    total = per.agg(F.sum("_c"), F.count(F.lit(1))).first()
+    placed = keyed_join(lines, per, ["file", "_at"], "_c", int(total[0] or 0), int(total[1]))
+    return placed.select("file", (F.col("_o") + F.col("_m")).alias("line"), "value")
+
+
+def _head(spark: SparkSession, path: str, lines: int) -> DataFrame:
+    """(file, line, value) of the first lines of each file."""
+    return _numbered(spark, path).where(F.col("line") < lines)
 
 
 def _number(text: Column, what: str) -> Column:
@@ -117,15 +134,12 @@ def read_lammps(spark: SparkSession, path: str, type_map: dict[tuple[int, float]
     (type, charge); an atom that it lacks fails the reading.
     """
     require_path(spark, path)
-    lines = _numbered(spark, path)
     w = F.split(F.trim("value"), r"\s+")
-    head = lines.where("line in (1, 3)").groupBy("file").agg(F.max(F.when(F.col("line") == 1, F.trim("value"))).cast("double").alias("timestep"), F.max(F.when(F.col("line") == 3, F.trim("value"))).cast("long").alias("_n"))
-    body = lines.where("line >= 9").select("file", "line", w.alias("w")).where(F.size("w") >= 8)
-    from pyspark.sql import Window
-
-    # one frame a file: rows beyond the announced number belong to later frames
-    numbered = body.withColumn("_k", F.row_number().over(Window.partitionBy("file").orderBy("line")))
-    first = numbered.join(head, "file").where("_k <= _n")
+    head = _head(spark, path, 9).where("line in (1, 3)").groupBy("file").agg(F.max(F.when(F.col("line") == 1, F.trim("value"))).cast("double").alias("timestep"), F.max(F.when(F.col("line") == 3, F.trim("value"))).cast("long").alias("_n"), F.lit(1).alias("_one"))
+    head = staged(head, "heads")
+    # atoms are the lines of eight words and more without a heading; beyond the announced number they belong to later frames
+    atoms = _numbered(spark, path, (F.size(w) >= 8) & ~F.trim("value").startswith("ITEM:"))
+    first = keyed_join(atoms, head, ["file"], "_n", int(head.agg(F.sum("_n")).first()[0] or 0)).where("line < _n").select("file", "timestep", w.alias("w"))
     out = first.select(
         "file", "timestep", F.col("w")[0].cast("long").alias("id"), F.col("w")[1].cast("int").alias("mol"), F.col("w")[2].cast("int").alias("type"),
         F.col("w")[3].cast("double").alias("mass"), F.col("w")[4].cast("double").alias("charge"), *(F.col("w")[5 + i].cast("double").alias(a) for i, a in enumerate(AXES)),
@@ -145,7 +159,7 @@ def lammps_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, axis, lo, hi) of each dump."""
     require_path(spark, path)
     w = F.split(F.trim("value"), r"\s+")
-    return _numbered(spark, path).where("line between 5 and 7").select("file", (F.col("line") - 5).alias("axis"), w[0].cast("double").alias("lo"), w[1].cast("double").alias("hi"))
+    return _head(spark, path, 8).where("line >= 5").select("file", (F.col("line") - 5).alias("axis"), w[0].cast("double").alias("lo"), w[1].cast("double").alias("hi"))
 
 
 def read_atom_map(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Writers: Parquet blocks and VTK XML files, one piece a block, written by the executors.
 
-VTK pieces hold raw little-endian arrays appended after the XML.  Each piece is one task's work and bounded
-by the block; the index that names the pieces is a few lines and written last, by the driver, so an index
-exists only if all pieces do.  Paths go through Hadoop's file systems.
+VTK pieces hold little-endian arrays appended after the XML, raw in memory and in base64 in files, which are
+texts that Spark's own writer commits on any of its file systems; the driver only renames them.  Each piece is one
+task's work and bounded by the block; the index that names the pieces is a few lines and written last, by the
+driver, so an index exists only if all pieces do.
 """
 
 from __future__ import annotations
 
+import base64
 import struct
 
 import numpy as np
@@ -28,7 +30,7 @@ class VtkPiece:
     def __init__(self, kind: str):
         if kind not in EXTENSIONS:
             raise ValueError(f"kind is one of {sorted(EXTENSIONS)}")
-        self.kind, self.lines, self.arrays, self.offset = kind, [], [], 0
+        self.kind, self.lines, self.arrays = kind, [], []
 
     def open(self, name: str, **attributes) -> None:
         self.lines.append("<" + " ".join([name, *(f'{k}="{_words(v)}"' for k, v in attributes.items())]) + ">")
@@ -36,6 +38,9 @@ class VtkPiece:
     def close(self, name: str) -> None:
         self.lines.append(f"</{name}>")
 
+    def comment(self, text: str) -> None:
+        self.lines.append(f"<!-- {text.replace('--', '- -')} -->")
+
     def array(self, name: str, values: np.ndarray, components: int = 1) -> None:
         """A DataArray whose bytes follow in the appended part."""
         values = np.ascontiguousarray(values)
@@ -43,9 +48,8 @@ class VtkPiece:
             raise ValueError(f"VTK has no type for {values.dtype}")
         if values.dtype.byteorder == ">":
             values = values.astype(values.dtype.newbyteorder("<"))
-        self.lines.append(f'<DataArray type="{VTK_TYPES[values.dtype.name]}" Name="{name}" NumberOfComponents="{components}" format="appended" offset="{self.offset}"/>')
-        self.arrays.append(values.tobytes())
-        self.offset += 8 + values.nbytes
+        self.lines.append(f'<DataArray type="{VTK_TYPES[values.dtype.name]}" Name="{name}" NumberOfComponents="{components}" format="appended" offset="{{{len(self.arrays)}}}"/>')
+        self.arrays.append(struct.pack("<Q", values.nbytes) + values.tobytes())
 
     def data(self, where: str, arrays: dict[str, np.ndarray]) -> None:
         """A PointData or CellData element."""
@@ -55,18 +59,26 @@ class VtkPiece:
                 self.array(name, values.ravel(), 1)
             self.close(where)
 
+    def _file(self, encoding: str, parts: list[bytes]) -> bytes:
+        starts = np.cumsum([0, *map(len, parts)]).tolist()
+        lines = [line.format(*starts) if line.startswith("<DataArray") else line for line in self.lines]
+        head = ['<?xml version="1.0"?>', f'<VTKFile type="{self.kind}" version="1.0" byte_order="LittleEndian" header_type="UInt64">', *lines, f'<AppendedData encoding="{encoding}">']
+        return "\n".join(head).encode() + b"\n_" + b"".join(parts) + b"\n</AppendedData>\n</VTKFile>\n"
+
     def bytes(self) -> bytes:
-        head = ['<?xml version="1.0"?>', f'<VTKFile type="{self.kind}" version="1.0" byte_order="LittleEndian" header_type="UInt64">', *self.lines, '<AppendedData encoding="raw">']
-        body = b"".join(struct.pack("<Q", len(a)) + a for a in self.arrays)
-        return "\n".join(head).encode() + b"\n_" + body + b"\n</AppendedData>\n</VTKFile>\n"
+        return self._file("raw", self.arrays)
+
+    def text(self) -> str:
+        """The same file with its arrays in base64."""
+        return self._file("base64", [base64.b64encode(a) for a in self.arrays]).decode()
 
 
 def _words(value) -> str:
     return " ".join(map(str, value)) if isinstance(value, (tuple, list)) else str(value)
 
 
-def image_piece(arrays: dict[str, np.ndarray], start=(0, 0, 0), origin=(0.0, 0.0, 0.0), spacing=(1.0, 1.0, 1.0)) -> bytes:
-    """A .vti of cell data; arrays are indexed [x, y, z] and stored x fastest."""
+def image_piece(arrays: dict[str, np.ndarray], start=(0, 0, 0), origin=(0.0, 0.0, 0.0), spacing=(1.0, 1.0, 1.0), text: bool = False) -> bytes | str:
+    """A .vti of cell data; arrays are indexed [x, y, z] and stored x fastest.  ``text``: in base64."""
     shapes = {a.shape for a in arrays.values()}
     if len(shapes) != 1:
         raise ValueError("all arrays of an image have one shape")
@@ -78,10 +90,10 @@ def image_piece(arrays: dict[str, np.ndarray], start=(0, 0, 0), origin=(0.0, 0.0
     p.data("CellData", {k: a.ravel(order="F") for k, a in arrays.items()})
     p.close("Piece")
     p.close("ImageData")
-    return p.bytes()
+    return p.text() if text else p.bytes()
 
 
-def rectilinear_piece(x, y, z, cell_data=None, point_data=None) -> bytes:
+def rectilinear_piece(x, y, z, cell_data=None, point_data=None, text: bool = False) -> bytes | str:
     """A .vtr on three arrays of coordinates."""
     extent = [v for c in (x, y, z) for v in (0, len(c) - 1)]
     p = VtkPiece("RectilinearGrid")
@@ -95,10 +107,10 @@ def rectilinear_piece(x, y, z, cell_data=None, point_data=None) -> bytes:
     p.data("CellData", {k: a.ravel(order="F") for k, a in (cell_data or {}).items()})
     p.close("Piece")
     p.close("RectilinearGrid")
-    return p.bytes()
+    return p.text() if text else p.bytes()
 
 
-def structured_piece(x, y, z, cell_data=None, point_data=None) -> bytes:
+def structured_piece(x, y, z, cell_data=None, point_data=None, text: bool = False) -> bytes | str:
     """A .vts on three-dimensional arrays of point coordinates."""
     extent = [v for n in np.shape(x) for v in (0, n - 1)]
     p = VtkPiece("StructuredGrid")
@@ -111,7 +123,7 @@ def structured_piece(x, y, z, cell_data=None, point_data=None) -> bytes:
     p.data("CellData", {k: a.ravel(order="F") for k, a in (cell_data or {}).items()})
     p.close("Piece")
     p.close("StructuredGrid")
-    return p.bytes()
+    return p.text() if text else p.bytes()
 
 
 def grid_piece(x, y, z, cell_data=None, point_data=None) -> bytes:
@@ -124,10 +136,12 @@ def grid_piece(x, y, z, cell_data=None, point_data=None) -> bytes:
     raise ValueError("coordinates have one or three axes")
 
 
-def unstructured_piece(points: np.ndarray, connectivity, offsets, types, point_data=None, cell_data=None) -> bytes:
+def unstructured_piece(points: np.ndarray, connectivity, offsets, types, point_data=None, cell_data=None, text: bool = False, comment: str | None = None) -> bytes | str:
     """A .vtu of points and cells; ``offsets`` are the ends of the cells in ``connectivity``."""
     points = np.asarray(points, float).reshape(-1, 3)
     p = VtkPiece("UnstructuredGrid")
+    if comment is not None:
+        p.comment(comment)
     p.open("UnstructuredGrid")
     p.open("Piece", NumberOfPoints=len(points), NumberOfCells=len(types))
     p.open("Points")
@@ -142,12 +156,12 @@ def unstructured_piece(points: np.ndarray, connectivity, offsets, types, point_d
     p.data("CellData", cell_data or {})
     p.close("Piece")
     p.close("UnstructuredGrid")
-    return p.bytes()
+    return p.text() if text else p.bytes()
 
 
-def points_piece(points: np.ndarray, data: dict[str, np.ndarray] | None = None) -> bytes:
+def points_piece(points: np.ndarray, data: dict[str, np.ndarray] | None = None, text: bool = False, comment: str | None = None) -> bytes | str:
     n = len(points)
-    return unstructured_piece(points, np.arange(n), np.arange(1, n + 1), np.full(n, VTK_CELLS["vertex"]), data)
+    return unstructured_piece(points, np.arange(n), np.arange(1, n + 1), np.full(n, VTK_CELLS["vertex"]), data, None, text, comment)
 
 
 def lines_piece(points: np.ndarray, point_data=None, cell_data=None) -> bytes:
@@ -208,18 +222,45 @@ def cylinder_piece(x0, y0, z0, z1, radius, layers: int, sides: int = 16, cell_da
 
 
 # -- indices
+def parallel_index(kind: str, pieces: list[tuple[str, list[int] | None]], whole: list[int] | None = None, points: dict[str, str] | None = None, cells: dict[str, str] | None = None, **attributes) -> bytes:
+    """The index of a data set of ``kind``: (file, extent) of each piece, extents of the grids that have one, and arrays by name with NumPy types."""
+    if kind not in EXTENSIONS:
+        raise ValueError(f"kind is one of {sorted(EXTENSIONS)}")
+    array = lambda name, t, n=1: f'<PDataArray type="{VTK_TYPES[t]}" Name="{name}" NumberOfComponents="{n}"/>'
+    extent = {} if whole is None else {"WholeExtent": whole}
+    lines = [f"<P{kind} " + " ".join(f'{k}="{_words(v)}"' for k, v in {**extent, "GhostLevel": 0, **attributes}.items()) + ">"]
+    for where, arrays in (("PPointData", points), ("PCellData", cells)):
+        if arrays:
+            lines += [f'<{where} Scalars="{next(iter(arrays))}">', *(array(n, t) for n, t in arrays.items()), f"</{where}>"]
+    if kind == "RectilinearGrid":
+        lines += ["<PCoordinates>", *(array(a, "float64") for a in AXES), "</PCoordinates>"]
+    elif kind != "ImageData":
+        lines += ["<PPoints>", array("points", "float64", 3), "</PPoints>"]
+    lines += [f'<Piece {"" if e is None else f"""Extent="{_words(e)}" """}Source="{f}"/>' for f, e in pieces]
+    head = ['<?xml version="1.0"?>', f'<VTKFile type="P{kind}" version="1.0" byte_order="LittleEndian" header_type="UInt64">']
+    return ("\n".join([*head, *lines, f"</P{kind}>", "</VTKFile>"]) + "\n").encode()
+
+
 def image_index(pieces: list[tuple[str, list[int]]], whole: list[int], origin, spacing, arrays: dict[str, str]) -> bytes:
     """A .pvti: (file, extent) of each piece."""
-    data = "".join(f'<PDataArray type="{VTK_TYPES[t]}" Name="{n}" NumberOfComponents="1"/>\n' for n, t in arrays.items())
-    body = "".join(f'<Piece Extent="{_words(e)}" Source="{f}"/>\n' for f, e in pieces)
-    return (f'<?xml version="1.0"?>\n<VTKFile type="PImageData" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n<PImageData WholeExtent="{_words(whole)}" GhostLevel="0" Origin="{_words(list(origin))}" Spacing="{_words(list(spacing))}">\n<PCellData Scalars="{next(iter(arrays))}">\n{data}</PCellData>\n{body}</PImageData>\n</VTKFile>\n').encode()
+    return parallel_index("ImageData", pieces, whole, cells=arrays, Origin=list(origin), Spacing=list(spacing))
 
 
 def points_index(pieces: list[str], arrays: dict[str, str]) -> bytes:
     """A .pvtu."""
-    data = "".join(f'<PDataArray type="{VTK_TYPES[t]}" Name="{n}" NumberOfComponents="1"/>\n' for n, t in arrays.items())
-    body = "".join(f'<Piece Source="{f}"/>\n' for f in pieces)
-    return (f'<?xml version="1.0"?>\n<VTKFile type="PUnstructuredGrid" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n<PUnstructuredGrid GhostLevel="0">\n<PPoints>\n<PDataArray type="Float64" Name="points" NumberOfComponents="3"/>\n</PPoints>\n<PPointData>\n{data}</PPointData>\n{body}</PUnstructuredGrid>\n</VTKFile>\n').encode()
+    return parallel_index("UnstructuredGrid", [(f, None) for f in pieces], points=arrays)
+
+
+def collection(files: list[tuple[str, float]], group: str = "") -> bytes:
+    """A .pvd: files with their times, in order of time."""
+    sets = [f'<DataSet timestep="{float(t)}" group="{group}" part="0" file="{f}"/>' for f, t in sorted(files, key=lambda x: x[1])]
+    head = ['<?xml version="1.0"?>', '<VTKFile type="Collection" version="1.0" byte_order="LittleEndian">', "<Collection>"]
+    return ("\n".join([*head, *sets, "</Collection>", "</VTKFile>"]) + "\n").encode()
+
+
+def save_collection(spark: SparkSession, path: str, files: list[tuple[str, float]], group: str = "") -> None:
+    """``path``.pvd."""
+    _put(spark, f"{path}.pvd", collection(files, group))
 
 
 # -- Spark
@@ -234,19 +275,28 @@ def _put(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def _pieces_table(df: DataFrame, block: str, make) -> DataFrame:
+    """(block, content): what ``make`` gives for the rows of each block, bytes or text."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(int(rows[block].iloc[0]), make(rows))], columns=["block", "content"])
 
-    return df.groupBy(block).applyInPandas(run, "block int, content binary")
+    return df.groupBy(block).applyInPandas(run, "block int, content string")
 
 
 def _write_pieces(pieces: DataFrame, folder: str, extension: str) -> list[str]:
-    """One file a block in ``folder``; the files go through the session's file system as each block is done."""
+    """One file a block in ``folder``, written and committed by the executors; the driver gives them their names."""
     spark = pieces.sparkSession
+    parts = f"{folder}/_parts"
+    pieces.write.mode("overwrite").partitionBy("block").text(parts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = []
-    for r in pieces.toLocalIterator():
-        names.append(f"piece-{r['block']:06d}.{extension}")
-        _put(spark, f"{folder}/{names[-1]}", bytes(r["content"]))
+    for found in fs.globStatus(path(f"{parts}/block=*/part-*")) or []:
+        block = int(found.getPath().getParent().getName().removeprefix("block="))
+        names.append(f"piece-{block:06d}.{extension}")
+        fs.delete(path(f"{folder}/{names[-1]}"), False)
+        fs.rename(found.getPath(), path(f"{folder}/{names[-1]}"))
+    fs.delete(path(parts), True)
     return sorted(names)
 
 
@@ -268,7 +318,7 @@ def save_image(img: DataFrame, grid: GridSpec, path: str, extra: dict[str, str]
             out = np.zeros(shape, values.dtype if values.dtype.kind != "b" else np.uint8)
             out[tuple(a - s for a, s in zip(at, start, strict=True))] = values
             arrays[name] = out
-        return image_piece(arrays, start, grid.origin, grid.resolution)
+        return image_piece(arrays, start, grid.origin, grid.resolution, text=True)
 
     folder = f"{path}_proc"
     names = _write_pieces(_pieces_table(blocked, "block", make), folder, "vti")
@@ -295,7 +345,7 @@ def save_extended_image(img: DataFrame, grid: GridSpec, path: str, pad: tuple[in
         at = [rows[f"l{a}"].to_numpy() for a in AXES]
         out = np.zeros([int(a.max()) + 1 for a in at], rows[v].to_numpy().dtype)
         out[tuple(at)] = rows[v].to_numpy()
-        return image_piece({"img": out}, starts[int(rows["block"].iloc[0])], grid.origin, grid.resolution)
+        return image_piece({"img": out}, starts[int(rows["block"].iloc[0])], grid.origin, grid.resolution, text=True)
 
     _write_pieces(_pieces_table(cut, "block", make), f"{path}_proc", "vti")
 
@@ -306,7 +356,7 @@ def save_particles(particles: DataFrame, path: str, pieces: int = 1) -> None:
     dealt = particles.select(F.pmod(F.xxhash64(*AXES), F.lit(pieces)).cast("int").alias("block"), *AXES, *(F.col(c).cast("double" if n == "radius" else "int").alias(n) for n, c in columns.items()))
 
     def make(rows: pd.DataFrame) -> bytes:
-        return points_piece(rows[list(AXES)].to_numpy(), {n: rows[n].fillna(0).to_numpy() for n in columns})
+        return points_piece(rows[list(AXES)].to_numpy(), {n: rows[n].fillna(0).to_numpy() for n in columns}, text=True)
 
     folder = f"{path}_proc"
     names = _write_pieces(_pieces_table(dealt, "block", make), folder, "vtu")

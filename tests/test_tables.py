@@ -1,8 +1,11 @@
 """Particles, bins, curves, grids, readers, writers, graphs and ranks."""
 
+import base64
 import gzip
+import itertools
 import math
 import random
+import re
 import struct
 
 import numpy as np
@@ -294,6 +297,12 @@ def test_lattices(spark, kind, n, radius):
 
 # -- writers
 def parse(content: bytes):
+    if b'"base64"' in content:
+        head, _, body = content.partition(b'<AppendedData encoding="base64">\n_')
+        starts = [int(x) for x in re.findall(rb'offset="(\d+)"', head)] + [body.index(b"\n</AppendedData>")]
+        arrays = [base64.b64decode(body[a:b]) for a, b in itertools.pairwise(starts)]
+        assert all(struct.unpack("<Q", x[:8])[0] == len(x) - 8 for x in arrays)
+        return head.decode(), [x[8:] for x in arrays]
     head, _, body = content.partition(b'<AppendedData encoding="raw">\n_')
     sizes, at = [], 0
     while body[at : at + 1] != b"\n" or not body[at:].startswith(b"\n</AppendedData>"):
@@ -434,3 +443,21 @@ def test_rows_alike_are_numbered_and_orders_ranked(spark, monkeypatch):
     assert [(r["k"], r["v"]) for r in sorted(got, key=lambda r: r["pos"])] == [("c", 2), ("b", 1)] + [("a", k) for k in range(50)]
     assert sorted(r["pos"] for r in got) == list(range(52))
     assert ranks.places(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {k} {'x' * (k % 40)}\n" for k in range(5000)))
+    (tmp_path / "b.txt").write_text("short\n")
+    with gzip.open(tmp_path / "c.txt.gz", "wt") as f:
+        f.write("".join(f"line {k}\n" for k in range(300)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = readers._numbered(spark, str(tmp_path)).collect()
+        odd = readers._numbered(spark, str(tmp_path), F.col("value").rlike("[13579] ")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 5301 and all(r["line"] == int(r["value"].split()[1]) for r in got if r["value"] != "short")
+    assert sorted(r["line"] for r in odd if r["file"].endswith("a.txt")) == list(range(2500))
+    assert all(2 * r["line"] + 1 == int(r["value"].split()[1]) for r in odd if r["file"].endswith("a.txt"))
