@@ -439,10 +439,49 @@ def drainage_curve(spark, sf_dir):
     return porosimetry.drainage(line_image(spark, sf_dir), LINE, 2.0)[0]
 
 
-@query()
+_BOTTLE = GridSpec((70, 16, 16), box=((0.0, 14.0), (-1.6, 1.6), (-1.6, 1.6)), inlet=((False, True), (False,) * 2, (False,) * 2), outlet=((True, False), (False,) * 2, (False,) * 2), reservoir=5)
+_BOTTLE_PRESSURES = (1.6, 2.6, 4.1)
+
+
+def _spread(name: str, of: str, start: str) -> str:
+    """SQL of all voxels of a table that connect to its voxels with ``start``, by the 26 steps."""
+    return f"{name} AS (SELECT x, y, z FROM {of} WHERE {start} UNION SELECT b.x, b.y, b.z FROM {name} a, steps JOIN {of} b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz)"
+
+
+def _bottle_steps() -> str:
+    """SQL of the drainage of the ink bottle: a phase image after every pressure, in voxels of 0.2."""
+    cube = "(SELECT CAST(a AS INT) AS dx, CAST(b AS INT) AS dy, CAST(c AS INT) AS dz FROM range(-7, 8) t1(a), range(-7, 8) t2(b), range(-7, 8) t3(c))"
+    found = [
+        f"cube AS MATERIALIZED {cube}, steps AS MATERIALIZED (SELECT * FROM cube WHERE greatest(abs(dx), abs(dy), abs(dz)) = 1)",
+        """bottle AS MATERIALIZED (SELECT x, y, z, CASE WHEN x >= 70 OR cy * cy / r / r + cz * cz / r / r <= 1 THEN 2 ELSE 0 END AS v FROM (SELECT *, 0.01::DOUBLE * cos(0.01::DOUBLE * cx) + 0.5::DOUBLE * sin(cx) + 0.75::DOUBLE AS r FROM
+        (SELECT CAST(a AS INT) AS x, CAST(b AS INT) AS y, CAST(c AS INT) AS z, (a + 0.5::DOUBLE) * 0.2::DOUBLE AS cx, -1.6 + (b + 0.5::DOUBLE) * 0.2::DOUBLE AS cy, -1.6 + (c + 0.5::DOUBLE) * 0.2::DOUBLE AS cz FROM range(75) t1(a), range(16) t2(b), range(16) t3(c))))""",
+    ]
+    now = "bottle"
+    for k, p in enumerate(_BOTTLE_PRESSURES):
+        moved = f"SELECT DISTINCT x + dx AS x, y + dy AS y, z + dz AS z FROM {{}}, ball{k}"
+        found += [
+            f"ball{k} AS MATERIALIZED (SELECT * FROM cube WHERE 0.04::DOUBLE * (dx * dx + dy * dy + dz * dz) <= {(2 / p) ** 2}::DOUBLE)",
+            f"shut{k} AS MATERIALIZED ({moved.format('(SELECT * FROM bottle WHERE v = 0)')})",
+            f"core{k} AS MATERIALIZED (SELECT x, y, z FROM bottle ANTI JOIN shut{k} USING (x, y, z))",
+            _spread(f"ci{k}", f"core{k}", "x = 74"),
+        ]
+        if k:  # centres lie in phase 1 that connects to the inlet
+            found += [f"one{k} AS MATERIALIZED (SELECT x, y, z FROM {now} WHERE v = 1)", _spread(f"open{k}", f"one{k}", "x = 74")]
+        centres = f"(SELECT * FROM ci{k}{f' SEMI JOIN open{k} USING (x, y, z)' if k else ''})"
+        found += [
+            f"in{k} AS MATERIALIZED ({moved.format(centres)})",
+            f"two{k} AS MATERIALIZED (SELECT x, y, z FROM {now} WHERE v = 2)",
+            _spread(f"wet{k}", f"two{k}", "x = 0"),
+            f"now{k} AS MATERIALIZED (SELECT n.x, n.y, n.z, CASE WHEN n.x >= 70 OR i.x IS NOT NULL AND w.x IS NOT NULL THEN 1 ELSE v END AS v FROM {now} n LEFT JOIN in{k} i USING (x, y, z) LEFT JOIN wet{k} w USING (x, y, z))",
+        ]
+        now = f"now{k}"
+    rows = [f"SELECT {k} AS step, {p}::DOUBLE AS pressure, count(*) FILTER (v = 2) / CAST(count(*) FILTER (v > 0) AS DOUBLE) AS saturation FROM now{k} WHERE x < 70" for k, p in enumerate(_BOTTLE_PRESSURES)]
+    return f"WITH RECURSIVE {', '.join(found)} {' UNION ALL '.join(rows)}"
+
+
+@query(_bottle_steps())
 def inkbottle_drainage(spark, sf_dir):
-    grid = GridSpec((70, 16, 16), box=((0.0, 14.0), (-1.6, 1.6), (-1.6, 1.6)), inlet=((False, True), (False,) * 2, (False,) * 2), outlet=((True, False), (False,) * 2, (False,) * 2), reservoir=5)
-    return porosimetry.drainage(generators.inkbottle(spark, grid), grid, [1.6, 2.6, 4.1])[0]
+    return porosimetry.drainage(generators.inkbottle(spark, _BOTTLE), _BOTTLE, list(_BOTTLE_PRESSURES))[0]
 
 
 # -- bins and curves
