@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, GridSpec
 from ..plans.graph import connected_components as graph_components
+from ..plans.names import unused
 from ..plans.ranks import places
 from ..plans.staging import staged
 
@@ -122,27 +123,28 @@ def inlet_outlet_connections(labelled: DataFrame, grid: GridSpec, label: str = "
 
 
 def _filtered(img: DataFrame, grid: GridSpec, phase: int | None, v: str, keep) -> DataFrame:
-    kept = img if phase is None else img.withColumn(v, F.when(F.col(v) == phase, F.col(v)).otherwise(F.lit(0).cast(img.schema[v].dataType)))
-    labelled = staged(components(kept, grid, v, "_label"), "labelled")
-    wanted = keep(labelled).withColumn("_keep", F.lit(True))
-    out = labelled.join(wanted, "_label", "left")
+    """Values of the components whose labels ``keep`` (labelled image, label column) names, 0 elsewhere."""
     zero = F.lit(0).cast(img.schema[v].dataType)
-    return out.withColumn(v, F.when(F.col("_keep"), F.col(v)).otherwise(zero)).select(*img.columns)
+    label, kept = unused(img, "_label"), unused(img, "_keep")
+    chosen = img if phase is None else img.withColumn(v, F.when(F.col(v) == phase, F.col(v)).otherwise(zero))
+    labelled = staged(components(chosen, grid, v, label), "labelled")
+    out = labelled.join(keep(labelled, label).withColumn(kept, F.lit(True)), label, "left")
+    return out.withColumn(v, F.when(F.col(kept), F.col(v)).otherwise(zero)).select(*img.columns)
 
 
 def inlet_connected(img: DataFrame, grid: GridSpec, phase: int | None = None, v: str = "v") -> DataFrame:
     """Values of components that touch an inlet face, 0 elsewhere; ``phase``: of that value only."""
-    return _filtered(img, grid, phase, v, lambda x: inlet_labels(x, grid, "_label"))
+    return _filtered(img, grid, phase, v, lambda x, label: inlet_labels(x, grid, label))
 
 
 def outlet_connected(img: DataFrame, grid: GridSpec, phase: int | None = None, v: str = "v") -> DataFrame:
-    return _filtered(img, grid, phase, v, lambda x: outlet_labels(x, grid, "_label"))
+    return _filtered(img, grid, phase, v, lambda x, label: outlet_labels(x, grid, label))
 
 
 def inlet_outlet_connected(img: DataFrame, grid: GridSpec, phase: int | None = None, v: str = "v") -> DataFrame:
-    return _filtered(img, grid, phase, v, lambda x: inlet_outlet_connections(x, grid, "_label"))
+    return _filtered(img, grid, phase, v, lambda x, label: inlet_outlet_connections(x, grid, label))
 
 
 def isolated(img: DataFrame, grid: GridSpec, phase: int | None = None, v: str = "v") -> DataFrame:
     """Values of components that touch neither an inlet nor an outlet face."""
-    return _filtered(img, grid, phase, v, lambda x: inlet_outlet_labels(x, grid, "_label").where("not inlet and not outlet").select("_label"))
+    return _filtered(img, grid, phase, v, lambda x, label: inlet_outlet_labels(x, grid, label).where("not inlet and not outlet").select(label))

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grid import AXES, GridSpec
+from ..plans.names import unused
 
 VOXELS_AT_ONCE = 1_000_000
 #: Planes of at most so many voxels are dealt whole, which saves a shuffle.
 PLANE_VOXELS = 4_000_000
+#: Up to so many steps lines are shifted; beyond it envelopes are faster.
+FEW_STEPS = 64
 
 
 def along(img: DataFrame, lengths: dict[str, int], kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], reads: list[str], writes: list[str], drops: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -81,11 +84,22 @@ def nearest_zero(solid: np.ndarray, h: float, periodic: bool) -> np.ndarray:
 
 
 def widen(f: np.ndarray, h: float, periodic: bool, reach: int | None = None) -> np.ndarray:
-    """min over j of f(j) + (h (i - j))^2 along axis 1; steps end where they can no longer lower anything."""
+    """min over j of f(j) + (h (i - j))^2 along axis 1, for distances up to ``reach`` steps.
+
+    Where the greatest value lets few steps matter, lines are shifted step by step; else by lower envelopes, in time
+    that is linear in the voxels.
+    """
     n = f.shape[1]
+    steps = min(n // 2 if periodic else n - 1, n if reach is None else reach)
+    most = f.max(initial=0.0)
+    if np.isfinite(most):
+        steps = min(steps, int(np.sqrt(most) / h) + 1)
+    return envelopes(f, h, periodic) if steps > FEW_STEPS else _shifted(f, h, periodic, steps)
+
+
+def _shifted(f: np.ndarray, h: float, periodic: bool, steps: int) -> np.ndarray:
     out = f.copy()
-    furthest = n // 2 if periodic else n - 1
-    for s in range(1, (furthest if reach is None else min(reach, furthest)) + 1):
+    for s in range(1, steps + 1):
         step = (s * h) ** 2
         if step >= out.max(initial=0.0):
             break
@@ -98,6 +112,59 @@ def widen(f: np.ndarray, h: float, periodic: bool, reach: int | None = None) ->
     return out
 
 
+def envelopes(f: np.ndarray, h: float, periodic: bool) -> np.ndarray:
+    """The same minimum over whole lines: the lower envelope of the parabolas on a line's finite values.
+
+    All lines advance together.  Each holds a stack of the parabolas that are lowest somewhere so far; a new one
+    drops those that it undercuts where they begin.  Afterwards every voxel reads the parabola of its stretch.
+    """
+    if f.ndim > 2:  # the other axes are lines of their own
+        lines = np.moveaxis(f, 1, -1)
+        return np.moveaxis(envelopes(lines.reshape(-1, f.shape[1]), h, periodic).reshape(lines.shape), -1, 1)
+    n = f.shape[1]
+    turns = (-n, 0, n) if periodic else (0,)
+    sites = np.concatenate([np.arange(n) + t for t in turns]) * h
+    values = np.tile(f, (1, len(turns)))
+    live = np.flatnonzero(np.isfinite(values).any(1))
+    out = np.full(f.shape, np.inf)
+    if not len(live):
+        return out
+    g = values[live]
+    m = len(sites)
+    top = np.full(len(g), -1)
+    site, begin = np.zeros(g.shape, np.int64), np.full(g.shape, -np.inf)
+    for q in range(m):
+        rows = np.flatnonzero(np.isfinite(g[:, q]))
+        start = np.full(len(rows), -np.inf)
+        todo = np.arange(len(rows))
+        while len(todo):
+            r = rows[todo]
+            held = top[r] >= 0
+            todo, r = todo[held], r[held]
+            j = site[r, top[r]]
+            cross = ((g[r, q] + sites[q] ** 2) - (g[r, j] + sites[j] ** 2)) / (2 * (sites[q] - sites[j]))
+            drop = cross <= begin[r, top[r]]
+            start[todo] = np.where(drop, -np.inf, cross)
+            todo = todo[drop]
+            top[rows[todo]] -= 1
+        top[rows] += 1
+        site[rows, top[rows]], begin[rows, top[rows]] = q, start
+    every = np.arange(len(g))
+    at, low = np.zeros(len(g), np.int64), np.empty((len(g), n))
+    for i in range(n):
+        x = i * h
+        while True:
+            more = at < top
+            more[more] = begin[every[more], at[more] + 1] < x
+            if not more.any():
+                break
+            at[more] += 1
+        j = site[every, at]
+        low[:, i] = g[every, j] + (x - sites[j]) ** 2
+    out[live] = low
+    return out
+
+
 def envelope_1d(f, h: float = 1.0, periodic: bool = False) -> np.ndarray:
     """``widen`` of a single line."""
     return widen(np.asarray(f, float)[None, :], h, periodic)[0]
@@ -149,8 +216,8 @@ def squared_edt(img: DataFrame, grid: GridSpec, v: str = "v", out: str = "d2") -
 
     Faces of END and WALL type are no solid by themselves.
     """
-    marked = img.withColumn("_seed", F.col(v) == 0)
-    found = squared_distance_to(marked, grid, ["_seed"], [out])
+    seed = unused(img, "_seed")
+    found = squared_distance_to(img.withColumn(seed, F.col(v) == 0), grid, [seed], [out])
     return found.withColumn(out, F.when(F.col(out) < float("inf"), F.col(out)))
 
 

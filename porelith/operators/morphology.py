@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, GridSpec
+from ..plans.names import unused
 from .distance import squared_distance_to
 from .voxels import set_walls
 
@@ -45,21 +46,23 @@ def _check(grid: GridSpec, radius: float) -> None:
     struct_ratio(grid.resolution, radius)
 
 
+def _near(img: DataFrame, grid: GridSpec, radius: float, v: str, value: int) -> tuple[DataFrame, str]:
+    """The image with the squared distance to the nearest voxel of ``value``, exact up to the radius, and that column's name."""
+    _check(grid, radius)
+    seed, d2 = unused(img, "_seed"), unused(img, "_d2")
+    return squared_distance_to(img.withColumn(seed, F.col(v) == value), grid, [seed], [d2], [radius]), d2
+
+
 def dilate(img: DataFrame, grid: GridSpec, radius: float, v: str = "v") -> DataFrame:
     """1 within ``radius`` (bound included) of a voxel of value 1, else 0; walls stay 0."""
-    _check(grid, radius)
-    marked = img.withColumn("_seed", F.col(v) == 1)
-    near = squared_distance_to(marked, grid, ["_seed"], ["_d2"], [radius])
-    out = near.withColumn(v, (F.col("_d2") <= radius * radius).cast("int")).drop("_d2")
-    return set_walls(out, grid, v)
+    near, d2 = _near(img, grid, radius, v, 1)
+    return set_walls(near.withColumn(v, (F.col(d2) <= radius * radius).cast("int")).drop(d2), grid, v)
 
 
 def erode(img: DataFrame, grid: GridSpec, radius: float, v: str = "v") -> DataFrame:
     """1 where no voxel of value 0 lies within ``radius``; beyond END faces nothing erodes."""
-    _check(grid, radius)
-    marked = img.withColumn("_seed", F.col(v) == 0)
-    near = squared_distance_to(marked, grid, ["_seed"], ["_d2"], [radius])
-    return near.withColumn(v, (F.col("_d2") > radius * radius).cast("int")).drop("_d2")
+    near, d2 = _near(img, grid, radius, v, 0)
+    return near.withColumn(v, (F.col(d2) > radius * radius).cast("int")).drop(d2)
 
 
 addition, subtraction = dilate, erode

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,8 +43,8 @@ def pore_radii(low: float, high: float, n: int, spacing: str = "linear") -> list
 
 
 def with_distance(img: DataFrame, grid: GridSpec, v: str = "v") -> DataFrame:
-    """The image with d2, staged for reuse; d2 is infinite without any solid."""
-    found = squared_edt(img, grid, v, "d2")
+    """x, y, z, v and d2, staged for reuse; d2 is infinite without any solid."""
+    found = squared_edt(img.select(*AXES, v), grid, v, "d2")
     return staged(found.withColumn("d2", F.coalesce("d2", F.lit(float("inf")))), "distance")
 
 
@@ -55,8 +56,19 @@ def _pair(radius) -> tuple[float, float]:
     raise ValueError("a radius is a number or an erosion and a dilation radius")
 
 
-def porosimetry(img: DataFrame, grid: GridSpec, radius, inlet: bool = False, multiphase: DataFrame | None = None, mode: str = "hybrid", v: str = "v") -> DataFrame:
-    """1 where a ball that fits the pore space reaches.  ``img`` may carry d2 (see with_distance).
+def _cores(base: DataFrame, grid: GridSpec, radius: float, inlet: bool, multiphase: DataFrame | None = None) -> DataFrame:
+    """(x, y, z, _core): 1 at the centres of the balls that fit, and reach from the inlet if asked for."""
+    core = base.select(*AXES, (F.col("d2") > radius * radius).cast("int").alias("_core"))
+    if inlet:
+        core = components.inlet_connected(core, grid, v="_core")
+    if multiphase is not None and voxels.phase_exists(multiphase, 1):
+        open_phase = components.inlet_connected(multiphase.select(*AXES, "v"), grid, 1).select(*AXES, F.col("v").alias("_open"))
+        core = core.join(open_phase, list(AXES)).withColumn("_core", F.when(F.col("_open") == 1, F.col("_core")).otherwise(0)).drop("_open")
+    return core
+
+
+def porosimetry(img: DataFrame, grid: GridSpec, radius, inlet: bool = False, multiphase: DataFrame | None = None, mode: str = "hybrid", v: str = "v", distance: DataFrame | None = None) -> DataFrame:
+    """1 where a ball that fits the pore space reaches.  ``distance``: what with_distance gave for the image.
 
     ``inlet``: balls' centres must connect to an inlet face.  ``multiphase`` (x, y, z, v): where it has phase
     1, centres must also lie in inlet-connected phase 1.  All modes give the same image.
@@ -65,13 +77,7 @@ def porosimetry(img: DataFrame, grid: GridSpec, radius, inlet: bool = False, mul
         raise ValueError(f"mode is one of {MODES}")
     shrink, grow = _pair(radius)
     check_radii(grid, [shrink, grow])
-    base = img if "d2" in img.columns else with_distance(img, grid, v)
-    core = base.select(*AXES, (F.col("d2") > shrink * shrink).cast("int").alias("_core"))
-    if inlet:
-        core = components.inlet_connected(core, grid, v="_core")
-    if multiphase is not None and voxels.phase_exists(multiphase, 1):
-        open_phase = components.inlet_connected(multiphase.select(*AXES, "v"), grid, 1).select(*AXES, F.col("v").alias("_open"))
-        core = core.join(open_phase, list(AXES)).withColumn("_core", F.when(F.col("_open") == 1, F.col("_core")).otherwise(0)).drop("_open")
+    core = _cores(with_distance(img, grid, v) if distance is None else distance, grid, shrink, inlet, multiphase)
     near = squared_distance_to(core.withColumn("_seed", F.col("_core") == 1), grid, ["_seed"], ["_d2"], [grow])
     out = near.select(*AXES, (F.col("_d2") <= grow * grow).cast("int").alias(v))
     return voxels.set_walls(out, grid, v)
@@ -86,23 +92,23 @@ def pore_size_distribution(img: DataFrame, grid: GridSpec, radii=None, num_radii
     """(x, y, z, radius): the greatest of the radii whose opening covers a pore voxel, 0 for none and in solid."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    base = with_distance(img.select(*AXES, v), grid, v)
+    base = with_distance(img, grid, v)
     if radii is None:
         radii = default_radii(base, grid, num_radii)
     radii = sorted({float(r) for r in ([radii] if isinstance(radii, (int, float)) else radii)}, reverse=True)
     check_radii(grid, radii)
-    if inlet:
-        parts = [porosimetry(base, grid, r, True, None, mode, v).where(F.col(v) == 1).select(*AXES, F.lit(r).alias("_r")) for r in radii]
-        best = parts[0]
-        for p in parts[1:]:
-            best = best.unionByName(p)
-        best = best.groupBy(*AXES).agg(F.max("_r").alias("_r"))
-        return base.join(best, list(AXES), "left").select(*AXES, F.when(F.col(v) == 1, F.coalesce("_r", F.lit(0.0))).otherwise(0.0).alias("radius"))
     out = base.withColumn("radius", F.lit(0.0))
     for i in range(0, len(radii), RADII_AT_ONCE):
         some = radii[i : i + RADII_AT_ONCE]
         seeds, outs = [f"_s{k}" for k in range(len(some))], [f"_o{k}" for k in range(len(some))]
-        marked = out.withColumns({s: F.col("d2") > r * r for s, r in zip(seeds, some, strict=True)})
+        if inlet:  # a bit for each radius whose balls reach the voxel from the inlet
+            parts = [_cores(base, grid, r, True).where("_core = 1").select(*AXES, F.lit(1 << k).alias("_bits")) for k, r in enumerate(some)]
+            bits = reduce(DataFrame.unionByName, parts).groupBy(*AXES).agg(F.bit_or("_bits").alias("_bits"))
+            out = staged(out.join(bits, list(AXES), "left"), "cores")
+            fits = [F.coalesce(F.col("_bits").bitwiseAND(1 << k), F.lit(0)) != 0 for k in range(len(some))]
+        else:
+            fits = [F.col("d2") > r * r for r in some]
+        marked = out.withColumns(dict(zip(seeds, fits, strict=True))).drop("_bits")
         near = squared_distance_to(marked, grid, seeds, outs, list(some))
         covered = [F.when(F.col(o) <= r * r, F.lit(r)) for o, r in zip(outs, some, strict=True)]
         out = near.withColumn("radius", F.greatest("radius", F.coalesce(*covered, F.lit(0.0)))).drop(*outs)
@@ -152,7 +158,7 @@ def drainage(img: DataFrame, grid: GridSpec, pressures, gamma: float = 1.0, cont
         raise ValueError("the standard method has a contact angle of 0")
     if method != "standard" and contact_angle == 0:
         log.warning("a contact angle of 0 gives the standard method's results")
-    base = with_distance(img.select(*AXES, v), grid, v)
+    base = with_distance(img, grid, v)
     bound = base.agg(F.max("d2").alias("m")).first()["m"]
     greatest = math.sqrt(bound) if bound is not None else 0.0
     start = phases.select(*AXES, F.col("v")) if phases is not None else multiphase_constant(img.select(*AXES, F.col(v).alias("v")), 2)
@@ -162,7 +168,7 @@ def drainage(img: DataFrame, grid: GridSpec, pressures, gamma: float = 1.0, cont
         shrink = probe_radius(p, gamma, contact_angle)
         grow = shrink * abs(math.cos(math.radians(contact_angle))) if method == "extended_contact_angle" else shrink
         if min(shrink, grow) >= min(grid.resolution) and max(shrink, grow) <= greatest:
-            entered = porosimetry(base, grid, (shrink, grow), True, now, mode, v).select(*AXES, F.col(v).alias("_in"))
+            entered = porosimetry(img, grid, (shrink, grow), True, now, mode, v, base).select(*AXES, F.col(v).alias("_in"))
             wetting = components.outlet_connected(now, grid, 2).select(*AXES, F.col("v").alias("_wet"))
             new = now.join(entered, list(AXES)).join(wetting, list(AXES))
             new = new.select(*AXES, F.when((F.col("_in") == 1) & (F.col("_wet") == 2), F.lit(1)).otherwise(F.col("v")).alias("v"))

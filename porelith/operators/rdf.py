@@ -54,18 +54,24 @@ def normalised(curves: DataFrame, by: list[str], value: str = "value") -> DataFr
 def _interpolated(points: DataFrame, curves: DataFrame, x: str, y: str, at: str, out: str) -> DataFrame:
     """``points`` (atom_id, at) with ``out``, linear between a curve's points in order of x and constant beyond them.
 
-    Each pair of points is a segment; the first and the last reach to infinity.
+    Each pair of points is a segment; the first and the last reach to infinity.  A curve's range is cut into as
+    many cells as it has points.  A segment goes to the cells that it touches, which are twice the points in all,
+    and a point meets the segments of its cell only.
     """
-    w = Window.partitionBy("atom_id").orderBy(x, "idx")
+    w = Window.partitionBy("atom_id").orderBy(x, "idx")  # a curve's points
+    finite = F.when(F.abs(F.col(x)) < float("inf"), F.col(x))
+    span = curves.groupBy("atom_id").agg(F.min(finite).alias("_from"), F.max(finite).alias("_to"), F.count(F.lit(1)).alias("_cells"))
+    span = span.withColumn("_width", F.when(F.col("_to") > F.col("_from"), (F.col("_to") - F.col("_from")) / F.col("_cells")).otherwise(1.0)).drop("_to")
+    cell = lambda c: F.greatest(F.lit(0.0), F.least(F.floor((c - F.col("_from")) / F.col("_width")).cast("double"), F.col("_cells").cast("double"))).cast("long")
     seg = curves.select("atom_id", F.col(x).alias("_x0"), F.col(y).alias("_y0"), F.lead(x).over(w).alias("_x1"), F.lead(y).over(w).alias("_y1"), F.lag(x).over(w).alias("_xl"))
     first = seg.where("_xl is null").select("atom_id", F.lit(float("-inf")).alias("_lo"), F.col("_x0").alias("_hi"), F.col("_x0"), F.col("_y0"), F.lit(None).cast("double").alias("_x1"), F.col("_y0").alias("_y1"))
     rest = seg.select("atom_id", F.col("_x0").alias("_lo"), F.coalesce("_x1", F.lit(float("inf"))).alias("_hi"), "_x0", "_y0", "_x1", F.coalesce("_y1", "_y0").alias("_y1"))
-    s = first.unionByName(rest).where("_lo < _hi").alias("s")
-    p = points.alias("p")
-    joined = p.join(s, (F.col("p.atom_id") == F.col("s.atom_id")) & (F.col(f"p.{at}") >= F.col("s._lo")) & (F.col(f"p.{at}") < F.col("s._hi")))
+    s = first.unionByName(rest).where("_lo < _hi").join(span, "atom_id").withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi"))))).alias("s")
+    p = points.join(span, "atom_id").withColumn("_cell", cell(F.col(at))).drop("_from", "_width", "_cells").alias("p")
+    joined = p.join(s, (F.col("p.atom_id") == F.col("s.atom_id")) & (F.col("p._cell") == F.col("s._cell")) & (F.col(f"p.{at}") >= F.col("s._lo")) & (F.col(f"p.{at}") < F.col("s._hi")))
     slope = (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))
     flat = F.col("_x1").isNull() | F.col("_y0").eqNullSafe(F.col("_y1"))
-    return joined.select("p.*", F.when(flat, F.col("_y0")).otherwise(F.col("_y0") + slope * (F.col(f"p.{at}") - F.col("_x0"))).alias(out))
+    return joined.select(*(F.col(f"p.`{c}`") for c in points.columns), F.when(flat, F.col("_y0")).otherwise(F.col("_y0") + slope * (F.col(f"p.{at}") - F.col("_x0"))).alias(out))
 
 
 def interpolate(points: DataFrame, curves: DataFrame, at: str = "r", out: str = "g") -> DataFrame:

@@ -263,3 +263,40 @@ def test_euler26_has_22_kinds():
     for step in (1, 2, 4):  # reflections change nothing
         turned = [sum(1 << (c ^ step) for c in range(8) if m >> c & 1) for m in range(256)]
         assert (kinds == kinds[turned]).all()
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_envelopes_equal_shifts(periodic):
+    r = np.random.default_rng(8)
+    for n, share in ((1, 1.0), (2, 0.5), (37, 0.05), (64, 0.4), (64, 1.0)):
+        f = np.where(r.random((40, n)) < share, (r.integers(0, 30, (40, n)) * 0.7) ** 2, np.inf)
+        want = distance._shifted(f, 0.7, periodic, n)
+        np.testing.assert_allclose(distance.envelopes(f, 0.7, periodic), want, atol=1e-9)
+        solid = f[:5, :, None] * np.ones((1, 1, 3))
+        np.testing.assert_allclose(distance.envelopes(solid, 0.7, periodic), distance._shifted(solid, 0.7, periodic, n), atol=1e-9)
+
+
+def test_sparse_solids_go_by_envelopes(spark, monkeypatch):
+    monkeypatch.setattr(distance, "FEW_STEPS", 2)
+    values = np.ones((9, 8, 11), int)
+    values[1, 2, 3] = values[7, 0, 9] = 0
+    for wraps in (False, True):
+        kinds = ((Boundary.PERIODIC if wraps else Boundary.END,) * 2,) * 3
+        grid = GridSpec((9, 8, 11), box=((0, 9), (0, 4), (0, 22)), boundary=kinds)
+        got = g.to_array(distance.squared_edt(g.from_array(spark, values), grid), values.shape, "d2")
+        np.testing.assert_allclose(got, brute_edt2(values == 0, grid.resolution, (wraps,) * 3))
+
+
+def test_clashing_columns(spark):
+    """Columns named like our own are the user's: kept where columns pass through, and never taken for distances."""
+    values = np.ones((6, 5, 5), int)
+    values[3, 2, 2] = 0
+    grid = GridSpec((6, 5, 5), box=((0, 6), (0, 5), (0, 5)), inlet=((True, False), (False,) * 2, (False,) * 2))
+    img = g.from_array(spark, values)
+    clash = img.withColumns({c: F.lit(7.0) for c in ("d2", "_label", "_keep", "_seed", "_d2", "_core")})
+    np.testing.assert_array_equal(g.to_array(porosimetry.porosimetry(clash, grid, 1.0), values.shape), g.to_array(porosimetry.porosimetry(img, grid, 1.0), values.shape))
+    np.testing.assert_array_equal(g.to_array(porosimetry.pore_size_distribution(clash, grid, [1.0], inlet=True), values.shape, "radius"), g.to_array(porosimetry.pore_size_distribution(img, grid, [1.0], inlet=True), values.shape, "radius"))
+    for f in (components.inlet_connected, lambda i, s: morphology.dilate(i, s, 1.0), lambda i, s: morphology.erode(i, s, 1.0)):
+        got = f(clash, grid)
+        assert got.where("_label = 7 and _keep = 7 and _seed = 7 and _d2 = 7 and d2 = 7").count() == 150
+        np.testing.assert_array_equal(g.to_array(got, values.shape), g.to_array(f(img, grid), values.shape))
