@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porelith.llm import bagminhash, common, fingerprint, language_id, mixing, pieces, quality_rules, sharding, site_quality, toxicity
+from porelith.llm import bagminhash, fingerprint, language_id, mixing, pieces, quality_rules, sharding, site_quality, toxicity
 from porelith.llm.textblocks import BLOCK_BYTES
+from porelith.plans.names import unused
 
 from .conftest import ODD, prose
 from .test_table_operators import brute_fingerprints, edited
@@ -99,4 +100,4 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none, labels, tmp_path, name
 
 def test_unused_names(spark):
     df = spark.createDataFrame([(1, 2)], "x int, X_ int")
-    assert common.unused(df, "y") == "y" and common.unused(df, "x") == "x__"
+    assert unused(df, "y") == "y" and unused(df, "x") == "x__"
