@@ -1,35 +1,41 @@
 """Connected components of voxel images and filters by the faces that they touch.
 
-Lines are cut into runs of equal value, runs of neighbouring lines that touch (26 neighbours, the same
-value, periodic axes wrapped) are edges, and components are those of the run graph.  A label is the least
-vid of its component plus 1.  Value 0 is background and has label 0.
+The image is cut into tiles of whole lines along z.  A task labels a tile: lines are cut into runs of equal value,
+runs of neighbouring lines that touch (26 neighbours, the same value) are edges, and each voxel gets the least vid
+of its part.  Voxels on the tiles' borders and periodic faces alone make the graph that joins parts of several
+tiles.  A label is the least vid of its component plus 1.  Value 0 is background and has label 0.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.grid import AXES, GridSpec
 from ..plans.graph import connected_components as graph_components
+from ..plans.joins import BROADCAST_ROWS
 from ..plans.names import unused
 from ..plans.ranks import places
 from ..plans.staging import staged
 
-#: A run graph of at most so many edges is solved on the driver; the edges are counted first.
+#: A graph of at most so many edges between tiles is solved on the driver; the edges are counted first.
 SMALL_EDGES = 3_000_000
+#: Voxels of a tile, which bound a task's memory; a line is never cut.
+TILE_VOXELS = 4_000_000
 
 
-def runs(img: DataFrame, grid: GridSpec, v: str = "v") -> DataFrame:
-    """(x, y, v, z0, z1, run): maximal runs of equal nonzero value along z; run is the vid of the first voxel."""
+def runs(img: DataFrame, grid: GridSpec, v: str = "v", root: str | None = None) -> DataFrame:
+    """(x, y, v, z0, z1, run): maximal runs of equal nonzero value along z; run is the vid of the first voxel, or its ``root``."""
     line = Window.partitionBy("x", "y").orderBy("z")
-    full = img.where(F.col(v) != 0).select(*AXES, F.col(v).alias("v"))
+    full = img.where(F.col(v) != 0).select(*AXES, F.col(v).alias("v"), (F.col(root) if root else F.lit(None).cast("long")).alias("_root"))
     last, at = F.lag("v").over(line), F.lag("z").over(line)
     new = (last.isNull() | (last != F.col("v")) | (at != F.col("z") - 1)).cast("int")
-    out = full.withColumn("_new", new).withColumn("_k", F.sum("_new").over(line)).groupBy("x", "y", "_k").agg(F.first("v").alias("v"), F.min("z").alias("z0"), F.max("z").alias("z1"))
-    return out.withColumn("run", grid.vid(F.col("x"), F.col("y"), F.col("z0"))).drop("_k")
+    out = full.withColumn("_new", new).withColumn("_k", F.sum("_new").over(line)).groupBy("x", "y", "_k").agg(F.first("v").alias("v"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.min("_root").alias("_root"))
+    return out.withColumn("run", F.coalesce("_root", grid.vid(F.col("x"), F.col("y"), F.col("z0")))).drop("_k", "_root")
 
 
 def run_edges(run_table: DataFrame, grid: GridSpec) -> DataFrame:
@@ -81,13 +87,96 @@ def solve(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array(labels, pa.int64())}))
 
 
-def components(img: DataFrame, grid: GridSpec, v: str = "v", label: str = "label", small: int = SMALL_EDGES) -> DataFrame:
-    """Add ``label``: 0 for value 0, else the least vid of the component plus 1.  ``small``: see solve."""
-    cut = staged(runs(img, grid, v), "runs")
-    found = solve(run_edges(cut, grid), small)
-    named = cut.join(found.withColumnRenamed("node", "run"), "run", "left").select("x", "y", "z0", "z1", (F.coalesce("component", "run") + 1).alias(label))
-    filled = named.select("x", "y", F.explode(F.sequence("z0", "z1")).alias("z"), label)
-    return img.drop(label).join(filled, list(AXES), "left").withColumn(label, F.coalesce(label, F.lit(0).cast("long")))
+def touching(first: np.ndarray, last: np.ndarray, value: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of equal value that touch across neighbouring lines; runs are given by their first and last vid, in order."""
+    nx, ny, nz = shape
+    line = first // nz
+    sources, targets = [], []
+    for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        r = np.flatnonzero((line // ny + dx < nx) & (line % ny + dy >= 0) & (line % ny + dy < ny))
+        step, start = (dx * ny + dy) * nz, line[r] * nz
+        begin = np.searchsorted(last, np.maximum(first[r] - 1, start) + step, "left")
+        end = np.searchsorted(first, np.minimum(last[r] + 1, start + nz - 1) + step, "right")
+        n = np.maximum(end - begin, 0)
+        src = np.repeat(r, n)
+        dst = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        same = value[src] == value[dst]
+        sources.append(src[same])
+        targets.append(dst[same])
+    return np.concatenate(sources), np.concatenate(targets)
+
+
+def least_vids(vid: np.ndarray, value: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+    """The least vid of the part that each voxel belongs to, among the voxels given; -1 for value 0."""
+    out = np.full(len(vid), -1, np.int64)
+    on = np.flatnonzero(value != 0)
+    on = on[np.argsort(vid[on], kind="stable")]
+    if not len(on):
+        return out
+    w, c = vid[on], value[on]
+    new = np.ones(len(on), bool)
+    new[1:] = (w[1:] != w[:-1] + 1) | (c[1:] != c[:-1]) | (w[1:] % shape[2] == 0)
+    at = np.flatnonzero(new)
+    first, last = w[at], w[np.append(at[1:], len(w)) - 1]
+    part = np.arange(len(at))
+    nodes, least = least_labels(*touching(first, last, c[at], shape))
+    part[nodes] = least
+    out[on] = first[part][np.cumsum(new) - 1]
+    return out
+
+
+def tiles(grid: GridSpec, voxels: int = TILE_VOXELS) -> tuple[int, int]:
+    """Planes of x and lines of y of a tile."""
+    nx, ny, nz = (hi - lo for lo, hi in map(grid.extent, range(3)))
+    lines = min(ny, max(1, voxels // nz))
+    return min(nx, max(1, voxels // (lines * nz))), lines
+
+
+def _by_tile(img: DataFrame, grid: GridSpec, v: str, root: str, tile: tuple[int, int]) -> DataFrame:
+    """The image with ``root``, the least vid of each voxel's part of its tile, -1 for value 0."""
+    spans = [grid.extent(a) for a in range(3)]
+    shape = tuple(hi - lo for lo, hi in spans)
+    names = img.columns
+    plain = img.toDF(*(f"c{i}" for i in range(len(names))))
+    column = {n: f"c{names.index(n)}" for n in (*AXES, v)}
+    schema = T.StructType([*plain.schema.fields, T.StructField("root", T.LongType())])
+
+    def label(rows: pa.Table) -> pa.Table:
+        get = lambda n: rows.column(column[n]).to_numpy().astype(np.int64)
+        x, y, z = (get(a) - lo for a, (lo, _) in zip(AXES, spans, strict=True))
+        value = pc.fill_null(rows.column(column[v]), 0).to_numpy()
+        found = least_vids((x * shape[1] + y) * shape[2] + z, value, shape)
+        return rows.select(schema.names[:-1]).append_column("root", pa.array(found))
+
+    key = [F.floor((F.col(column[a]) - lo) / n).alias(f"t{a}") for a, (lo, _), n in zip(AXES, spans, tile, strict=False)]
+    return plain.groupBy(*key).applyInArrow(label, schema).toDF(*names, root)
+
+
+def components(img: DataFrame, grid: GridSpec, v: str = "v", label: str = "label", small: int = SMALL_EDGES, tile: int = TILE_VOXELS) -> DataFrame:
+    """Add ``label``: 0 for value 0 or null, else the least vid of the component plus 1.
+
+    ``tile``: voxels of a tile; ``small``: see solve.  A voxel that is missing is background.
+    """
+    base = img.drop(label)
+    names, root = [F.col(f"`{c}`") for c in base.columns], unused(base, "_root")
+    cut = tiles(grid, tile)
+    local = _by_tile(base, grid, v, root, cut)
+    border = F.lit(False)
+    for a, (name, n) in enumerate(zip(AXES, (*cut, 0), strict=True)):
+        lo, hi = grid.extent(a)
+        if grid.periodic[a]:
+            border = border | F.col(name).isin(lo, hi - 1)
+        if 0 < n < hi - lo:
+            border = border | F.pmod(F.col(name) - lo, F.lit(n)).isin(0, n - 1)
+    if not grid.any_periodic and cut == tuple(hi - lo for lo, hi in map(grid.extent, (0, 1))):
+        return local.select(*names, (F.col(root) + 1).alias(label))
+    local = staged(local, "local")
+    edges = run_edges(staged(runs(local.where(border), grid, v, root), "runs"), grid)
+    moved = staged(solve(edges, small).where("node != component").toDF(root, "_to"), "moved")
+    to = unused(local, "_to")
+    moved = moved.withColumnRenamed("_to", to)
+    joined = local.join(F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved, root, "left")
+    return joined.select(*names, (F.coalesce(F.col(to), F.col(root)) + 1).alias(label))
 
 
 def numbered(labelled: DataFrame, label: str = "label") -> DataFrame:

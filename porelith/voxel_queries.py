@@ -191,8 +191,8 @@ def euler_numbers(spark, sf_dir):
 # -- components
 @query(f"{_SPARSE}, fg AS (SELECT *, {_VID} AS vid FROM img WHERE v > 0), reach AS (SELECT vid, vid AS root FROM fg UNION SELECT b.vid, r.root FROM reach r JOIN fg a ON a.vid = r.vid JOIN fg b ON {_TOUCH} WHERE r.root <= b.vid), named AS (SELECT vid, min(root) AS root FROM reach GROUP BY vid) SELECT i.x, i.y, i.z, coalesce(n, 0) AS label FROM img i LEFT JOIN (SELECT vid, dense_rank() OVER (ORDER BY root) AS n FROM named) l ON l.vid = (i.x * {NY} + i.y) * {NZ} + i.z")
 def numbered_components(spark, sf_dir):
-    """Components by star contraction over the whole run graph, numbered from 1."""
-    found = components.components(sparse_image(spark, sf_dir), LINE, small=0)
+    """Components of many small tiles, joined by star contraction and numbered from 1."""
+    found = components.components(sparse_image(spark, sf_dir), LINE, small=0, tile=200)
     return components.numbered(found).select(*AXES, "label")
 
 

@@ -113,8 +113,16 @@ def test_components_match_flood_fill(spark, periodic):
     kinds = tuple((Boundary.PERIODIC,) * 2 if p else (Boundary.END,) * 2 for p in periodic)
     grid = GridSpec((5, 6, 7), boundary=kinds)
     img = g.from_array(spark, values)
-    got = g.to_array(components.components(img, grid), values.shape, "label")
-    np.testing.assert_array_equal(got, flood(values, periodic))
+    for tile in (components.TILE_VOXELS, 100, 20, 1):  # whole, planes, lines of y, single lines
+        got = g.to_array(components.components(img, grid, tile=tile), values.shape, "label")
+        np.testing.assert_array_equal(got, flood(values, periodic))
+    np.testing.assert_array_equal(g.to_array(components.components(img, grid, small=0, tile=60), values.shape, "label"), flood(values, periodic))
+    odd = img.where("x + y + z != 7").withColumns({"a.b": F.lit(1), "_root": F.lit(2), "_to": F.lit(3)})
+    holes = values.copy()
+    holes[np.indices(values.shape).sum(0) == 7] = 0
+    got = components.components(odd, grid, tile=100)
+    assert got.where("`a.b` = 1 and _root = 2 and _to = 3").count() == odd.count()
+    np.testing.assert_array_equal(g.to_array(got, values.shape, "label"), flood(holes, periodic))
     found = components.runs(img, grid)
     from porelith.plans.graph import connected_components
 
