@@ -77,13 +77,19 @@ def closing(img: DataFrame, grid: GridSpec, radius: float, v: str = "v") -> Data
 
 
 def dilate_by_offsets(img: DataFrame, grid: GridSpec, radius: float, v: str = "v") -> DataFrame:
-    """The same dilation by moving every voxel of value 1 over the ball's offsets: plain joins, for small balls."""
-    ball = struct_element(img.sparkSession, grid.resolution, radius)
-    moved = img.where(F.col(v) == 1).select(*AXES).crossJoin(F.broadcast(ball))  # the ball's size is set by the radius alone
+    """The same dilation by moving every voxel of value 1 over the ball's offsets: no passes, for small balls."""
+    ratio = struct_ratio(grid.resolution, radius)
+    if len(set(grid.resolution)) > 1:
+        raise ValueError("a digital ball needs the same resolution on all axes")
+    moved = img.where(F.col(v) == 1).select(*AXES)
+    for name, r in zip(AXES, ratio, strict=True):
+        moved = moved.withColumn(f"d{name}", F.explode(F.sequence(F.lit(-r), F.lit(r))))
+    moved = moved.where(sum((F.col(f"d{a}") * F.col(f"d{a}") for a in AXES), F.lit(0)) <= (radius / grid.resolution[0]) ** 2)
     cols = []
     for a, name in enumerate(AXES):
         lo, hi = grid.extent(a)
         to = F.col(name) + F.col(f"d{name}")
         cols.append((F.pmod(to - lo, F.lit(hi - lo)) + lo if grid.periodic[a] else to).cast("int").alias(name))
-    hit = moved.select(*cols).distinct().withColumn("_hit", F.lit(1))
-    return set_walls(img.join(hit, list(AXES), "left").withColumn(v, F.coalesce("_hit", F.lit(0))).drop("_hit"), grid, v)
+    found = unused(img, "_hit")
+    hit = moved.select(*cols).distinct().withColumn(found, F.lit(1))
+    return set_walls(img.join(hit, list(AXES), "left").withColumn(v, F.coalesce(found, F.lit(0))).drop(found), grid, v)

@@ -159,6 +159,7 @@ def atom_file_image(spark: SparkSession, path: str, radii: dict[int, float], gri
 def inkbottle(spark: SparkSession, grid: GridSpec, r_y: float = 1.0, r_z: float = 1.0) -> DataFrame:
     """The ink bottle: pore before x = 0, and where the cross-section's ellipse reaches; reservoirs are pore."""
     x, y, z = _centres(grid)
+    # fixed values: the constants of the bottle's radius
     r = 0.01 * F.cos(0.01 * x) + 0.5 * F.sin(x) + 0.75
     inside = y * y / (r * F.lit(r_y)) / (r * F.lit(r_y)) + z * z / (r * F.lit(r_z)) / (r * F.lit(r_z)) <= 1
     img = grid.voxels(spark).withColumn("v", F.when((x < 0) | inside, F.lit(1)).otherwise(F.lit(0)))
@@ -166,6 +167,7 @@ def inkbottle(spark: SparkSession, grid: GridSpec, r_y: float = 1.0, r_z: float
 
 
 # -- lattices
+# Basis points, neighbours of a sphere (coordination) and share of space in percent (packing) of each lattice.
 class Lattice:
     """Spheres on a lattice: ``basis`` in units of the constant, and the radius at which they touch."""
 

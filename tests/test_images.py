@@ -190,6 +190,7 @@ def test_pore_sizes(spark):
 
 
 def test_drainage_of_the_inkbottle(spark):
+    # fixed values: pressures and the saturations that belong to them
     grid = GridSpec((140, 30, 30), box=((0.0, 14.0), (-1.5, 1.5), (-1.5, 1.5)), inlet=((False, True), (False,) * 2, (False,) * 2), outlet=((True, False), (False,) * 2, (False,) * 2), reservoir=10)
     table, _ = porosimetry.drainage(g.inkbottle(spark, grid), grid, [1.61322, 1.60194, 1.58965, 1.5943])
     rows = table.orderBy("step").collect()
