@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,29 @@ def _shifted(f: np.ndarray, h: float, periodic: bool, steps: int) -> np.ndarray:
     return out
 
 
+def _stacks(g: np.ndarray, sites: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line of values ``g`` at ``sites`` the lower envelope: its last place, the columns in order and where each begins."""
+    top = np.full(len(g), -1)
+    site, begin = np.zeros(g.shape, np.int64), np.full(g.shape, -np.inf)
+    for q in range(len(sites)):
+        rows = np.flatnonzero(np.isfinite(g[:, q]))
+        start = np.full(len(rows), -np.inf)
+        todo = np.arange(len(rows))
+        while len(todo):
+            r = rows[todo]
+            held = top[r] >= 0
+            todo, r = todo[held], r[held]
+            j = site[r, top[r]]
+            cross = ((g[r, q] + sites[q] ** 2) - (g[r, j] + sites[j] ** 2)) / (2 * (sites[q] - sites[j]))
+            drop = cross <= begin[r, top[r]]
+            start[todo] = np.where(drop, -np.inf, cross)
+            todo = todo[drop]
+            top[rows[todo]] -= 1
+        top[rows] += 1
+        site[rows, top[rows]], begin[rows, top[rows]] = q, start
+    return top, site, begin
+
+
 def envelopes(f: np.ndarray, h: float, periodic: bool) -> np.ndarray:
     """The same minimum over whole lines: the lower envelope of the parabolas on a line's finite values.
 
@@ -130,25 +153,7 @@ def envelopes(f: np.ndarray, h: float, periodic: bool) -> np.ndarray:
     if not len(live):
         return out
     g = values[live]
-    m = len(sites)
-    top = np.full(len(g), -1)
-    site, begin = np.zeros(g.shape, np.int64), np.full(g.shape, -np.inf)
-    for q in range(m):
-        rows = np.flatnonzero(np.isfinite(g[:, q]))
-        start = np.full(len(rows), -np.inf)
-        todo = np.arange(len(rows))
-        while len(todo):
-            r = rows[todo]
-            held = top[r] >= 0
-            todo, r = todo[held], r[held]
-            j = site[r, top[r]]
-            cross = ((g[r, q] + sites[q] ** 2) - (g[r, j] + sites[j] ** 2)) / (2 * (sites[q] - sites[j]))
-            drop = cross <= begin[r, top[r]]
-            start[todo] = np.where(drop, -np.inf, cross)
-            todo = todo[drop]
-            top[rows[todo]] -= 1
-        top[rows] += 1
-        site[rows, top[rows]], begin[rows, top[rows]] = q, start
+    top, site, begin = _stacks(g, sites)
     every = np.arange(len(g))
     at, low = np.zeros(len(g), np.int64), np.empty((len(g), n))
     for i in range(n):
@@ -226,6 +231,55 @@ def edt(img: DataFrame, grid: GridSpec, v: str = "v", out: str = "distance") ->
     return squared_edt(img, grid, v, out).withColumn(out, F.sqrt(out))
 
 
+def boundary_hulls(img: DataFrame, grid: GridSpec, axis: int, count: int = 5, forward: bool = True, f: str = "d2") -> DataFrame:
+    """x, y, z, height, begin and place of the first ``count`` parabolas of each line's lower envelope, counted from its lower end or its upper.
+
+    A voxel's parabola is f + (h (i - its index)) ** 2; null and infinite values have none.  ``begin`` is the index, in
+    general no whole one, from which it is the lowest, null for the lowermost.  What a neighbour of a block needs to go on with.
+    """
+    if axis not in (0, 1, 2):
+        raise ValueError("axes are 0, 1 and 2")
+    lo, hi = grid.extent(axis)
+    h = grid.resolution[axis]
+
+    def kernel(cols):
+        g = cols["_f"]
+        top, site, begin = _stacks(g, np.arange(g.shape[1]) * h)
+        out = {c: np.full(g.shape, np.nan) for c in ("_begin", "_place")}
+        line, k = np.nonzero(np.arange(g.shape[1]) <= top[:, None])
+        out["_begin"][line, site[line, k]] = begin[line, k] / h + lo
+        out["_place"][line, site[line, k]] = k if forward else top[line] - k
+        return out
+
+    found = along(img.select(*AXES, F.col(f).cast("double").alias("_f")), {AXES[axis]: hi - lo}, kernel, ["_f"], ["_begin", "_place"]).where(F.col("_place") < count)
+    return found.select(*AXES, F.col("_f").alias("height"), F.when(F.col("_begin") > float("-inf"), F.col("_begin")).alias("begin"), F.col("_place").cast("int").alias("place"))
+
+
+def correctors(img: DataFrame, grid: GridSpec, axis: int, v: str = "v") -> DataFrame:
+    """For each line of each block along an axis: the distances from its first and last voxel to the nearest 0 beyond the block.
+
+    Columns: the other two axes, ``block`` (its place along the axis), ``lower`` and ``upper``, null without a 0;
+    periodic axes go on at the other end, back into the block itself if need be.  With them ``nearest_1d`` of a block's line is exact over the whole grid.
+    Only the first and last 0 of a line in a block are shuffled.
+    """
+    if axis not in (0, 1, 2):
+        raise ValueError("axes are 0, 1 and 2")
+    rest = [AXES[a] for a in range(3) if a != axis]
+    zero = F.when(F.col(v) == 0, F.col(AXES[axis]))
+    per = img.groupBy(*rest, grid.block_of(axis).alias("block")).agg(F.min(zero).alias("_min"), F.max(zero).alias("_max"))
+    line = Window.partitionBy(*rest).orderBy("block")  # one row a block
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    below, above = F.max("_max").over(before), F.min("_min").over(after)
+    if grid.periodic[axis]:
+        n = grid.voxels_shape[axis]
+        on, back = line.rowsBetween(0, Window.unboundedFollowing), line.rowsBetween(Window.unboundedPreceding, 0)
+        below, above = F.coalesce(below, F.max("_max").over(on) - n), F.coalesce(above, F.min("_min").over(back) + n)
+    ends = [(grid.block_start(axis, i), grid.block_start(axis, i) + grid.block_voxels(axis, i) - 1) for i in range(grid.blocks[axis])]
+    first, last = (F.element_at(F.array(*(F.lit(e[k]) for e in ends)), F.col("block").cast("int") + 1) for k in (0, 1))
+    h = F.lit(grid.resolution[axis])
+    return per.select(*rest, F.col("block").cast("int").alias("block"), ((first - below) * h).alias("lower"), ((above - last) * h).alias("upper"))
+
+
 def squared_edt_2d(img: DataFrame, shape: tuple[int, int], periodic=(False, False), resolution=(1.0, 1.0), v: str = "v", out: str = "d2") -> DataFrame:
     """As squared_edt for an image with columns x and y."""
     first = along(img.withColumn("_seed", F.col(v) == 0), {"y": shape[1]}, lambda c: {out: nearest_zero(c["_seed"].astype(bool), resolution[1], periodic[1])}, ["_seed"], [out], ("_seed",), ("x", "y"))

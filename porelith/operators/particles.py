@@ -188,6 +188,16 @@ def with_masses(particles: DataFrame, table: DataFrame) -> DataFrame:
     return particles.drop("mass").join(table.select("pid", "mass"), "pid", "left")
 
 
+def in_box(particles: DataFrame, box: Box) -> DataFrame:
+    """The particles whose centre lies in ``box``."""
+    return particles.where(inside_box(box))
+
+
+def moved(particles: DataFrame, places: DataFrame) -> DataFrame:
+    """The list replaced by that of ``places`` (pid, x, y, z); what else is known of a particle stays with it, null for new ones."""
+    return places.select("pid", *AXES).join(particles.drop(*AXES), "pid", "left").select(*particles.columns)
+
+
 # -- neighbours
 def neighbours(points: DataFrame, particles: DataFrame, radius: float, square: bool = False) -> DataFrame:
     """(qid, pid, distance) of the particles strictly nearer than ``radius`` to each point (qid, x, y, z)."""

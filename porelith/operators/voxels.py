@@ -116,6 +116,31 @@ def renumber(img: DataFrame, conversion: DataFrame | dict, v: str = "v") -> Data
     return img.join(conversion, v, "left").select(*names, F.coalesce("new", F.lit(0)).alias(v))
 
 
+def thresholded(img: DataFrame, low, value, other=None, v: str = "v") -> DataFrame:
+    """Values up to ``low`` become ``value``, those above ``other`` or, without it, stay."""
+    kind = img.schema[v].dataType
+    above = F.col(v) if other is None else F.lit(other).cast(kind)
+    return img.withColumn(v, F.when(F.col(v) <= low, F.lit(value).cast(kind)).otherwise(above))
+
+
+def _is_at(at: tuple[int, ...]) -> Column:
+    """The voxel of two or three indices."""
+    here = F.lit(True)
+    for a, i in zip(AXES, at, strict=False):
+        here = here & (F.col(a) == i)
+    return here
+
+
+def pixel(img: DataFrame, at: tuple[int, ...]) -> DataFrame:
+    """The row of one voxel, of an image of two or three axes."""
+    return img.where(_is_at(at))
+
+
+def with_pixel(img: DataFrame, at: tuple[int, ...], value, v: str = "v") -> DataFrame:
+    """One voxel set to a value."""
+    return img.withColumn(v, F.when(_is_at(at), F.lit(value).cast(img.schema[v].dataType)).otherwise(F.col(v)))
+
+
 def label_phases(img: DataFrame, label: str = "label", v: str = "v") -> DataFrame:
     """(label, v): the value of each label; of several the greatest."""
     return img.groupBy(label).agg(F.max(v).alias(v))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.grid import AXES, Boundary, GridSpec, decompose_window, voxel_id
 from .operators import bins, components, distance, minkowski, morphology, particles, porosimetry, rdf, voxels
-from .queries import _CLOUD, _CURVES, _D2, _EVENT_BINS, _FROM_OUT, _LINE, _MINKOWSKI, _OUT, _SPARSE, _TOUCH, _VID, CLOUD, LINE, NX, NY, NZ, _bit, _event_curves, _near, cloud, line_image, sparse_image
+from .queries import _CLOUD, _CURVES, _D2, _EVENT_BINS, _FROM_OUT, _LINE, _MINKOWSKI, _OUT, _SPARSE, _TOUCH, _VID, CLOUD, LINE, NX, NY, NZ, WRAPPED, _bit, _event_curves, _near, cloud, line_image, sparse_image
 from .registry import query
 from .sources import generators
 
@@ -196,7 +196,71 @@ def numbered_components(spark, sf_dir):
     return components.numbered(found).select(*AXES, "label")
 
 
+# -- what blocks need of their neighbours
+_BLOCKS = WRAPPED.with_blocks((5, 1, 1))
+
+
+@query(f"""{_LINE}, block AS (SELECT CAST(b AS INT) AS block, 10 * b AS lo FROM range(5) t(b))
+SELECT y, z, block,
+  CAST(lo - coalesce(max(x) FILTER (v = 0 AND x < lo), max(x) FILTER (v = 0 AND x >= lo) - {NX}) AS DOUBLE) AS lower,
+  CAST(coalesce(min(x) FILTER (v = 0 AND x > lo + 9), min(x) FILTER (v = 0 AND x <= lo + 9) + {NX}) - lo - 9 AS DOUBLE) AS upper
+FROM img, block GROUP BY y, z, block, lo""")
+def block_correctors(spark, sf_dir):
+    """Distances from the ends of five blocks' lines to the next solid beyond, around the periodic axis."""
+    return distance.correctors(line_image(spark, sf_dir), _BLOCKS, 0)
+
+
+def _hulls(forward: bool) -> str:
+    """The stretch of each voxel's parabola lies between its last crossing from below and its first from above."""
+    return f"""{_SPARSE}, p AS (SELECT x, y, z, CAST((x * x * 7 + y * 3 + z) % 40 AS DOUBLE) AS f FROM img WHERE v > 0 OR y > 5),
+crossing AS (SELECT a.y, a.z, a.x AS i, b.x AS j, ((b.f + b.x * b.x) - (a.f + a.x * a.x)) / (2 * (b.x - a.x)) AS c FROM p a JOIN p b ON a.y = b.y AND a.z = b.z AND a.x < b.x),
+low AS (SELECT y, z, j AS x, max(c) AS lo FROM crossing GROUP BY ALL), high AS (SELECT y, z, i AS x, min(c) AS hi FROM crossing GROUP BY ALL),
+hull AS (SELECT x, y, z, f AS height, lo AS begin, row_number() OVER (PARTITION BY y, z ORDER BY x {'ASC' if forward else 'DESC'}) - 1 AS place
+  FROM p LEFT JOIN low USING (x, y, z) LEFT JOIN high USING (x, y, z) WHERE lo IS NULL OR hi IS NULL OR lo < hi)
+SELECT x, y, z, height, begin, CAST(place AS INT) AS place FROM hull WHERE place < 4"""
+
+
+def _hull_image(spark, sf_dir):
+    height = F.when((F.col("v") > 0) | (F.col("y") > 5), F.pmod(F.col("x") * F.col("x") * 7 + F.col("y") * 3 + F.col("z"), F.lit(40)))
+    return sparse_image(spark, sf_dir).withColumn("f", height)
+
+
+@query(_hulls(True))
+def lower_hulls(spark, sf_dir):
+    """The first four parabolas of each line along x."""
+    return distance.boundary_hulls(_hull_image(spark, sf_dir), LINE, 0, 4, True, "f")
+
+
+@query(_hulls(False))
+def upper_hulls(spark, sf_dir):
+    """The last four."""
+    return distance.boundary_hulls(_hull_image(spark, sf_dir), LINE, 0, 4, False, "f")
+
+
+# -- single voxels and thresholds
+@query(f"{_SPARSE} SELECT x, y, z, CASE WHEN x = 3 AND y = 4 AND z = 5 THEN 9 WHEN v <= 0 THEN 7 ELSE v END AS v, CASE WHEN v <= 1 THEN 0 ELSE 5 END AS bin FROM img")
+def thresholded_image(spark, sf_dir):
+    """Solid renamed and one voxel set, and two values by a threshold."""
+    img = sparse_image(spark, sf_dir).withColumn("bin", F.col("v"))
+    return voxels.thresholded(voxels.with_pixel(voxels.thresholded(img, 0, 7), (3, 4, 5), 9), 1, 0, 5, "bin")
+
+
+@query(f"{_PLANE} SELECT x, y, v, 2 AS axes FROM plane WHERE x = 7 AND y = 3 UNION ALL SELECT x, y, v, 3 FROM img WHERE x = 3 AND y = 4 AND z = 5")
+def single_pixels(spark, sf_dir):
+    plane = voxels.pixel(_plane(spark, sf_dir), (7, 3)).withColumn("axes", F.lit(2))
+    return plane.unionByName(voxels.pixel(sparse_image(spark, sf_dir), (3, 4, 5)).select("x", "y", "v", F.lit(3).alias("axes")))
+
+
 # -- particles and bins
+@query(f"SELECT pid, x, y, z, r, type FROM (SELECT pid, -x AS x, y, z, r, type FROM ({_CLOUD}) WHERE pid % 2 = 0 UNION ALL SELECT -1, 0.25::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE, NULL, NULL) WHERE x BETWEEN -0.25 AND 0.5 AND y BETWEEN -0.5 AND 0.5 AND z BETWEEN -0.5 AND 0.5")
+def moved_particles(spark, sf_dir):
+    """A list replaced by another, one particle of it new, and those of it in a box."""
+    rows = cloud(spark, sf_dir)
+    places = rows.where("pid % 2 = 0").select("pid", (-F.col("x")).alias("x"), "y", "z")
+    places = places.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("pid"), F.lit(0.25).alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("z")))
+    return particles.in_box(particles.moved(rows, places), ((-0.25, 0.5), (-0.5, 0.5), (-0.5, 0.5))).select("pid", *AXES, "r", "type")
+
+
 @query(f"SELECT pid, type AS label, r, x BETWEEN -0.2 AND 0.2 AND y BETWEEN -0.2 AND 0.2 AND z BETWEEN -0.2 AND 0.2 AS own FROM ({_CLOUD})")
 def particle_rows(spark, sf_dir):
     marked = particles.with_own(cloud(spark, sf_dir), ((-0.2, 0.2),) * 3)

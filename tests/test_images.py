@@ -189,6 +189,45 @@ def test_pore_sizes(spark):
     assert curve[0]["cdf"] == pytest.approx(1) and sum(r["pdf"] for r in curve) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("blocks", [4, 1])
+def test_correctors_make_blocks_exact(spark, blocks):
+    grid = GridSpec((3, 12, 2), blocks=(1, blocks, 1), boundary=((Boundary.END,) * 2, (Boundary.PERIODIC,) * 2, (Boundary.END,) * 2), box=((0, 3), (0, 6), (0, 2)))
+    rng = np.random.default_rng(5)
+    v = (rng.random((3, 12, 2)) > 0.2).astype(int)
+    v[0, :, 0], v[1, :, 1] = 1, 1
+    v[1, 7, 1] = 0
+    img = spark.createDataFrame([(*map(int, at), int(v[at])) for at in np.ndindex(v.shape)], "x int, y int, z int, v int")
+    rows = distance.correctors(img, grid, 1).collect()
+    assert len(rows) == 3 * 2 * blocks
+    m = 12 // blocks
+    for r in rows:
+        line = v[r["x"], :, r["z"]]
+        whole = distance.nearest_1d(line, 0.5, True)
+        ends = [np.inf if r[c] is None else r[c] for c in ("lower", "upper")]
+        assert distance.nearest_1d(line[m * r["block"] : m * (r["block"] + 1)], 0.5, False, *ends) == pytest.approx(whole[m * r["block"] : m * (r["block"] + 1)])
+    with pytest.raises(ValueError):
+        distance.correctors(img, grid, 3)
+    assert distance.correctors(img.where("false"), grid, 1).count() == 0
+
+
+def test_hulls_go_on_where_lines_end(spark):
+    grid = GridSpec((2, 2, 30), box=((0, 2), (0, 2), (0, 60)))
+    rng = np.random.default_rng(6)
+    f = rng.integers(0, 200, (2, 2, 30)).astype(float)
+    f[0, 0, :] = np.inf
+    f[1, 1, 4:20] = np.inf
+    img = spark.createDataFrame([(*map(int, at), float(f[at])) for at in np.ndindex(f.shape)], "x int, y int, z int, d2 double")
+    rows = distance.boundary_hulls(img, grid, 2, 99).collect()
+    assert not [r for r in rows if (r["x"], r["y"]) == (0, 0)]
+    for x, y in ((0, 1), (1, 0), (1, 1)):
+        mine = sorted((r["place"], r["z"], r["height"]) for r in rows if (r["x"], r["y"]) == (x, y))
+        assert [p for p, _, _ in mine] == list(range(len(mine))) and [z for _, z, _ in mine] == sorted(z for _, z, _ in mine)
+        lowest = [min(h + (2 * (i - z)) ** 2 for _, z, h in mine) for i in range(30)]
+        assert lowest == pytest.approx(distance.envelope_1d(f[x, y], 2.0))
+    few = distance.boundary_hulls(img, grid, 2, 2, False).where("x = 0 and y = 1").orderBy("place").collect()
+    assert [r["z"] for r in few] == [z for _, z, _ in sorted(((r["place"], r["z"], 0) for r in rows if (r["x"], r["y"]) == (0, 1)), reverse=True)[:2]]
+
+
 def test_drainage_of_the_inkbottle(spark):
     # fixed values: pressures and the saturations that belong to them
     grid = GridSpec((140, 30, 30), box=((0.0, 14.0), (-1.5, 1.5), (-1.5, 1.5)), inlet=((False, True), (False,) * 2, (False,) * 2), outlet=((True, False), (False,) * 2, (False,) * 2), reservoir=10)
