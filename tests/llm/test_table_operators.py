@@ -329,6 +329,27 @@ def test_long_chains_are_one_component(spark):
     assert got.where("verdict = 'block'").count() == 41
 
 
+def test_urls_follow_the_rules_of_the_contract(spark, tmp_path):
+    """Verdicts written out by hand, of the query and of its SQL."""
+    import duckdb
+
+    from porelith.llm import queries
+
+    wanted = [
+        ("http://com/en/1", "com/en/", "block"), ("http://a.com/en/7", "com/en/", "block"), ("http://example.com/en/7", "example.com/en/7", "allow"), ("http://www.example.com/en/70", "example.com/en/7", "allow"), ("http://example.com/en/8", "com/en/", "block"),
+        ("http://net/de/1", "net/de/", "allow"), ("http://a.net/de/8", "net/de/", "allow"), ("http://example.net/de/8", "example.net/de/8", "block"), ("http://www.example.net/de/80", "example.net/de/8", "block"), ("http://example.net/de/7", "net/de/", "allow"),
+        ("http://org/es/", "org/es/", "block"), ("http://a.org/es/7", "org/es/", "block"), ("http://a.net/en/1", None, "allow"),
+    ]
+    pages = spark.createDataFrame([(k, u, page()) for k, (u, _, _) in enumerate(wanted)], "page_id bigint, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op6_url_filter(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got) == [(k, r, v) for k, (_, r, v) in enumerate(wanted)]
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        rows = con.sql(f"SELECT page_id, rule, verdict FROM ({queries.oracle_sql()['op6_url_filter']}) ORDER BY page_id").fetchall()
+    assert rows == [(k, r, v) for k, (_, r, v) in enumerate(wanted)]
+
+
 # -- sites
 def test_site_quality(spark, odd, none, labels):
     r = random.Random(3)
