@@ -295,5 +295,7 @@ def volume_fraction(img: DataFrame, grid: GridSpec, value: int, v: str = "v") ->
 
 
 def saturation(img: DataFrame, grid: GridSpec, value: int, v: str = "v") -> DataFrame:
-    """The share of the pore space (values above 0) that has the value."""
-    return own(img, grid).agg((F.count_if(F.col(v) == value) / F.count_if(F.col(v) > 0)).alias("saturation"))
+    """The share of the pore space (values above 0) that has the value; NaN without any pore."""
+    pores = F.count_if(F.col(v) > 0)
+    share = F.when(pores > 0, F.count_if(F.col(v) == value) / pores).otherwise(F.lit(float("nan")))
+    return own(img, grid).agg(share.alias("saturation"))
