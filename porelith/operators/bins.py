@@ -28,9 +28,13 @@ class BinSpec:
     def centers(self) -> list[float]:
         return [self.start + (i + 0.5) * self.width for i in range(self.n)]
 
+    def place(self, value: Column) -> Column:
+        """The number of a value's bin if bins went on beyond both ends."""
+        return F.floor((value - F.lit(float(self.start))) / F.lit(self.width)).cast("int")
+
     def index(self, value: Column) -> Column:
         """The bin of a value, null outside [start, end)."""
-        i = F.floor((value - F.lit(float(self.start))) / F.lit(self.width)).cast("int")
+        i = self.place(value)
         return F.when((i >= 0) & (i < self.n), i)
 
     def volumes(self, area: float | None = None, radial: bool = False) -> list[float]:

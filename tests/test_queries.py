@@ -53,7 +53,7 @@ def odd_tables(spark, tmp_path_factory):
     return str(folder)
 
 
-ODD_QUERIES = ["phase_saturation"]
+ODD_QUERIES = ["phase_saturation", "event_bins_streamed"]
 
 
 @pytest.mark.parametrize("name", ODD_QUERIES)
