@@ -268,15 +268,14 @@ def functionals_2d(img: DataFrame, shape: tuple[int, int], resolution: tuple[flo
 
 
 # -- functions of a threshold
-def functions(img: DataFrame, shape: tuple[int, ...], resolution: tuple[float, ...], opening: bool = True, v: str = "v", norm: bool = False) -> list[tuple]:
-    """(threshold, functionals ...) for every threshold from the least to the greatest value of a map.
+def functions(img: DataFrame, shape: tuple[int, ...], resolution: tuple[float, ...], opening: bool = True, v: str = "v", norm: bool = False, between: tuple[int, int] | None = None) -> list[tuple]:
+    """(threshold, functionals ...) for every threshold from the least to the greatest value of a map, or ``between`` two others.
 
     Of an opening map the phase is what lies above the threshold, of a closing map what does not.  The
     thresholds are evaluated in one job: a voxel sends its bits once for each threshold at which it is in.  What
     reaches the driver are at most 256 (16) rows a threshold.
     """
-    ends = img.agg(F.min(v).alias("a"), F.max(v).alias("b")).first()
-    low, high = int(ends["a"]), int(ends["b"])
+    low, high = between or map(int, img.agg(F.min(v), F.max(v)).first())
     axes = AXES[: len(shape)]
     inside = F.col(v) > F.col("_t") if opening else F.col(v) <= F.col("_t")
     spread = img.withColumn("_t", F.explode(F.sequence(F.lit(low), F.lit(high)))).where(inside)
@@ -293,5 +292,5 @@ def functions_open(img: DataFrame, shape, resolution, v: str = "v", norm: bool =
     return functions(img, shape, resolution, True, v, norm)
 
 
-def functions_close(img: DataFrame, shape, resolution, v: str = "v", norm: bool = False) -> list[tuple]:
-    return functions(img, shape, resolution, False, v, norm)
+def functions_close(img: DataFrame, shape, resolution, v: str = "v", norm: bool = False, between: tuple[int, int] | None = None) -> list[tuple]:
+    return functions(img, shape, resolution, False, v, norm, between)
