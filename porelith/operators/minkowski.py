@@ -288,8 +288,8 @@ def functions(img: DataFrame, shape: tuple[int, ...], resolution: tuple[float, .
     return [(t, *functionals_of(h, shape, resolution, norm)) for t, h in found.items()]
 
 
-def functions_open(img: DataFrame, shape, resolution, v: str = "v", norm: bool = False) -> list[tuple]:
-    return functions(img, shape, resolution, True, v, norm)
+def functions_open(img: DataFrame, shape, resolution, v: str = "v", norm: bool = False, between: tuple[int, int] | None = None) -> list[tuple]:
+    return functions(img, shape, resolution, True, v, norm, between)
 
 
 def functions_close(img: DataFrame, shape, resolution, v: str = "v", norm: bool = False, between: tuple[int, int] | None = None) -> list[tuple]:
