@@ -53,7 +53,7 @@ def odd_tables(spark, tmp_path_factory):
     return str(folder)
 
 
-ODD_QUERIES = ["phase_saturation", "event_bins_streamed", "plane_closing_functions", "closing_functions", "plane_opening_functions", "opening_functions", "squared_distances", "squared_distances_by_joins"]
+ODD_QUERIES = ["phase_saturation", "event_bins_streamed", "plane_closing_functions", "closing_functions", "plane_opening_functions", "opening_functions", "squared_distances", "squared_distances_by_joins", "squared_distances_periodic"]
 
 
 @pytest.mark.parametrize("name", ODD_QUERIES)
